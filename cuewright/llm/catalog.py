@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cuewright.llm import token_counts
+from cuewright.llm import byte_bpe, token_counts, token_store
+from cuewright.llm.common import scratch_path
 from cuewright.session import table
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,8 +19,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, end_id=1)
+    return token_store.read_checksums(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_counts": op9_token_counts}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op4_token_store": op4_token_store,
+        "op9_token_counts": op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
