@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, token_counts, token_store
+from cuewright.llm import byte_bpe, language_id, token_counts, token_store
 from cuewright.llm.common import scratch_path
 from cuewright.session import table
 
@@ -29,11 +30,19 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, path)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op4_token_store": op4_token_store,
         "op9_token_counts": op9_token_counts,
+        "op10_language_id": op10_language_id,
     }
 
 
