@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, language_id, token_counts, token_store
+from cuewright.llm import byte_bpe, language_id, minhash, token_counts, token_store
 from cuewright.llm.common import scratch_path
 from cuewright.session import table
 
@@ -16,6 +16,10 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op4_token_store": op4_token_store,
+        "op5_minhash": op5_minhash,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
     }
