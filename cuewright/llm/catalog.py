@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, language_id, minhash, token_counts, token_store
-from cuewright.llm.common import scratch_path
+from cuewright.llm import byte_bpe, language_id, minhash, secrets, token_counts, token_store
+from cuewright.llm.common import scratch_path, spans_text
 from cuewright.session import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +28,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "field")
+    return found.select(
+        "doc_id",
+        *(secrets.counted("spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, end_id=1)
@@ -44,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_secrets": op2_secrets,
         "op4_token_store": op4_token_store,
         "op5_minhash": op5_minhash,
         "op9_token_counts": op9_token_counts,
