@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, language_id, minhash, secrets, token_counts, token_store
+from cuewright.llm import byte_bpe, language_id, minhash, mixing, secrets, token_counts, token_store
 from cuewright.llm.common import scratch_path, spans_text
 from cuewright.session import table
 
@@ -20,6 +21,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
@@ -58,10 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op4_token_store": op4_token_store,
         "op5_minhash": op5_minhash,
+        "op8_mixing": op8_mixing,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.ORACLE_SQL}
