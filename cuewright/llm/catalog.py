@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, language_id, minhash, mixing, secrets, token_counts, token_store
+from cuewright.llm import byte_bpe, language_id, minhash, mixing, pii, secrets, token_counts, token_store
 from cuewright.llm.common import scratch_path, spans_text
 from cuewright.session import table
 
@@ -21,6 +21,17 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "context")
+    return found.select(
+        "doc_id",
+        *(secrets.counted("spans", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -63,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op4_token_store": op4_token_store,
         "op5_minhash": op5_minhash,
+        "op7_pii": op7_pii,
         "op8_mixing": op8_mixing,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
