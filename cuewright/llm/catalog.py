@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import byte_bpe, language_id, minhash, mixing, pii, secrets, token_counts, token_store
+from cuewright.llm import byte_bpe, language_id, minhash, mixing, neighbors, pii, secrets, token_counts, token_store, topk
 from cuewright.llm.common import scratch_path, spans_text
 from cuewright.session import table
 
@@ -21,6 +21,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
 
 
+def op6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "context")
@@ -55,6 +59,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, end_id=1)
@@ -72,8 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_secrets": op2_secrets,
+        "op3_topk": op3_topk,
         "op4_token_store": op4_token_store,
         "op5_minhash": op5_minhash,
+        "op6_neighbors": op6_neighbors,
         "op7_pii": op7_pii,
         "op8_mixing": op8_mixing,
         "op9_token_counts": op9_token_counts,
@@ -83,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL}
+    return {"op3_topk": topk.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
