@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +30,7 @@ from cuewright.llm.common import arrow_schema, delete, packets, partitions, pick
 from cuewright.llm.words import WordMemo, drops_white_space, library
 
 #: Ids that the rolling hash sees, and lengths of chunks in ids. About one id in MASK + 1 ends a chunk.
-WINDOW, MASK, SHORTEST, LONGEST = 8, 255, 64, 2048
+WINDOW, MASK, SHORTEST, LONGEST = 4, 255, 64, 2048
 DIGEST_BYTES = 16
 PACKET_BYTES = 4 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +91,14 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = lambda ids: np.array(ids, dtype=kind).tobytes()
+        letter = {2: "H", 4: "I"}[width]
+
+        def pack(ids: list[int]) -> bytes:
+            packed = array(letter, ids)
+            if sys.byteorder != "little":
+                packed.byteswap()
+            return packed.tobytes()
+
         memo = WordMemo(vocabulary, pack) if drops_white_space(vocabulary) else None
         end = pack([end_id])
         for batch in batches:

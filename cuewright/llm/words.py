@@ -13,8 +13,8 @@ import os
 from collections.abc import Callable, Iterable
 from functools import cache
 
-#: Words a worker remembers; at about 150 bytes each, some 75 MB.
-MEMO_WORDS = 500_000
+#: Words a worker remembers; at about 200 bytes each, some 200 MB.
+MEMO_WORDS = 1_000_000
 #: Bytes of new words handed to the library in one call.
 CALL_BYTES = 1 << 18
 
@@ -48,25 +48,65 @@ def library(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@cache
+def letters_only(vocabulary: str) -> Callable[[str], list[int]] | None:
+    """For a lower-casing byte-level BPE: ids of a word of the letters a to z, from the model of the tokenizer alone.
+
+    Such a word passes the normaliser and the splitter unchanged, so they need not run. None for other tokenizers.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer = spec.get("normalizer") or {}
+    steps = normalizer.get("normalizers") or [normalizer]
+    splitter = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if not ({"Lowercase"} <= {s.get("type") for s in steps} <= {"NFC", "NFKC", "Replace", "Lowercase"} and [s.get("type") for s in splitter] == ["Split", "ByteLevel"] and spec["model"].get("type") == "BPE"):
+        return None
+    if any(s["type"] == "Replace" and s.get("pattern") != {"Regex": "\\s+"} for s in steps) or splitter[1].get("add_prefix_space"):
+        return None
+    from tokenizers import Tokenizer
+
+    tokenize = Tokenizer.from_file(vocabulary).model.tokenize
+    return lambda word: [t.id for t in tokenize(word)]
+
+
+#: Marks that may stand behind a word; a run of them is a piece of its own.
+MARKS = b".,;:!?"
+
+
 class WordMemo(dict):
-    """word (UTF-8 bytes) -> what `keep` makes of its ids, for the words met so far."""
+    """word (UTF-8 bytes) -> what `keep` makes of its ids, for the words met so far. keep(a + b) must be keep(a) + keep(b)."""
 
     def __init__(self, vocabulary: str, keep: Callable[[list[int]], object], limit: int = MEMO_WORDS):
         super().__init__()
-        self.encode, self.keep, self.limit = library(vocabulary), keep, limit
+        self.encode, self.keep, self.limit, self.plain = library(vocabulary), keep, limit, letters_only(vocabulary)
+        self.marks: dict[bytes, object] = {b"": keep([])}
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Make every one of the words known. Must be called with all words of a step before they are looked up."""
         wanted = set(words)
-        new = [w for w in wanted if w not in self]
+        new = wanted.difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(wanted)
+            new = wanted
+        rest = list(new)
+        if self.plain is not None:
+            rest, plain, keep, marks = [], self.plain, self.keep, self.marks
+            for word in new:
+                core = word.rstrip(MARKS)
+                if core.isalpha():
+                    behind = word[len(core) :]
+                    if behind not in marks:
+                        if len(marks) > 1000:
+                            marks.clear()
+                        marks[behind] = keep(self.encode([behind.decode()])[0]) if behind else keep([])
+                    self[word] = keep(plain(core.lower().decode())) + marks[behind]
+                else:
+                    rest.append(word)
         start, held = 0, 0
-        for i, word in enumerate(new):
+        for i, word in enumerate(rest):
             held += len(word) + 8
-            if held >= CALL_BYTES or i + 1 == len(new):
-                part = new[start : i + 1]
+            if held >= CALL_BYTES or i + 1 == len(rest):
+                part = rest[start : i + 1]
                 for w, ids in zip(part, self.encode([w.decode("utf-8") for w in part]), strict=True):
                     self[w] = self.keep(ids)
                 start, held = i + 1, 0
