@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuewright.plans import records, sequences
+
 FLAGSHIP = "quality_rank"
+MODULES = (records, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: getattr(module, name) for module in MODULES for name in module.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for module in MODULES for name, sql in module.SQL.items() if sql}
