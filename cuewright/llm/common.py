@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -36,11 +37,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cuewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    With release, the shuffle files of finished steps, which nothing refers to any more, are cleaned up now
+    rather than when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,9 @@ form bands; classes that share a band are candidates. A candidate pair is estima
 the chance agreement of compressed registers taken off, and is a link only if its full sets say so.
 
 Finding components takes three passes, none of which makes all pairs of a bucket:
-1. Each class is compared with the smallest class of every bucket it is in (as many pairs as bucket rows, at most).
+1. Each class is compared with the hub of every bucket it is in (as many pairs as bucket rows, at most): the class with
+   the most company over all its buckets. Where copies were made of one text, that text is in more of their
+   buckets than any copy, so its copies meet it, even if they are too far from each other.
 2. Components of the links so far. A bucket that lies in one component has nothing left to say.
 3. In the other buckets, registers of classes of different components are compared in memory, block by block
    (a bucket beyond BLOCK classes is dealt out as pairs of blocks), and only pairs whose estimate leaves a link
@@ -31,8 +33,8 @@ from cuewright.llm.components import components
 #: 32 bands of 4 registers miss a pair of similarity 0.8 with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
 REGISTERS, ROWS = 128, 4
 BUCKET_BITS, MANTISSA = 7, 10
-#: An estimate may fall short of the similarity by this much (over 5 standard deviations at 0.8) before a pair is let go.
-SLACK = 0.19
+#: An estimate may fall short of the similarity by this much (4 standard deviations at 0.8) before a pair is let go.
+SLACK = 0.14
 #: Classes of a bucket that are compared in one task.
 BLOCK = 1024
 PACKET_BYTES = 4 << 20
@@ -260,17 +262,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(batch.column(c).to_numpy()[at]) for c in CLASS)], schema=out_schema)
 
     bands = classes.select(*CLASS, "registers").mapInArrow(banded, "key long, hi long, lo long").select("key", node(*CLASS).alias("c"))
-    buckets = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("pivot")).filter("n > 1"), "buckets")
-    members = written(bands.join(buckets, "key"), "members")
-    stars = members.filter("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    links = written(verified(written(estimated(stars, classes, least), "candidates"), classes, docs, shingle, similarity, id_col, text_col), "links")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(bands.join(buckets, "key"), "members", release=True)
+    company = members.groupBy("c").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "c").groupBy("key").agg(F.max(F.struct("company", "c")).alias("hub")).select("key", F.col("hub.c").alias("pivot"))
+    stars = members.select("key", "c").join(hubs, "key").filter("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    candidates = written(estimated(stars, classes, least), "candidates", release=True)
+    links = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
     reached = components(links)
 
     labelled = members.join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     split = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key", "n")
-    # Pairs with the pivot are settled by the first pass; the others of each bucket that is still split are compared now.
+    # Pairs with the hub are settled by the first pass; the others of each bucket that is still split are compared now.
     rest = labelled.join(split, "key").join(classes.select(node(*CLASS).alias("c"), "registers"), "c")
-    more = written(verified(written(across(rest, least), "candidates"), classes, docs, shingle, similarity, id_col, text_col), "links")
+    candidates = written(across(rest, least).join(candidates, ["a", "b"], "left_anti"), "candidates", release=True)
+    more = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
     reached = written(components(links.unionByName(more)), "components")
 
     smallest = classes.select(node(*CLASS).alias("node"), "rep_id").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep_id")
