@@ -7,8 +7,8 @@ form bands; classes that share a band are candidates. A candidate pair is estima
 the chance agreement of compressed registers taken off, and is a link only if its full sets say so.
 
 Finding components takes three passes, none of which makes all pairs of a bucket:
-1. Each class is compared with the hub of every bucket it is in (as many pairs as bucket rows, at most): the class with
-   the most company over all its buckets. Where copies were made of one text, that text is in more of their
+1. Each class is compared with HUBS of the hubs of its buckets, those that it meets most often. A bucket's hub is the class
+   with the most company over all its buckets. Where copies were made of one text, that text is in more of their
    buckets than any copy, so its copies meet it, even if they are too far from each other.
 2. Components of the links so far. A bucket that lies in one component has nothing left to say.
 3. In the other buckets, registers of classes of different components are compared in memory, block by block
@@ -23,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ REGISTERS, ROWS = 128, 4
 BUCKET_BITS, MANTISSA = 7, 10
 #: An estimate may fall short of the similarity by this much (4 standard deviations at 0.8) before a pair is let go.
 SLACK = 0.14
+#: Hubs that a class is compared with in the first pass; what they leave apart is for the third.
+HUBS = 2
 #: Classes of a bucket that are compared in one task.
 BLOCK = 1024
 PACKET_BYTES = 4 << 20
@@ -265,15 +267,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(bands.join(buckets, "key"), "members", release=True)
     company = members.groupBy("c").agg(F.sum("n").alias("company"))
-    hubs = members.join(company, "c").groupBy("key").agg(F.max(F.struct("company", "c")).alias("hub")).select("key", F.col("hub.c").alias("pivot"))
-    stars = members.select("key", "c").join(hubs, "key").filter("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    hubs = members.join(company, "c").groupBy("key").agg(F.max(F.struct("company", "c")).alias("hub")).select("key", F.col("hub.c").alias("pivot"), F.col("hub.company").alias("company"))
+    # Of the hubs that a class meets, those that it shares the most buckets with are the likeliest to be like it.
+    met = members.select("key", "c").join(hubs, "key").filter("c != pivot").groupBy("c", "pivot", "company").agg(F.count("*").alias("shared"))
+    nearest = Window.partitionBy("c").orderBy(F.col("shared").desc(), F.col("company").desc(), "pivot")  # at most one row per band
+    stars = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= HUBS).select(F.col("pivot").alias("a"), F.col("c").alias("b"))
     candidates = written(estimated(stars, classes, least), "candidates", release=True)
     links = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
     reached = components(links)
 
     labelled = members.join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     split = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key", "n")
-    # Pairs with the hub are settled by the first pass; the others of each bucket that is still split are compared now.
+    # Pairs of the first pass are settled; all others of each bucket that is still split are compared now.
     rest = labelled.join(split, "key").join(classes.select(node(*CLASS).alias("c"), "registers"), "c")
     candidates = written(across(rest, least).join(candidates, ["a", "b"], "left_anti"), "candidates", release=True)
     more = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
