@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOLERANCE = 1e-9
 
@@ -104,11 +105,13 @@ def semantic_diff(before: DataFrame, after: DataFrame, tolerance: float = 0.0) -
     Both sides of a document meet in one task, as the greedy choice needs all of them; a document is one recording.
     """
 
-    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        side = lambda f: [Cue(int(r.cue_idx), float(r.start_s), float(r.finish_s), " ".join((r.text or "").split())) for r in (f.sort_values("cue_idx").itertuples() if len(f) else ())]
-        rows = [(key[0], *d) for d in differences(side(left), side(right), tolerance)]
+    def compare(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        ordered = both.sort_values("cue_idx")
+        side = lambda old: [Cue(int(r.cue_idx), float(r.start_s), float(r.finish_s), " ".join((r.text or "").split())) for r in ordered[ordered.old == old].itertuples()]
+        rows = [(key[0], *d) for d in differences(side(True), side(False), tolerance)]
         frame = pd.DataFrame(rows, columns=["doc_id", "kind", "before_idx", "after_idx", "start_delta", "finish_delta"])
         return frame.astype({"before_idx": "Int64", "after_idx": "Int64"})
 
     columns = ("doc_id", "cue_idx", "start_s", "finish_s", "text")
-    return before.select(*columns).groupBy("doc_id").cogroup(after.select(*columns).groupBy("doc_id")).applyInPandas(compare, SCHEMA)
+    sides = before.select(*columns, F.lit(True).alias("old")).unionByName(after.select(*columns, F.lit(False).alias("old")))
+    return sides.groupBy("doc_id").applyInPandas(compare, SCHEMA)
