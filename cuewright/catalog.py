@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import records, sequences, texts
+from cuewright.plans import records, selections, sequences, texts
 
 FLAGSHIP = "quality_rank"
-MODULES = (records, sequences, texts)
+MODULES = (records, selections, sequences, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

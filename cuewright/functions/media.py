@@ -29,7 +29,7 @@ def send_type(mime: Column) -> Column:
 
 def tempo_chain(factor: Column) -> Column:
     """factors of at most 2 whose product is a tempo."""
-    halves = F.greatest(F.lit(0), F.ceil(F.log2(factor)).cast("int") - 1)
+    halves = F.greatest(F.lit(0), F.ceil(F.log2(factor) - 1e-12).cast("int") - 1)
     rest = factor / F.pow(F.lit(2.0), halves)
     return F.concat(F.array_repeat(F.lit(2.0), halves), F.array(rest))
 
