@@ -32,9 +32,9 @@ def floor_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: quantities, all powers of two, as speeds; the tempo is then a whole number and the figures are exact."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity IN (1, 2, 4, 8, 16, 32)")
-    clips = lines.select("l_returnflag", F.col("l_quantity").alias("speed"), F.col("l_linenumber").cast("double").alias("start_error"), F.lit(0.0).alias("end_error"))
+    """A1: items as clips; line number 4 is natural speed and each step from it halves or doubles. All sums are of whole numbers, so the figures are exact."""
+    speed = F.pow(F.lit(2.0), F.col("l_linenumber") - 4)
+    clips = table(spark, sf_dir, "lineitem").select("l_returnflag", speed.alias("speed"), F.col("l_quantity").alias("start_error"), F.lit(0.0).alias("end_error"))
     scored = aggregates.timing_score(clips, ["l_returnflag"])
     return scored.select("l_returnflag", "clips", "deviation_index", "p90_deviation", "slot_rms_ms", "min_speed", "p10_speed", "p50_speed", "p90_speed", "max_speed")
 
@@ -192,7 +192,7 @@ SELECT *, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WH
     "nearest_rank_pct": "SELECT event_type, quantile_disc(value, 0.1) AS p10, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, min(value) AS lowest, max(value) AS highest FROM events GROUP BY event_type",
     "floor_pct": "SELECT user_id, v[least(CAST(floor(len(v) * 0.1::DOUBLE) AS BIGINT), len(v) - 1) + 1] AS p10 FROM (SELECT user_id, list(value ORDER BY value) AS v FROM events GROUP BY user_id)",
     "timing_score": """
-WITH c AS (SELECT l_returnflag, l_quantity AS speed, CAST(log2(l_quantity) AS BIGINT) AS tempo, l_linenumber::BIGINT AS e FROM lineitem WHERE l_quantity IN (1, 2, 4, 8, 16, 32))
+WITH c AS (SELECT l_returnflag, power(2.0::DOUBLE, l_linenumber - 4) AS speed, CAST(abs(l_linenumber - 4) AS BIGINT) AS tempo, CAST(l_quantity AS BIGINT) AS e FROM lineitem)
 SELECT l_returnflag, count(*) AS clips, sqrt(sum(tempo * tempo)::DOUBLE / count(*)) * 100 AS deviation_index, quantile_disc(tempo, 0.9)::DOUBLE * 100 AS p90_deviation, sqrt(sum(e * e)::DOUBLE / (2 * count(*))) * 1000 AS slot_rms_ms,
   min(speed) AS min_speed, quantile_disc(speed, 0.1) AS p10_speed, quantile_disc(speed, 0.5) AS p50_speed, quantile_disc(speed, 0.9) AS p90_speed, max(speed) AS max_speed FROM c GROUP BY l_returnflag""",
     "unique_trigram": f"SELECT doc_id, ratio FROM ({TRIGRAM_SQL})",

@@ -85,8 +85,8 @@ def prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of a part type in chains of steps of at most 1."""
-    return windows.gap_clusters(table(spark, sf_dir, "part").select("p_type", F.col("p_size").cast("long").alias("p_size")).filter("p_size % 3 > 0"), "p_size", 1, ["p_type"])
+    """Squares of the sizes of a part type in chains of steps of at most 40."""
+    return windows.gap_clusters(table(spark, sf_dir, "part").select("p_type", (F.col("p_size") * F.col("p_size")).cast("long").alias("square")), "square", 40, ["p_type"])
 
 
 def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +165,9 @@ WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(tex
 SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 300 + 1 AS page FROM d""",
     "prefix_offsets": 'SELECT doc_id, source, n_chars, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM documents',
     "gap_cluster": """
-WITH d AS (SELECT DISTINCT p_type, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size % 3 > 0),
-f AS (SELECT *, CASE WHEN p_size - lag(p_size) OVER (PARTITION BY p_type ORDER BY p_size) <= 1 THEN 0 ELSE 1 END AS fresh FROM d)
-SELECT p_type, p_size, CAST(sum(fresh) OVER (PARTITION BY p_type ORDER BY p_size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM f""",
+WITH d AS (SELECT DISTINCT p_type, CAST(p_size * p_size AS BIGINT) AS square FROM part),
+f AS (SELECT *, CASE WHEN square - lag(square) OVER (PARTITION BY p_type ORDER BY square) <= 40 THEN 0 ELSE 1 END AS fresh FROM d)
+SELECT p_type, square, CAST(sum(fresh) OVER (PARTITION BY p_type ORDER BY square ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM f""",
     "line_spacing": """
 WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS y_min, l_quantity FROM lineitem),
 m AS (SELECT l_orderkey, l_linenumber, l_partkey, y_min, CAST(y_min + CAST(l_quantity AS INTEGER) AS INTEGER) AS y_max FROM l)
