@@ -59,6 +59,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this application, once no result that rests on them is needed."""
+    delete(spark, f"{shared_dir(spark)}/cuewright/{spark.sparkContext.applicationId}")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
