@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import records, selections, sequences, texts
+from cuewright.plans import records, selections, sequences, texts, units
 
 FLAGSHIP = "quality_rank"
-MODULES = (records, selections, sequences, texts)
+MODULES = (records, selections, sequences, texts, units)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
