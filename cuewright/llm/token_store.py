@@ -106,8 +106,12 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
                 texts = texts_of(part)
                 if memo is not None:
                     words = [x.encode("utf-8").split() for x in texts]
-                    memo.learn(itertools.chain.from_iterable(words))
-                    streams = [b"".join(map(memo.__getitem__, w)) + end for w in words]
+                    runs = [list(map(memo.get, w)) for w in words]  # most words are known: one look-up each
+                    lacking = [i for i, r in enumerate(runs) if None in r]
+                    memo.learn(w for i in lacking for w, r in zip(words[i], runs[i], strict=True) if r is None)
+                    for i in lacking:
+                        runs[i] = [memo[w] if r is None else r for w, r in zip(words[i], runs[i], strict=True)]
+                    streams = [b"".join(r) + end for r in runs]
                 else:
                     streams = [pack(ids) + end for ids in library(vocabulary)(texts)]
                 rows = []
@@ -309,11 +313,12 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for n, leaf, rows in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "leaf", "parts")), strict=True):
-                if merkle([r["digest"] for r in rows]) != leaf or sum(r["n"] for r in rows) != n:
+            crcs, lists = [], batch.column("parts")
+            digests, sums, sizes = (lists.values.field(c).to_pylist() for c in ("digest", "crc", "n"))
+            for n, leaf, (a, b) in zip(batch.column("n_tokens").to_pylist(), batch.column("leaf").to_pylist(), itertools.pairwise(lists.offsets.to_pylist()), strict=True):
+                if merkle(digests[a:b]) != leaf or sum(sizes[a:b]) != n:
                     raise ValueError("a document does not match its Merkle leaf")
-                crcs.append(crc_joined([(r["crc"], r["n"] * 4) for r in rows]))
+                crcs.append(crc_joined([(c, 4 * k) for c, k in zip(sums[a:b], sizes[a:b], strict=True)]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], schema=out_schema)
 
     return recipes.select("ordinal", "doc_id", "start", "n_tokens", "leaf").join(per_document, "ordinal").mapInArrow(joined, schema)

@@ -13,8 +13,8 @@ import os
 from collections.abc import Callable, Iterable
 from functools import cache
 
-#: Words a worker remembers; at about 200 bytes each, some 200 MB.
-MEMO_WORDS = 1_000_000
+#: Words a worker remembers; at about 170 bytes each, some 250 MB.
+MEMO_WORDS = 1_500_000
 #: Bytes of new words handed to the library in one call.
 CALL_BYTES = 1 << 18
 
