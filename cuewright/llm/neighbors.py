@@ -2,10 +2,10 @@
 
 Equal vectors are one class. A first neighbour graph comes from blocks of vectors that random hyperplanes put
 together; then neighbours of neighbours are compared, round after round, and every list keeps its best. Links are
-edges at or above the threshold. A list full of links is saturated: it may lack links. Such lists are enlarged to
-the whole component, inside which all vectors are compared block by block, so links of dense groups are
-counted without being listed. A bounded audit compares some vectors with all others; while it finds that links
-were missed, more rounds follow.
+edges at or above the threshold. Lists are bounded, so they only give components to start from: at last every
+vector is compared with every other, block by block, which counts all links and joins components that the lists
+left apart. A bounded audit compares some vectors with all others before that; while it finds that links were
+missed, more rounds follow.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from cuewright.llm.components import components
 NEIGHBOURS, TABLES, BLOCK = 8, 8, 512
 #: Rounds of descent at least and at most; vectors that are audited, and the share of their links that must be found.
 LEAST_ROUNDS, MOST_ROUNDS, AUDITED, RECALL = 1, 6, 256, 0.999
+#: Bytes of vectors that pass at a time in the exact comparison, and vectors that a batch meets at a time.
+PIECE_BYTES, COLUMNS = 16 << 20, 4096
 #: Dimensions that hyperplanes look at; longer vectors are told apart by their first ones to begin with.
 MOST_DIMENSIONS = 4096
 
@@ -162,19 +164,56 @@ def descended(graph: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     return best_of(graph.unionByName(in_groups(rows, ["around"], improved_around, kind, LISTED)), NEIGHBOURS)
 
 
-def linked_in_component(held: pa.Table, kind: str, threshold: float) -> tuple:
-    """Per node of one block: how many vectors of the other block (or of its own) are linked to it."""
-    nodes, times, block = held.column("node").to_numpy(), held.column("times").to_numpy(), held.column("block").to_numpy()
-    i, j = held.column("i")[0].as_py(), held.column("j")[0].as_py()
-    table = unit(held.column("vector").to_pylist(), kind)
-    ones, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(ones) or not len(others):
-        return [], []
-    linked = table[ones] @ table[others].T >= threshold
-    if i == j:
-        np.fill_diagonal(linked, False)
-        return nodes[ones], linked @ times[others]
-    return np.concatenate([nodes[ones], nodes[others]]), np.concatenate([linked @ times[others], times[ones] @ linked])
+def joined(own: np.ndarray, labels: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of components that links join, without those that follow from pairs already given; labels is changed."""
+    for row in np.flatnonzero((linked & (own[:, None] != labels[None, :])).any(axis=1)):
+        for other in np.unique(labels[linked[row]]).tolist():
+            if other != own[row]:
+                yield int(own[row]), other
+                labels[labels == other] = own[row]
+
+
+def linked_everywhere(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Every class of equal vectors against every other, exactly: (node, links) and, with null links, (node, other): components that a link joins.
+
+    `classes` has node, times, vector and component. One side passes in pieces of PIECE_BYTES, so nothing is shuffled;
+    links are counted where they are found, and at most one pair a row and one a column leaves a block.
+    """
+    spark = classes.sparkSession
+    schema = "node long, links long, other long"
+    out_schema = arrow_schema(T.StructType.fromDDL(schema))
+    pieces = max(1, -(-(classes.agg(F.sum(F.length("vector"))).first()[0] or 0) // PIECE_BYTES))
+    results = []
+    for number in range(pieces):
+        piece = classes.filter(F.pmod(F.xxhash64("node", F.lit("piece")), F.lit(pieces)) == number).select("node", "times", "component", "vector").toArrow()  # about PIECE_BYTES
+        sent = spark.sparkContext.broadcast(tuple(piece.column(c).to_numpy() for c in ("node", "times", "component")) + (piece.column("vector").to_pylist(),))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            there, times, components_there, data = sent.value
+            blocks = [slice(at, at + COLUMNS) for at in range(0, len(there), COLUMNS)]
+            tables = [unit(data[block], kind) for block in blocks]
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                nodes, own = batch.column("node").to_numpy(), batch.column("component").to_numpy()
+                table = unit(batch.column("vector").to_pylist(), kind)
+                links, pairs = np.zeros(len(nodes), np.int64), []
+                for block, others in zip(blocks, tables, strict=True):
+                    width = min(table.shape[1], others.shape[1])  # what is beyond one's end meets zeros
+                    linked = table[:, :width] @ others[:, :width].T >= threshold
+                    linked &= nodes[:, None] != there[block][None, :]
+                    links += linked @ times[block]
+                    pairs += joined(own, components_there[block].copy(), linked)
+                pairs = list(dict.fromkeys(pairs))
+                ids = np.concatenate([nodes, np.array([a for a, _ in pairs], np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([*links.tolist(), *[None] * len(pairs)], pa.int64()), pa.array([*[None] * len(nodes), *[b for _, b in pairs]], pa.int64())], schema=out_schema)
+
+        results.append(written(classes.select("node", "component", "vector").mapInArrow(run, schema), "links"))
+        sent.unpersist()
+    together = results[0]
+    for more in results[1:]:
+        together = together.unionByName(more)
+    return together
 
 
 def audit(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
@@ -236,13 +275,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         reached = components(links.unionByName(truth))
     reached = written(reached, "components")
 
-    members = reached.join(classes.select("node", "times", "vector"), "node")
-    sizes = reached.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "times", "vector")
-    counted = in_groups(pairs, ["component", "i", "j"], lambda held, kind: linked_in_component(held, kind, threshold), kind, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    # Lists and blocks only find components early: every pair is compared, so no full list or missed block hides a link.
+    labelled = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    exact = linked_everywhere(written(labelled, "labelled"), kind, threshold)
+    counted = exact.filter("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    across = components(exact.filter("links IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    reached = written(labelled.select("node", "component").join(across, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "whole")
 
-    named = classes.select("node", "digest", "times", "rep").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "digest", "times", "rep").join(reached, "node")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     described = named.join(names, "component").join(counted, "node", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), "component_id")
     linked = rows.select("id", "digest").filter("digest IS NOT NULL").join(described, "digest").select("id", "n_links", "component_id")

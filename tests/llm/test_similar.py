@@ -136,6 +136,32 @@ def test_neighbours(spark):
     assert report["recall"] >= 0.999 and report["audited"] > 0
 
 
+def test_neighbours_of_full_lists(spark, monkeypatch):
+    """Two groups of near copies whose links to each other are in no list of the nearest, nor seen by the audit."""
+    monkeypatch.setattr(neighbors, "AUDITED", 0)
+    draw = np.random.default_rng(4)
+    pairs = np.zeros((600, 64))
+    pairs[:300, 0], pairs[300:, :2] = 1, [0.95, np.sqrt(1 - 0.95**2)]
+    pairs += draw.normal(size=pairs.shape) * 0.008
+    found = pairs.astype(np.float32).tolist()
+    table = np.array(found, dtype=np.float64)
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    linked = table @ table.T >= 0.9
+    np.fill_diagonal(linked, False)
+    nearest = np.argsort(-(table @ table.T), axis=1)[:, 1 : neighbors.NEIGHBOURS + 1]
+    assert linked[:300, 300:].all() and not ((nearest < 300) != (np.arange(600) < 300)[:, None]).any()
+    df = spark.createDataFrame(list(enumerate(found)), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in neighbors.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(600)] == linked.sum(axis=1).tolist()
+    assert {r.component_id for r in got.values()} == {0}
+    # Without any component to start from, the exact comparison joins the rest.
+    digests = spark.createDataFrame([(i, 1, i, bytes(bytearray(np.array(v, "<f4").tobytes()))) for i, v in enumerate(found)], "node long, times long, component long, vector binary")
+    exact = neighbors.linked_everywhere(digests, "<f4", 0.9)
+    assert {r.node: r.links for r in exact.filter("links IS NOT NULL").collect()} == dict(enumerate(linked.sum(axis=1).tolist()))
+    reached = components.components(exact.filter("links IS NULL"), "node", "other").collect()
+    assert len(reached) == 600 and {r.component for r in reached} == {0}
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (None, [5.0, 0.1]), (7, [1e300, 1e299]), (8, [-1.0, 0.0])]
