@@ -162,6 +162,15 @@ def test_neighbours_of_full_lists(spark, monkeypatch):
     assert len(reached) == 600 and {r.component for r in reached} == {0}
 
 
+def test_recall_of_small_groups(spark):
+    """One hot group that is found does not hide that the links of all others were missed."""
+    hot = [(a, b) for a in range(4) for b in range(1000) if a != b]
+    truth = spark.createDataFrame([*hot, (2000, 2001), (2010, 2011)], "a long, b long")
+    reached = spark.createDataFrame([(i, 0) for i in range(1000)] + [(2000, 2000), (2001, 2000)], "node long, component long")
+    assert neighbors.recall_of(truth, reached) == 0.5
+    assert neighbors.recall_of(truth.filter("a < 2010"), reached) == 1.0
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (None, [5.0, 0.1]), (7, [1e300, 1e299]), (8, [-1.0, 0.0])]
