@@ -34,6 +34,12 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataF
     return picked(vectors, id=id_col, v=vector_col).filter(usable & F.col("id").isNotNull()).select("id", F.transform(x, lambda c: F.floor(c * scale).cast("bigint")).alias("v"))
 
 
+def different(rows: DataFrame) -> DataFrame:
+    """Each id and vector once, combined before the shuffle; zeros at the end of a vector count for nothing."""
+    last = F.size("v") + 1 - F.array_position(F.transform(F.reverse("v"), lambda x: x != 0), True)
+    return rows.withColumn("v", F.slice("v", 1, F.when(F.exists("v", lambda x: x != 0), last).otherwise(0).cast("int"))).distinct()
+
+
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of about `size` vectors in vertical layout: int64 numbers, dimension by dimension. Shorter vectors end in zeros."""
     out_schema = arrow_schema(PACKED)
@@ -125,14 +131,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     Components are taken as floor(scale * x) of the double x. Returns query_id, rank (from 1), vec_id, score; ties
     go to the smaller id; all of them, if there are fewer than k. Vectors (and queries) that are null or hold a null
     or non-finite component take no part, nor do rows without an id. A shorter vector counts as ending in
-    zeros. Repeated rows: a repeated vector counts once per query and score, repeated queries give one answer. An
+    zeros. Repeated rows: a repeated vector of the same id counts once, repeated queries give one answer. An
     empty table gives no rows. Other columns are not read.
 
     Query blocks are dealt to all candidate blocks, a stated query set against all rows: both sides are packed,
-    and a task holds one block of each. Only k rows per query and candidate block leave it.
+    and a task holds one block of each. Repeated vectors go before that, so the k places of a block hold k different ones. Only k rows per query and candidate block leave it.
     """
     prepare(vectors.sparkSession)
-    candidates = written(packed(whole(vectors, id_col, vector_col, scale), CANDIDATES).withColumn("block", F.monotonically_increasing_id()), "candidates")
+    candidates = written(packed(different(whole(vectors, id_col, vector_col, scale)), CANDIDATES).withColumn("block", F.monotonically_increasing_id()), "candidates")
     asked = packed(whole(queries, id_col, vector_col, scale).dropDuplicates(["id"]), QUERIES)
     asked = written(asked.select(F.col("ids").alias("query_ids"), F.col("dimensions").alias("query_dimensions"), F.col("columns").alias("query_columns")), "queries")
     blocks = [r[0] for r in candidates.select("block").collect()]  # one number per CANDIDATES vectors
@@ -152,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     scored = pairs.select("query_ids", "query_dimensions", "query_columns", "ids", "dimensions", "columns").mapInArrow(run, schema)
     first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """

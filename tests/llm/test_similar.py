@@ -114,6 +114,13 @@ def test_search_rows(spark):
     assert topk.search(df.limit(0), df).collect() == [] and topk.search(df, df.limit(0)).collect() == []
 
 
+def test_search_among_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [0.9, 0.1])] * 20, (1, [0.9, 0.1, 0.0]), *((i, [0.9 - i / 100, 0.1]) for i in range(2, 9))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.search(df, df.filter("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 def vectors(seed=0):
     draw = np.random.default_rng(seed)
     centres = draw.normal(size=(60, 16))
