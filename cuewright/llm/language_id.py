@@ -23,8 +23,10 @@ from cuewright.llm.common import arrow_schema, packets, picked, prepare, texts_o
 
 #: Trigrams fall into 2 ** BITS buckets; SMOOTHING is added to each count.
 BITS, SMOOTHING = 16, 0.5
-#: Steps of EM, the most languages of a text, and the price of a language in units of log(words) / 2.
-STEPS, LARGEST_SET, PENALTY = 12, 3, 2.0
+#: Steps of EM, and the price of a language in units of log(words) / 2.
+STEPS, PENALTY = 12, 2.0
+#: Log-likelihood of a trigram under the background model, for which all buckets are alike.
+BACKGROUND = -BITS * float(np.log(2))
 #: A word says no more for one language against another than this (natural logarithm).
 WORD_CAP = 12.0
 #: The most languages that may be learned: bounds what the driver gathers and every worker holds.
@@ -102,12 +104,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 class WordScores:
-    """Likelihoods of words in each language, relative to the best one; bounded memo per worker."""
+    """Likelihoods of words in each language, relative to the best one, and of the best one against the background; bounded memo per worker."""
 
     def __init__(self, model: Model):
         self.scores, self.rows = np.ascontiguousarray(model.scores.T), {}
         self.table = np.zeros((MEMO_WORDS, len(model.languages)), dtype=np.float32)
-        self.letters = np.zeros(MEMO_WORDS, dtype=bool)
+        self.evidence = np.zeros(MEMO_WORDS, dtype=np.float32)
+        self.trigrams = np.zeros(MEMO_WORDS, dtype=np.int32)
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.rows]
@@ -116,7 +119,8 @@ class WordScores:
             new = list(words)
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), self.table.shape[1]), dtype=np.float32)
-                self.letters = np.zeros(len(new), dtype=bool)
+                self.evidence = np.zeros(len(new), dtype=np.float32)
+                self.trigrams = np.zeros(len(new), dtype=np.int32)
         if not new:
             return
         at = len(self.rows)
@@ -126,7 +130,8 @@ class WordScores:
         if len(some):
             sums[some] = np.add.reduceat(self.scores[codes], (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.float64)
         self.table[at : at + len(new)] = np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -WORD_CAP))
-        self.letters[at : at + len(new)] = sizes > 0
+        self.evidence[at : at + len(new)] = sums.max(axis=1) - BACKGROUND * sizes
+        self.trigrams[at : at + len(new)] = sizes
         self.rows.update(zip(new, range(at, at + len(new)), strict=True))
 
 
@@ -151,7 +156,7 @@ def infer(likelihoods: np.ndarray, sizes: np.ndarray) -> list[tuple[list[int], l
     best = single.argmax(axis=1)
     # The single best language leads each order; the others follow by their shares.
     shares[np.arange(len(sizes)), best] = 2
-    order = np.argsort(-shares, axis=1, kind="stable")[:, : min(LARGEST_SET, shares.shape[1])]
+    order = np.argsort(-shares, axis=1, kind="stable")
     price = PENALTY * 0.5 * np.log(sizes + 1.0)
     value = single.max(axis=1) - price
     results = [(order[i, :1].tolist(), [1.0]) for i in range(len(sizes))]
@@ -177,8 +182,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """The languages of every text, judged by its text alone.
 
     Returns per input row: id_col, lang_pred (the language with the largest share; `und` if the text is null
-    or has no letter, or no language was learned), score (its share, 0 to 1; 0 for `und`), languages (the
-    selected set with shares, largest first). Ties go to the language whose name sorts first.
+    or has no letter, or no language was learned), score (its share, 0 to 1; 0 for `und`), evidence (by how much a
+    trigram is likelier in the best language of its word than in the background model, as a mean of natural
+    logarithms; below 0 for random letters, 0 for `und`), languages (the selected set with shares, largest first; it
+    may hold all learned languages). Ties go to the language whose name sorts first.
 
     Null ids, repeated rows: one row each. Empty table: empty result. Other columns are not read. Narrow
     plan, no shuffle. The model, languages x 65,536 numbers for at most 512 languages, is broadcast.
@@ -188,7 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     source = picked(docs, **{"id": id_col, "text": text_col})
     share = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     schema = T.StructType(
-        [T.StructField(id_col, source.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(share))]
+        [T.StructField(id_col, source.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("languages", T.ArrayType(share))]
     )
     out_schema = arrow_schema(schema)
     sent = spark.sparkContext.broadcast(model)
@@ -202,17 +209,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 words = [x.encode("utf-8").split() if names else [] for x in texts]
                 memo.learn(set().union(*words))
                 rows = np.fromiter((r for w in words for r in map(memo.rows.__getitem__, w)), dtype=np.int64, count=sum(map(len, words)))
-                kept = memo.letters[rows]
+                kept = memo.trigrams[rows] > 0
                 owner = np.repeat(np.arange(len(words)), [len(w) for w in words])[kept]
                 sizes = np.bincount(owner, minlength=len(words))
                 with_words = np.flatnonzero(sizes)
                 results = dict(zip(with_words.tolist(), infer(memo.table[rows[kept]], sizes[with_words]), strict=True)) if len(with_words) else {}
                 found = [results.get(i) for i in range(len(texts))]
+                total, trigrams_of = (np.bincount(owner, weights=x[rows[kept]], minlength=len(words)) for x in (memo.evidence, memo.trigrams))
+                evidence = total / np.maximum(trigrams_of, 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
                         pa.array([names[x[0][0]] if x else UNKNOWN for x in found], pa.string()),
                         pa.array([min(1.0, x[1][0]) if x else 0.0 for x in found], pa.float64()),
+                        pa.array(evidence, pa.float64()),
                         pa.array([[{"lang": names[a], "share": b} for a, b in zip(*x, strict=True)] if x else [] for x in found], out_schema.field("languages").type),
                     ],
                     schema=out_schema,

@@ -128,3 +128,11 @@ def test_languages(spark):
     assert {x.lang for x in found[8].languages} == {"fr", "de"} and 0.4 < found[8].score < 0.65
     nothing = language_id.learn(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_language_sets_are_not_capped():
+    import numpy as np
+
+    table = np.repeat(np.full((4, 4), 1e-4) + np.eye(4) * (1 - 1e-4), 50, axis=0)
+    (languages, shares), = language_id.infer(table, np.array([200]))
+    assert sorted(languages) == [0, 1, 2, 3] and max(shares) < 0.3

@@ -218,6 +218,16 @@ def test_pipeline_stages(spark):
     assert out.count() == kept.count() and out.filter("NOT round_trip").count() == 0
 
 
+def test_language_stage_rejects_noise(spark):
+    docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
+    draw = random.Random(5)
+    noise = [" ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9))) for _ in range(60)) for _ in range(5)]
+    rows = spark.createDataFrame([(9000 + i, text, None, None, len(text)) for i, text in enumerate(noise)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(rows), oracle.DATA).collect()}
+    assert not kept & set(range(9000, 9005))
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_of_nothing(spark, k):
     empty = spark.read.parquet(f"{oracle.DATA}/documents.parquet").limit(0)
