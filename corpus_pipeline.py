@@ -36,13 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, five words, similarity 0.8: the document with the smallest id of each group stays.
+    """Operator 5, five words, similarity 0.8: one document of each group stays, that with the smallest key.
 
-    Texts without words are linked with nothing and stay. Of rows that repeat both id and text one
-    stays. Documents without an id stay only where they have no words, since a group keeps its smallest id.
+    A key is the id, nulls last, and a digest of the text: rows that share it repeat both, and one of them stays.
+    Texts without words are linked with nothing and stay.
     """
-    found = minhash.near_duplicates(docs, shingle=5, similarity=(80, 100)).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.kept_id), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2("text", 256).alias("digest"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = minhash.near_duplicates(keyed, shingle=5, similarity=(80, 100), id_col="key").filter("kept").select(F.col("key").alias("kept_key")).distinct()
+    return keyed.join(found, F.col("key") == F.col("kept_key"), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

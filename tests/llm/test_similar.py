@@ -218,6 +218,16 @@ def test_pipeline_stages(spark):
     assert out.count() == kept.count() and out.filter("NOT round_trip").count() == 0
 
 
+def test_documents_without_id_stay(spark):
+    base = [f"word{i}" for i in range(60)]
+    near, other = " ".join(base), " ".join([*base[:59], "else"])
+    texts = [(None, "only here with no id at all"), (None, near), (None, other), (4, near), (None, "x y z group"), (None, "x y z group"), (None, None), (None, " "), (7, "a b c d e f"), (7, "quite something else"), (5, "a b c d e f"), (5, "a b c d e f")]
+    schema = spark.read.parquet(f"{oracle.DATA}/documents.parquet").select(*COLUMNS).schema
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts], schema)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, oracle.DATA).collect())
+    assert got == Counter([(None, "only here with no id at all"), (4, near), (None, "x y z group"), (None, None), (None, " "), (7, "quite something else"), (5, "a b c d e f")])
+
+
 def test_language_stage_rejects_noise(spark):
     docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
     draw = random.Random(5)
