@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Rows that Spark sends to a Python worker at a time. Texts are a few KB on average; with the
 #: default of 10,000, one batch of long texts could outgrow a worker.
 ARROW_ROWS = 1000
+#: And bytes: 1,000 very long texts are more than one batch.
+ARROW_BYTES = 32 << 20
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SCRATCH = "/tmp/checkpoints"
@@ -26,6 +28,10 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or not held.isdigit() or int(held) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +99,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 
 
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of bytes that stand one after another; ends begins with 0."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def joined(strings: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the chosen strings, one after another, and where each ends, after a 0."""
+    taken = strings.take(pa.array(chosen))
+    if not len(taken):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+    return np.frombuffer(taken.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

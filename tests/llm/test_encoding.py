@@ -1,11 +1,13 @@
 """Operators 1, 4 and 9 against the libraries, on every kind of row."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -39,9 +41,36 @@ def rows(spark):
     return found, spark.createDataFrame([(i, t, 0, "x") for i, t in found], "doc_id long, text string, n_tokens int, ids string")
 
 
+def together(encoder, found):
+    ids, offsets, chosen, counts = byte_bpe.encoded(pa.array(found, pa.string()), encoder)
+    own = iter(chosen.tolist())
+    return [[x for i in itertools.islice(own, n) for x in ids[offsets[i] : offsets[i + 1]].tolist()] for n in counts.tolist()]
+
+
 def test_encoder_equals_library(bpe, reference):
-    for text in texts(1500):
-        assert [x for *_, ids in byte_bpe.segments(text, bpe[1], bpe[2], bpe[0]) for x in ids] == reference.encode_ordinary(text) == bpe[0].encode(text)
+    found = texts(1500) + texts(1500, seed=9, longest=25)
+    for text, ids in zip(found, together(bpe[0], found), strict=True):
+        assert ids == reference.encode_ordinary(text) == bpe[0].encode(text)
+
+
+def test_classes_of_bytes(bpe, reference):
+    """Signs among letters, letters beyond the table, white space of many kinds and runs of marks."""
+    draw = random.Random(11)
+    alphabet = "aZ19 '\n×÷Àÿƀȿɀʰ¿ª½٣́　\x1f\x1c\t\x00😀_-"
+    found = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    assert together(bpe[0], found) == [reference.encode_ordinary(x) for x in found]
+
+
+def test_tables_stay_small(reference):
+    """Long words without a space, all of them different, leave nothing behind; full tables are emptied without changing ids."""
+    encoder = byte_bpe.PrefixBPE(byte_bpe.ranks_of(BYTES), public_tokenizers.PATTERN)
+    encoder.pairs, encoder.steps = byte_bpe.Table(500), byte_bpe.Table(300)
+    draw = random.Random(2)
+    for _ in range(5):
+        found = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(20)] + texts(100, seed=draw.random())
+        assert together(encoder, found) == [reference.encode_ordinary(x) for x in found]
+    assert encoder.pairs.held <= 500 and encoder.steps.held <= 300 and len(encoder._pairs) <= byte_bpe.PAIRS // 4
+    assert max(map(len, encoder.names)) <= max(map(len, encoder.ranks))
 
 
 def test_edits_and_appends(bpe, reference):
