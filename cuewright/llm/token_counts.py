@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cuewright.llm.common import arrow_schema, packets, picked, prepare
-from cuewright.llm.words import WordMemo, drops_white_space, library, pieces
+from cuewright.llm.words import WordMemo, drops_white_space, library, pieces, words_of
 
 #: Bytes of text that are encoded together, and the longest run of a text that is split in one go.
-PACKET_BYTES = 4 << 20
+PACKET_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 
 
@@ -36,25 +37,28 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word = vocabulary.endswith(".json") and drops_white_space(vocabulary)
-        memo = WordMemo(vocabulary, len) if by_word else None
+        memo = WordMemo(vocabulary, len) if vocabulary.endswith(".json") and drops_white_space(vocabulary) else None
+
+        def counted(texts: list[bytes], owners: list[int], n: int) -> np.ndarray:
+            """Tokens of runs of text, summed by owner."""
+            words, chosen, sizes = words_of(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+            of_word = np.array(memo.of(words), np.int64) if words else np.empty(0, np.int64)
+            return np.bincount(np.repeat(np.array(owners, np.int64), sizes), weights=of_word[chosen], minlength=n).astype(np.int64)
+
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
                 texts = [(x or "").encode("utf-8") for x in part.column("text").to_pylist()]
                 if memo is not None:
-                    counts = [0] * len(texts)
-                    held, owners = [], []
+                    counts, held, owners, size = np.zeros(len(texts), np.int64), [], [], 0
                     for i, data in enumerate(texts):
-                        for piece in pieces(data, PIECE_BYTES):
-                            held.append(piece.split())
+                        for piece in pieces(data, PIECE_BYTES):  # cut where no token crosses, so a long text is counted run by run
+                            held.append(piece)
                             owners.append(i)
-                            if len(data) > PACKET_BYTES:  # a long text goes on its own, piece by piece
-                                memo.learn(held[-1])
-                                counts[i] += sum(map(memo.__getitem__, held.pop()))
-                                owners.pop()
-                    memo.learn(w for words in held for w in words)
-                    for i, words in zip(owners, held, strict=True):
-                        counts[i] += sum(map(memo.__getitem__, words))
+                            size += len(piece)
+                            if size >= PACKET_BYTES:
+                                counts += counted(held, owners, len(texts))
+                                held, owners, size = [], [], 0
+                    counts = (counts + counted(held, owners, len(texts))).tolist()
                 else:
                     counts = [len(ids) for ids in library(vocabulary)([x.decode("utf-8") for x in texts])]
                 yield pa.RecordBatch.from_arrays(

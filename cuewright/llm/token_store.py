@@ -21,18 +21,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, delete, packets, partitions, picked, prepare, scratch_path, texts_of
-from cuewright.llm.words import WordMemo, drops_white_space, library
+from cuewright.llm.common import arrow_schema, delete, joined, packets, partitions, picked, prepare, scratch_path
+from cuewright.llm.words import WordMemo, drops_white_space, library, words_of
 
+#: Documents of a shard of recipes, about: what a Merkle root is made of in one task.
+SHARD_DOCUMENTS = 100_000
 #: Ids that the rolling hash sees, and lengths of chunks in ids. About one id in MASK + 1 ends a chunk.
 WINDOW, MASK, SHORTEST, LONGEST = 4, 255, 64, 2048
 DIGEST_BYTES = 16
-PACKET_BYTES = 4 << 20
+PACKET_BYTES = 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,23 +102,25 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
                 packed.byteswap()
             return packed.tobytes()
 
-        memo = WordMemo(vocabulary, pack) if drops_white_space(vocabulary) else None
+        memo = WordMemo(vocabulary, pack, in_batches=False) if drops_white_space(vocabulary) else None
         end = pack([end_id])
+
+        def streams_of(texts: pa.Array) -> Iterator[bytes]:
+            """The ids of each text with the end id, packed."""
+            if memo is None:
+                yield from (pack(ids) + end for ids in library(vocabulary)(texts.to_pylist()))
+                return
+            words, chosen, counts = words_of(texts)
+            values = pa.array(memo.of(words), pa.large_binary())
+            data, ends = joined(values, chosen)
+            held = data.tobytes()
+            for a, b in itertools.pairwise(ends[np.concatenate(([0], np.cumsum(counts)))].tolist()):
+                yield held[a:b] + end
+
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                texts = texts_of(part)
-                if memo is not None:
-                    words = [x.encode("utf-8").split() for x in texts]
-                    runs = [list(map(memo.get, w)) for w in words]  # most words are known: one look-up each
-                    lacking = [i for i, r in enumerate(runs) if None in r]
-                    memo.learn(w for i in lacking for w, r in zip(words[i], runs[i], strict=True) if r is None)
-                    for i in lacking:
-                        runs[i] = [memo[w] if r is None else r for w, r in zip(words[i], runs[i], strict=True)]
-                    streams = [b"".join(r) + end for r in runs]
-                else:
-                    streams = [pack(ids) + end for ids in library(vocabulary)(texts)]
                 rows = []
-                for data in streams:
+                for data in streams_of(pc.fill_null(part.column("text"), "")):
                     ends = cuts(np.frombuffer(data, dtype=kind))
                     digests = [digest_of(data[a * width : b * width]) for a, b in itertools.pairwise([0, *ends])]
                     lengths = np.diff([0, *ends]).astype("<u4").tobytes()
@@ -128,6 +133,19 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
 CHUNKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
 
+def roots_of(recipes: DataFrame) -> DataFrame:
+    """shard, documents, ids, root (Merkle root over the leaves in their order) of the recipes of each shard."""
+    shards = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("documents", T.LongType()), T.StructField("ids", T.LongType()), T.StructField("root", T.BinaryType())])
+    shard_schema = arrow_schema(shards)
+
+    def rooted(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)).sort_by("ordinal")
+        leaves = held.column("leaf").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([len(leaves)], pa.int64()), pa.array([pc.sum(held.column("n_tokens")).as_py()], pa.int64()), pa.array([merkle(leaves)], pa.binary())], schema=shard_schema)
+
+    return recipes.select("shard", "ordinal", "leaf", "n_tokens").groupBy("shard").applyInArrow(rooted, shards)
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> None:
     """Encode every text and write the store below path (a folder that all executors see).
 
@@ -158,7 +176,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     occurrences = staged.select("lengths", "digests", "payload").mapInArrow(split, CHUNKS)
     occurrences.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    recipes = staged.select("doc_id", "n_tokens", "leaf", "lengths", "digests").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
+    recipes = staged.select("doc_id", "n_tokens", "leaf", "lengths", "digests").repartitionByRange(max(partitions(spark), -(-staged.count() // SHARD_DOCUMENTS)), F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("ordinal", T.LongType()), T.StructField("before", T.LongType()), *recipes.schema])
     recipe_schema = arrow_schema(schema)
 
@@ -175,20 +193,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
 
     recipes.mapInArrow(placed, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    shards = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("documents", T.LongType()), T.StructField("ids", T.LongType()), T.StructField("root", T.BinaryType())])
-    shard_schema = arrow_schema(shards)
-
-    def rooted(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves arrive in order; a shard keeps one digest per document of one range."""
-        leaves, ids, shard = [], 0, keys[0].as_py()
-        rows = [(o, leaf, n) for b in batches for o, leaf, n in zip(b.column("ordinal").to_pylist(), b.column("leaf").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)]
-        for _, leaf, n in sorted(rows):
-            leaves.append(leaf)
-            ids += n
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(leaves)], pa.int64()), pa.array([ids], pa.int64()), pa.array([merkle(leaves)], pa.binary())], schema=shard_schema)
-
-    summary = spark.read.schema(schema).parquet(f"{path}/recipes").select("shard", "ordinal", "leaf", "n_tokens").groupBy("shard").applyInArrow(rooted, shards)
-    rows = sorted(summary.collect())  # one row per shard: as many as there are shuffle partitions
+    summary = roots_of(spark.read.schema(schema).parquet(f"{path}/recipes"))
+    rows = sorted(summary.collect())  # one row per shard, that is per SHARD_DOCUMENTS documents or shuffle partition
     first, tokens, manifest = 0, 0, []
     for shard, documents, ids, root in rows:
         manifest.append((shard, first, documents, ids, tokens, bytes(root)))
@@ -198,11 +204,17 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
 
 
 def recipes_of(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a store in order: ordinal, doc_id, start (ids of all documents before it), n_tokens, chunk lengths and digests."""
-    manifest = F.broadcast(spark.read.parquet(f"{path}/manifest").select("shard", "first_ordinal", "ids_before"))  # one row per shard
+    """Documents of a store in order: ordinal, doc_id, start (ids of all documents before it), n_tokens, chunk lengths and digests.
+
+    The manifest verifies them: a shard whose recipes are lost, added or changed, so that they do not give its counts and Merkle
+    root, raises.
+    """
+    recipes = spark.read.parquet(f"{path}/recipes")
+    found = roots_of(recipes).select("shard", F.struct("documents", "ids", "root").alias("found"))
+    sound = F.when(F.col("found").eqNullSafe(F.struct("documents", "ids", "root")), F.col("ids_before")).otherwise(F.raise_error(F.lit("a shard does not match its manifest")).cast("bigint"))
+    manifest = spark.read.parquet(f"{path}/manifest").join(found, "shard", "full").select("shard", "first_ordinal", sound.alias("ids_before"))
     return (
-        spark.read.parquet(f"{path}/recipes")
-        .join(manifest, "shard")
+        recipes.join(F.broadcast(manifest), "shard")  # one row per shard
         .select((F.col("first_ordinal") + F.col("ordinal")).alias("ordinal"), "doc_id", (F.col("ids_before") + F.col("before")).alias("start"), "n_tokens", "leaf", "lengths", "digests")
     )
 

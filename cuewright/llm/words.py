@@ -1,20 +1,26 @@
 """Encoding by public vocabularies, word by word, with a memory bound.
 
 A tokenizer that drops white space and never joins characters across it gives, for a whole text,
-the ids of the words between its ASCII white space, one after another. Those words repeat, so each
-worker encodes the ones it has not met in one batched call of the library and keeps the answers.
-The memo is emptied when it is full; results never depend on what it holds.
+the ids of the words between its ASCII white space, one after another. Those words repeat: of a packet of
+texts, the different words are found in one pass, and those that the worker has not met lately go to the library in
+batches. What a worker remembers is bounded in bytes; results never depend on it.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import cache
 
-#: Words a worker remembers; at about 170 bytes each, some 250 MB.
-MEMO_WORDS = 1_500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes that a worker's memo of words may hold, about; longer words than LONGEST_KEPT are never kept.
+MEMO_BYTES, LONGEST_KEPT = 96 << 20, 64
+#: What an entry takes besides its word and value: their headers, and its place in the memo.
+ENTRY_BYTES = 180
 #: Bytes of new words handed to the library in one call.
 CALL_BYTES = 1 << 18
 
@@ -70,46 +76,74 @@ def letters_only(vocabulary: str) -> Callable[[str], list[int]] | None:
 
 
 #: Marks that may stand behind a word; a run of them is a piece of its own.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 
 
 class WordMemo(dict):
-    """word (UTF-8 bytes) -> what `keep` makes of its ids, for the words met so far. keep(a + b) must be keep(a) + keep(b)."""
+    """word -> what `keep` makes of its ids. keep(a + b) must be keep(a) + keep(b).
+
+    Where the tokenizer lower-cases and takes runs of letters and marks apart, the letters and the marks behind them are
+    remembered apart, so a word is one entry however it is written. `in_batches` gives new words to the library in batches;
+    without it, new words of letters go straight to the model behind the tokenizer, which has nothing else to do for them.
+    """
 
-    def __init__(self, vocabulary: str, keep: Callable[[list[int]], object], limit: int = MEMO_WORDS):
+    def __init__(self, vocabulary: str, keep: Callable[[list[int]], object], in_batches: bool = True, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.encode, self.keep, self.limit, self.plain = library(vocabulary), keep, limit, letters_only(vocabulary)
-        self.marks: dict[bytes, object] = {b"": keep([])}
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Make every one of the words known. Must be called with all words of a step before they are looked up."""
-        wanted = set(words)
-        new = wanted.difference(self)
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = wanted
-        rest = list(new)
-        if self.plain is not None:
-            rest, plain, keep, marks = [], self.plain, self.keep, self.marks
-            for word in new:
-                core = word.rstrip(MARKS)
-                if core.isalpha():
-                    behind = word[len(core) :]
-                    if behind not in marks:
-                        if len(marks) > 1000:
-                            marks.clear()
-                        marks[behind] = keep(self.encode([behind.decode()])[0]) if behind else keep([])
-                    self[word] = keep(plain(core.lower().decode())) + marks[behind]
-                else:
-                    rest.append(word)
-        start, held = 0, 0
-        for i, word in enumerate(rest):
+        self.encode, self.keep, self.most_bytes = library(vocabulary), keep, most_bytes
+        self.plain, self.in_batches, self.held = letters_only(vocabulary), in_batches, 0
+
+    def encoded(self, words: list[str]) -> list[object]:
+        """keep(ids) of words, by the library, CALL_BYTES at a time."""
+        out, start, held = [], 0, 0
+        for i, word in enumerate(words):
             held += len(word) + 8
-            if held >= CALL_BYTES or i + 1 == len(rest):
-                part = rest[start : i + 1]
-                for w, ids in zip(part, self.encode([w.decode("utf-8") for w in part]), strict=True):
-                    self[w] = self.keep(ids)
+            if held >= CALL_BYTES or i + 1 == len(words):
+                out += map(self.keep, self.encode(words[start : i + 1]))
                 start, held = i + 1, 0
+        return out
+
+    def remember(self, words: list[str], values: list[object]) -> dict[str, object]:
+        """All of the words with their values; those that may be kept stay for later."""
+        new = dict(zip(words, values, strict=True))
+        for word, value in new.items():
+            if len(word) <= LONGEST_KEPT:
+                self[word] = value
+                self.held += ENTRY_BYTES + len(word) + (len(value) if isinstance(value, bytes) else 0)
+        return new
+
+    def of(self, words: list[str]) -> list[object]:
+        """The values of different words, in their order."""
+        if self.held > self.most_bytes:
+            self.clear()
+            self.held = 0
+        found = list(map(self.get, words))
+        missing = [i for i, value in enumerate(found) if value is None]
+        if not missing:
+            return found
+        parts: list[tuple[str, str]] = []  # of each missing word: what is looked up, and the marks behind it
+        for i in missing:
+            word = words[i]
+            letters = word.rstrip(MARKS) if self.plain is not None else ""
+            parts.append((letters.lower(), word[len(letters) :]) if letters.isascii() and letters.isalpha() else (word, ""))
+        wanted = {x for part in parts for x in part if x}
+        known = {x: value for x in wanted if (value := self.get(x)) is not None}
+        new = list(wanted.difference(known))
+        if self.plain is not None and not self.in_batches:
+            letters = [x for x in new if x.isascii() and x.isalpha()]
+            known |= self.remember(letters, [self.keep(self.plain(x)) for x in letters])
+            new = [x for x in new if x not in known]
+        known |= self.remember(new, self.encoded(new))
+        known[""] = self.keep([])
+        for i, (first, second) in zip(missing, parts, strict=True):
+            found[i] = known[first] + known[second] if second else known[first]
+        return found
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts, the words of all texts as places among them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def pieces(data: bytes, size: int) -> list[bytes]:

@@ -10,10 +10,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from cuewright.llm import byte_bpe, token_counts, token_store
 from cuewright.llm.common import scratch_path
-from cuewright.llm.words import WordMemo, library
+from cuewright.llm.words import WordMemo, library, words_of
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "aab  \n\n\tZz'sé日本!!0 1\xa0ñeing the\x1c."
@@ -115,13 +116,22 @@ def test_counts_of_other_vocabularies(spark, rows, name):
     assert sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(df, path).collect()) == expected
 
 
-def test_memo_does_not_change_ids():
-    memo = WordMemo(WORDS, list, limit=50)
-    words = [w for t in texts(200) for w in t.encode().split()] + [b"Word.", b"it's", b"NO!!", b"<|endoftext|>", b"don't."]
+@pytest.mark.parametrize("in_batches", [True, False])
+def test_memo_does_not_change_ids(in_batches):
+    memo = WordMemo(WORDS, list, in_batches, most_bytes=8000)
+    words = [w for t in texts(200) for w in words_of(pa.array([t]))[0]] + ["Word.", "it's", "NO!!", "<|endoftext|>", "don't.", "...", "a" * 300, ".word", "É.", "x.y."]
     for i in range(0, len(words), 20):
-        memo.learn(words[i : i + 20])
-        for w in words[i : i + 20]:
-            assert memo[w] == library(WORDS)([w.decode()])[0]
+        some = list(dict.fromkeys(words[i : i + 20]))
+        assert memo.of(some) == library(WORDS)(some)
+        assert memo.held <= 8000 + 20 * 400 and all(len(w) <= 64 for w in memo)
+
+
+def test_memo_is_bounded_in_bytes():
+    draw = random.Random(8)
+    memo = WordMemo(WORDS, len, most_bytes=50_000)
+    for _ in range(10):
+        memo.of(["".join(draw.choices("abcdefgh", k=2000)) for _ in range(20)] + ["".join(draw.choices("abcdefgh", k=9)) for _ in range(200)])
+    assert len(memo) <= 500 and max(map(len, memo)) <= 64
 
 
 def test_store_round_trip(spark, rows):
@@ -144,6 +154,21 @@ def test_store_round_trip(spark, rows):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+@pytest.mark.parametrize("change", ["lost", "repeated", "another count"])
+def test_manifest_verifies_recipes(spark, rows, change):
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(rows[1], path, WORDS, end_id=1)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    one = recipes.filter("doc_id = 12")
+    changed = {"lost": recipes.filter("doc_id IS NULL OR doc_id <> 12"), "repeated": recipes.unionByName(one), "another count": recipes.withColumn("n_tokens", F.expr("n_tokens + if(doc_id <=> 12, 1, 0)"))}[change]
+    other = scratch_path(spark, "test-store")
+    changed.write.parquet(f"{other}/recipes")
+    for part in ("chunks", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{other}/{part}")
+    with pytest.raises(Exception, match="does not match its manifest"):
+        token_store.read_checksums(spark, other).collect()
+
+
 def test_store_of_nothing(spark, rows):
     path = scratch_path(spark, "test-store")
     token_store.write_store(rows[1].limit(0), path, WORDS, end_id=1)
