@@ -8,18 +8,19 @@ with the best likelihood less a penalty for every language in it.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, packets, picked, prepare, texts_of
+from cuewright.llm.common import arrow_schema, packets, picked, prepare, written
+from cuewright.llm.words import words_of
 
 #: Trigrams fall into 2 ** BITS buckets; SMOOTHING is added to each count.
 BITS, SMOOTHING = 16, 0.5
@@ -31,15 +32,16 @@ BACKGROUND = -BITS * float(np.log(2))
 WORD_CAP = 12.0
 #: The most languages that may be learned: bounds what the driver gathers and every worker holds.
 MOST_LANGUAGES = 512
-MEMO_WORDS = 300_000
 PACKET_BYTES = 4 << 20
 NO_LETTERS = regex.compile(r"[^\p{L}\p{M}\n]+")
+#: Marks that stand on no letter.
+LOOSE_MARKS = regex.compile(r"(?<![\p{L}\p{M}])\p{M}+")
 UNKNOWN = "und"
 
 
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the trigrams of words, and how many each word has. A word without letters has none."""
-    text = NO_LETTERS.sub(" ", b"\n".join(words).decode("utf-8", "replace").lower())
+    text = LOOSE_MARKS.sub(" ", NO_LETTERS.sub(" ", "\n".join(words).lower()))
     lines = [b" " + b" ".join(line.encode("utf-8").split()) + b" " for line in text.split("\n")]
     joined = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
     codes = joined[:-2].astype(np.uint32) << 16 | joined[1:-1].astype(np.uint32) << 8 | joined[2:] if len(joined) > 2 else np.empty(0, np.uint32)
@@ -81,22 +83,25 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                words: dict[str, Counter] = {}
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words.setdefault(lang, Counter()).update(text.encode("utf-8").split())
-                for lang, found in words.items():
-                    codes, sizes = trigrams(list(found))
-                    weights = np.repeat(np.fromiter(found.values(), dtype=np.float64, count=len(found)), sizes)
+                words, chosen, sizes = words_of(part.column("text"))
+                if not words:
+                    continue
+                codes, counts = trigrams(words)
+                langs = part.column("lang").dictionary_encode()
+                of_word = np.repeat(langs.indices.to_numpy(), sizes)
+                for i, lang in enumerate(langs.dictionary.to_pylist()):
+                    times = np.bincount(chosen[of_word == i], minlength=len(words)).astype(np.float64)
                     totals.setdefault(lang, np.zeros(1 << BITS))
-                    totals[lang] += np.bincount(codes, weights, 1 << BITS)
+                    totals[lang] += np.bincount(codes, np.repeat(times, counts), 1 << BITS)
         for lang, total in totals.items():
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], schema=out_schema)
 
-    table = source.mapInArrow(counted, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(table.column("lang").to_pylist()))
+    sums = written(source.mapInArrow(counted, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    names = sorted(r[0] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} can be learned")
+        raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
+    table = sums.toArrow()  # at most MOST_LANGUAGES x 2 ** BITS numbers
     counts = np.full((len(names), 1 << BITS), SMOOTHING)
     place = {name: i for i, name in enumerate(names)}
     np.add.at(counts, (np.array([place[x] for x in table.column("lang").to_pylist()], dtype=np.int64), table.column("bucket").to_numpy()), table.column("n").to_numpy())
@@ -104,35 +109,20 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 class WordScores:
-    """Likelihoods of words in each language, relative to the best one, and of the best one against the background; bounded memo per worker."""
+    """Likelihoods of words in each language, relative to the best one, and of the best one against the background."""
 
     def __init__(self, model: Model):
-        self.scores, self.rows = np.ascontiguousarray(model.scores.T), {}
-        self.table = np.zeros((MEMO_WORDS, len(model.languages)), dtype=np.float32)
-        self.evidence = np.zeros(MEMO_WORDS, dtype=np.float32)
-        self.trigrams = np.zeros(MEMO_WORDS, dtype=np.int32)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > len(self.table):
-            self.rows.clear()
-            new = list(words)
-            if len(new) > len(self.table):
-                self.table = np.zeros((len(new), self.table.shape[1]), dtype=np.float32)
-                self.evidence = np.zeros(len(new), dtype=np.float32)
-                self.trigrams = np.zeros(len(new), dtype=np.int32)
-        if not new:
-            return
-        at = len(self.rows)
-        codes, sizes = trigrams(new)
-        sums = np.zeros((len(new), self.table.shape[1]))
+        self.scores = np.ascontiguousarray(model.scores.T)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: its relative likelihoods, by how much the best language beats the background, and its trigrams."""
+        codes, sizes = trigrams(words) if words else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        sums = np.zeros((len(words), self.scores.shape[1]))
         some = np.flatnonzero(sizes)
         if len(some):
             sums[some] = np.add.reduceat(self.scores[codes], (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.float64)
-        self.table[at : at + len(new)] = np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -WORD_CAP))
-        self.evidence[at : at + len(new)] = sums.max(axis=1) - BACKGROUND * sizes
-        self.trigrams[at : at + len(new)] = sizes
-        self.rows.update(zip(new, range(at, at + len(new)), strict=True))
+        best = sums.max(axis=1, initial=-np.inf, keepdims=True) if len(words) else np.zeros((0, 1))
+        return np.exp(np.maximum(sums - best, -WORD_CAP)).astype(np.float32), best[:, 0] - BACKGROUND * sizes, sizes
 
 
 def mixture(likelihoods: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -202,20 +192,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value.languages
-        memo = WordScores(sent.value)
+        scores = WordScores(sent.value)
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                texts = texts_of(part)
-                words = [x.encode("utf-8").split() if names else [] for x in texts]
-                memo.learn(set().union(*words))
-                rows = np.fromiter((r for w in words for r in map(memo.rows.__getitem__, w)), dtype=np.int64, count=sum(map(len, words)))
-                kept = memo.trigrams[rows] > 0
-                owner = np.repeat(np.arange(len(words)), [len(w) for w in words])[kept]
-                sizes = np.bincount(owner, minlength=len(words))
+                n = part.num_rows
+                # Of a packet, each different word is scored once; nothing is kept for the next.
+                words, chosen, counts = words_of(pc.fill_null(part.column("text"), "")) if names else ([], np.empty(0, np.int64), np.zeros(n, np.int64))
+                likelihoods, beats, sizes_of = scores.of(words) if names else (np.empty((0, 0)), np.empty(0), np.empty(0))
+                kept = sizes_of[chosen] > 0
+                owner = np.repeat(np.arange(n), counts)[kept]
+                sizes = np.bincount(owner, minlength=n)
                 with_words = np.flatnonzero(sizes)
-                results = dict(zip(with_words.tolist(), infer(memo.table[rows[kept]], sizes[with_words]), strict=True)) if len(with_words) else {}
-                found = [results.get(i) for i in range(len(texts))]
-                total, trigrams_of = (np.bincount(owner, weights=x[rows[kept]], minlength=len(words)) for x in (memo.evidence, memo.trigrams))
+                results = dict(zip(with_words.tolist(), infer(likelihoods[chosen[kept]], sizes[with_words]), strict=True)) if len(with_words) else {}
+                found = [results.get(i) for i in range(n)]
+                total, trigrams_of = (np.bincount(owner, weights=x[chosen[kept]], minlength=n) for x in (beats, sizes_of))
                 evidence = total / np.maximum(trigrams_of, 1)
                 yield pa.RecordBatch.from_arrays(
                     [

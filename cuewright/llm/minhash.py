@@ -11,37 +11,37 @@ Finding components takes three passes, none of which makes all pairs of a bucket
    with the most company over all its buckets. Where copies were made of one text, that text is in more of their
    buckets than any copy, so its copies meet it, even if they are too far from each other.
 2. Components of the links so far. A bucket that lies in one component has nothing left to say.
-3. In the other buckets, registers of classes of different components are compared in memory, block by block
-   (a bucket beyond BLOCK classes is dealt out as pairs of blocks), and only pairs whose estimate leaves a link
-   possible are emitted and verified.
+3. In the other buckets, classes of different components are compared in memory. The largest component of a bucket is
+   dealt out in blocks apart from all other classes, so blocks of its own never meet each other. A pair belongs to the
+   first bucket that it shares. Where registers leave a link possible, full sets decide, the likeliest pairs first, until a
+   component is joined; only links that join components leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, packets, picked, prepare, texts_of, written
+from cuewright.llm.common import arrow_schema, packets, picked, prepare, written
 from cuewright.llm.components import components
 
 #: 32 bands of 4 registers miss a pair of similarity 0.8 with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
 REGISTERS, ROWS = 128, 4
 BUCKET_BITS, MANTISSA = 7, 10
-#: An estimate may fall short of the similarity by this much (4 standard deviations at 0.8) before a pair is let go.
-SLACK = 0.14
+#: A pair is let go if its estimate falls short of the threshold by more than this: 5.6 standard deviations at 0.8, so a
+#: link is lost with probability below 1e-7, as with the bands.
+SLACK = 0.2
 #: Hubs that a class is compared with in the first pass; what they leave apart is for the third.
 HUBS = 2
-#: Classes of a bucket that are compared in one task.
-BLOCK = 1024
-PACKET_BYTES = 4 << 20
-MEMO_WORDS = 700_000
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Classes of a bucket, and shingles of all their sets, that make a block; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+PACKET_BYTES = 8 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,38 +52,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered by each worker up to MEMO_WORDS."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-@cache
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles: of `size` words, or of all its words if it has fewer; none for a null."""
+    import xxhash
+
+    # These six characters separate words: space, and tab to carriage return.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    coded = pc.list_flatten(lists).dictionary_encode()
+    places = coded.indices.to_numpy().astype(np.int64)
+    of_word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    blank = next((i for i, w in enumerate(coded.dictionary.to_pylist()) if w == ""), -1)  # white space at the ends of a text
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(counts)
+    if blank >= 0:
+        real = places != blank
+        before = np.concatenate(([0], np.cumsum(real)))
+        places, ends = places[real], before[ends]
+        counts = np.diff(ends, prepend=0)
+    hashes = of_word[places] if len(places) else np.empty(0, np.uint64)
+
+    def summed(run: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(len(run) - width + 1, np.uint64(width))
+        for i in range(width):
+            total = total * ODD + run[i : len(run) - width + 1 + i]
+            total ^= total >> np.uint64(32)
+        return mixed(total)
+
+    whole = summed(hashes, size) if len(hashes) >= size else np.empty(0, np.uint64)  # also those that cross from one text to the next, left out below
+    out = []
+    for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+        if n >= size:
+            out.append(np.unique(whole[end - n : end - size + 1]))
+        else:
+            out.append(summed(hashes[end - n : end], n) if n else np.empty(0, np.uint64))
+    return out
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text: of `size` words, or of all its words if it has fewer."""
-    if not text:
-        return np.empty(0, np.uint64)
-    # bytes.split() splits at the same six characters: space, and tab to carriage return.
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(size, len(words))
-    total = np.full(len(hashes) - size + 1, np.uint64(size))
-    for i in range(size):
-        total = total * ODD + hashes[i : len(hashes) - size + 1 + i]
-        total ^= total >> np.uint64(32)
-    return np.unique(mixed(total))
+    return shingle_sets(pa.array([text], pa.string()), size)[0]
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -100,16 +106,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of the bands of register rows; a band without any hash makes none."""
+def keys_of_bands(table: np.ndarray) -> np.ndarray:
+    """The key of every band of register rows; 0 for a band without any hash."""
     bands = table.reshape(len(table), REGISTERS // ROWS, ROWS).astype(np.uint64)
     key = np.zeros(bands.shape[:2], np.uint64)
     for i in range(ROWS):
         key = key * np.uint64(65536) + bands[:, :, i]
     used = key != 0
     key = mixed(key * ODD + np.arange(1, key.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    rows, _ = np.nonzero(used)
-    return rows, key[used].astype(np.int64)
+    return np.where(used, key, np.uint64(0)).astype(np.int64)
+
+
+def band_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of the bands of register rows; a band without any hash makes none."""
+    keys = keys_of_bands(table)
+    rows, _ = np.nonzero(keys)
+    return rows, keys[keys != 0]
 
 
 #: Chance that two registers of different minima agree: over the geometric leading zeros, times the mantissa.
@@ -142,8 +154,7 @@ def described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
                 sizes, digests, signatures = [], [], []
-                for text in texts_of(part):
-                    hashes = shingle_set(text, shingle)
+                for hashes in shingle_sets(part.column("text"), shingle):
                     sizes.append(len(hashes))
                     digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                     signatures.append(registers(hashes).tobytes())
@@ -157,30 +168,38 @@ def node(*names: str):
     return F.struct(*(F.col(old).alias(new) for old, new in zip(names, CLASS, strict=True)))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar. The texts of one row of each class are read again."""
+def similar(left: np.ndarray, right: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two full sets are as similar as similarity[0] / similarity[1]."""
     bound, base = similarity
+    if base * min(len(left), len(right)) < bound * max(len(left), len(right)):
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return base * both >= bound * (len(left) + len(right) - both)
+
+
+def texts_of_classes(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """c, text: the text of one row of each wanted class."""
     texts = docs.select(F.col(id_col).alias("rep_id"), F.xxhash64(text_col).alias("rep_key"), F.col(text_col).alias("text"))
-    named = classes.select(node(*CLASS).alias("c"), "rep_id", "rep_key")
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(named, "c")
+    named = wanted.join(classes.select(node(*CLASS).alias("c"), "rep_id", "rep_key"), "c")
     # Rows that repeat both id and text give the same text twice; one of them is as good as the other.
-    held = wanted.join(texts, (wanted.rep_key == texts.rep_key) & wanted.rep_id.eqNullSafe(texts.rep_id)).groupBy("c").agg(F.first("text").alias("text"))
-    held = written(held, "texts")
+    return named.join(texts, (named.rep_key == texts.rep_key) & named.rep_id.eqNullSafe(texts.rep_id)).groupBy("c").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar. The texts of one row of each class are read again."""
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    held = written(texts_of_classes(wanted, classes, docs, id_col, text_col), "texts")
     joined = pairs.join(held.select(F.col("c").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("c").alias("b"), F.col("text").alias("right")), "b")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                if one != last:
-                    last, left = one, shingle_set(one, shingle)
-                right = shingle_set(other, shingle)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(base * both >= bound * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], schema=out_schema)
+            for part in packets(batch, "right", PACKET_BYTES):
+                sides = [part.column(c).dictionary_encode() for c in ("left", "right")]  # a hub stands in many pairs
+                sets = [shingle_sets(side.dictionary, shingle) for side in sides]
+                keep = [similar(sets[0][i], sets[1][j], similarity) for i, j in zip(*(side.indices.to_pylist() for side in sides), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], schema=out_schema)
 
     return joined.select("a", "b", "left", "right").mapInArrow(run, schema)
 
@@ -202,36 +221,111 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of classes of different components in the same bucket whose registers leave a link possible.
+DEALT = "key long, i int, j int, main boolean, first boolean, c struct<hi: long, lo: long>, component struct<hi: long, lo: long>, registers binary"
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """The classes of split buckets in pairs of blocks that are to be compared.
 
-    members: key, n (classes of the bucket), c, component, registers. A bucket of more than BLOCK classes is dealt to
-    pairs of blocks, so no task holds more than two blocks of it; registers are compared, not rows joined.
+    members: key, c, component, registers, n_shingles. The largest component of a bucket is its main one. Its blocks meet the blocks of
+    all other classes, and those meet each other; blocks within the main component are never paired. `first` marks
+    the side i, `main` whether side j is of the main component.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+    most = sizes.groupBy("key").agg(F.max_by(F.struct("component", "n", "weight"), F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    plan = most.select("key", F.col("m.component").alias("largest"), blocks(F.col("m.n"), F.col("m.weight")).alias("main_blocks"), blocks(F.col("n") - F.col("m.n"), F.col("weight") - F.col("m.weight")).alias("blocks"))
+    placed = members.join(plan, "key").withColumn("main", F.col("component") == F.col("largest"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    role = lambda i, j, main, first: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("main"), F.lit(first).alias("first"))
+    block = F.col("block")
+    of_main = F.transform(numbers(F.col("blocks")), lambda i: role(i, block, True, False))
+    of_others = F.concat(
+        F.transform(numbers(F.col("main_blocks")), lambda j: role(block, j, True, True)),
+        F.transform(F.filter(numbers(F.col("blocks")), lambda j: j >= block), lambda j: role(block, j, False, True)),
+        F.transform(F.filter(numbers(F.col("blocks")), lambda i: i < block), lambda i: role(i, block, False, False)),
+    )
+    roles = placed.withColumn("role", F.explode(F.when(F.col("main"), of_main).otherwise(of_others)))
+    return roles.select("key", "role.i", "role.j", "role.main", "role.first", "c", "component", "registers")
+
+
+def possible(held: pa.Table, key: int, same_block: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs of different components whose first shared bucket is this one and whose registers leave a link possible, and their estimates."""
+    table = np.frombuffer(b"".join(held.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    keys = keys_of_bands(table)
+    groups = np.unique(held.column("label").to_pylist(), return_inverse=True)[1]
+    first = held.column("first").to_numpy()
+    lefts, rights, sims = [], [], []
+    others = np.flatnonzero(first if same_block else ~first)
+    for x in np.flatnonzero(first).tolist():
+        there = others[(groups[others] != groups[x]) & ((others > x) if same_block else True)]
+        if len(there):
+            sim = estimates(table[x], table[there])
+            near = sim >= least - SLACK
+            there, sim = there[near], sim[near]
+            shared = (keys[there] == keys[x]) & (keys[x] != 0)
+            here = keys[x][shared.argmax(axis=1)] == key
+            lefts.append(np.full(int(here.sum()), x))
+            rights.append(there[here])
+            sims.append(sim[here])
+    empty = [np.empty(0, np.int64)]
+    return np.concatenate(lefts or empty), np.concatenate(rights or empty), np.concatenate(sims or [np.empty(0)])
+
+
+def with_labels(held: pa.Table) -> pa.Table:
+    """Adds one sortable string per component."""
+    parts = pc.struct_field(held.column("component"), "hi"), pc.struct_field(held.column("component"), "lo")
+    return held.append_column("label", pc.binary_join_element_wise(*(p.cast(pa.string()) for p in parts), "/"))
+
+
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join different components of a bucket; of links between the same two components one is enough.
+
+    Two steps over the same blocks: registers tell which classes have a pair whose estimate leaves a link possible; the
+    texts of those alone are fetched, and full sets decide. No pairs are emitted but links.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "component", "registers")
-    schema = T.StructType([T.StructField("a", members.schema["c"].dataType), T.StructField("b", members.schema["c"].dataType)])
+    blocks = written(dealt(members), "blocks")
+    schema = T.StructType.fromDDL(DEALT)
     out_schema = arrow_schema(schema)
 
-    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        table = np.frombuffer(b"".join(held.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        classes, groups = held.column("c").to_pylist(), np.unique([str(x) for x in held.column("component").to_pylist()], return_inverse=True)[1]
-        block, (i, j) = held.column("block").to_numpy(), (keys[1].as_py(), keys[2].as_py())
-        rows = np.flatnonzero(block == i)
-        columns = np.flatnonzero(block == j)
-        lefts, rights = [], []
-        for x in rows.tolist():
-            there = columns[columns > x] if i == j else columns
-            there = there[groups[there] != groups[x]]
-            if len(there):
-                for y in there[estimates(table[x], table[there]) >= least - SLACK].tolist():
-                    lefts.append(min(classes[x], classes[y], key=lambda c: (c["hi"], c["lo"])))
-                    rights.append(max(classes[x], classes[y], key=lambda c: (c["hi"], c["lo"])))
-        yield pa.RecordBatch.from_arrays([pa.array(lefts, out_schema.field("a").type), pa.array(rights, out_schema.field("b").type)], schema=out_schema)
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
+    def wanted(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = with_labels(pa.Table.from_batches(list(batches)))
+        key, i, j, main = (k.as_py() for k in keys)
+        lefts, rights, _ = possible(held, key, not main and i == j, least)
+        held = held.take(pa.array(np.unique(np.concatenate([lefts, rights])), pa.int64())).combine_chunks()
+        yield from (pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in out_schema], schema=out_schema) for b in held.to_batches())
+
+    open_ = written(blocks.groupBy("key", "i", "j", "main").applyInArrow(wanted, schema), "open", release=True)
+    texts = written(texts_of_classes(open_.select("c").distinct(), classes, docs, id_col, text_col), "texts")
+    pair = T.StructType([T.StructField("a", schema["c"].dataType), T.StructField("b", schema["c"].dataType)])
+    pair_schema = arrow_schema(pair)
+
+    def decided(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = with_labels(pa.Table.from_batches(list(batches)))
+        key, i, j, main = (k.as_py() for k in keys)
+        lefts, rights, sims = possible(held, key, not main and i == j, least)
+        sets = shingle_sets(held.column("text").combine_chunks(), shingle)
+        labels = held.column("label").to_pylist()
+        root = {x: x for x in labels}
+
+        def find(x: str) -> str:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kept: list[tuple[int, int]] = []
+        for at in np.argsort(-sims, kind="stable").tolist():
+            x, y = int(lefts[at]), int(rights[at])
+            a, b = find(labels[x]), find(labels[y])
+            if a != b and similar(sets[x], sets[y], similarity):
+                root[a] = b
+                kept.append((x, y))
+        classes_ = held.column("c").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([classes_[p[k]] for p in kept], pair_schema.field(k).type) for k in (0, 1)], schema=pair_schema)
+
+    return open_.join(texts, "c").groupBy("key", "i", "j", "main").applyInArrow(decided, pair)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,8 +345,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     classes = (
         rows.filter("n_shingles > 0")
         .groupBy(*CLASS)
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("registers").alias("registers"))
-        .select(*CLASS, F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "registers")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
+        .select(*CLASS, F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "registers", "n_shingles")
     )
     classes = written(classes, "classes")
     out_schema = arrow_schema(T.StructType([T.StructField("key", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
@@ -274,15 +368,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     stars = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= HUBS).select(F.col("pivot").alias("a"), F.col("c").alias("b"))
     candidates = written(estimated(stars, classes, least), "candidates", release=True)
     links = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
-    reached = components(links)
-
-    labelled = members.join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
-    split = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key", "n")
-    # Pairs of the first pass are settled; all others of each bucket that is still split are compared now.
-    rest = labelled.join(split, "key").join(classes.select(node(*CLASS).alias("c"), "registers"), "c")
-    candidates = written(across(rest, least).join(candidates, ["a", "b"], "left_anti"), "candidates", release=True)
-    more = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
-    reached = written(components(links.unionByName(more)), "components")
+    reached = written(components(links), "components")
+
+    labelled = written(members.join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component")), "labelled")
+    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    # All pairs of different components in each bucket that is still split are compared now.
+    rest = labelled.join(split, "key").join(classes.select(node(*CLASS).alias("c"), "registers", "n_shingles"), "c")
+    more = written(across(rest, classes, docs, least, shingle, similarity, id_col, text_col), "links", release=True)
+    # These links join whole components, so only their labels are joined, not the classes.
+    ends = more.join(reached.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    joined = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    every = reached.unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("label"))
+    reached = written(every.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("component")), "components")
 
     smallest = classes.select(node(*CLASS).alias("node"), "rep_id").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep_id")
     names = smallest.groupBy("component").agg(F.min("rep_id").alias("component_id"))

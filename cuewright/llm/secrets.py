@@ -1,9 +1,9 @@
 """Operator 2, secret scans: fixed patterns, and a linear-chain conditional random field decoded by Viterbi.
 
-The field tags tokens as secret begin (B), inside (I) or outside (O) from their shape, the words beside them
-and features of the whole file. A token without digit, underscore, plus sign or slash is outside by definition:
-it cannot be a credential that a shape would tell from a word. So a text falls into runs of other tokens
-between certain O tags, and the best path of each run, entered and left through O, is the best path of the text.
+The field tags every token of a text as secret begin (B), inside (I) or outside (O) from its shape, the words beside it and
+features of the whole file. The tokens of a packet of texts are described and decoded together: what a token is in itself
+is found once for each different one, and the best path of all texts, one after another with a certain outside between
+them, comes from one Viterbi pass over runs of tokens side by side.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, packets, picked, prepare, texts_of
+from cuewright.llm.common import arrow_schema, binaries, packets, picked, prepare, texts_of
 
-PACKET_BYTES = 4 << 20
+PACKET_BYTES = 2 << 20
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run that is shorter fails as a whole, so only long runs are looked for
@@ -47,180 +49,341 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-#: Runs of tokens that could be secret, and the pieces of such a run.
-CANDIDATE = re.compile(r"(?<!\S)[^\s0-9_+/]*+[0-9_+/]\S*+")
-PIECE = re.compile(r"""[^\s"'`=:,;(){}\[\]<>]+|[=:]""")
-CUES = frozenset("password passwd pwd secret token key apikey api_key access_key auth authorization bearer credential credentials private passphrase signature session cookie jwt".split())
-TAGS = ("O", "B", "I")
-
-
-def shape_of(token: str) -> str:
-    """Runs of digits, capitals and small letters as 9, A and a, each once."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token))))[:6]
-
-
-def features(tokens: list[str], i: int, file: tuple[str, ...]) -> list[str]:
-    token = tokens[i]
-    n, digits, capitals = len(token), sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    kinds = (digits > 0) + (capitals > 0) + (letters > capitals)
-    distinct = len(set(token)) / max(1, n)
-    word = token.lower().strip(".-_")
-    out = ["bias", f"length:{min(6, n.bit_length())}", f"kinds:{kinds}", f"changes:{min(6, sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False)))}", f"digits:{4 * digits // max(1, n)}", f"distinct:{int(4 * distinct)}"]
-    out.append(f"shape:{shape_of(token)}" if n < 12 else "shape:long")
-    if n >= 16 and kinds == 3:
-        out.append("random")
-    if "." in token or "@" in token or "/" in token or "-" in token:
-        out.append("joined")
-    if re.fullmatch(r"[0-9.,:/-]+", token):
-        out.append("numeric")
-    if word in CUES or any(word.endswith(f"_{c}") or word.endswith(f"-{c}") for c in CUES):
-        out.append("cue")
-    for back in (1, 2, 3):
-        near = tokens[i - back].lower().strip(".-_") if i >= back else ""
-        if near in CUES or any(near.endswith(f"_{c}") for c in CUES):
-            out += [f"after cue:{back}", f"after cue and {kinds} kinds"]
-    if i and tokens[i - 1] in "=:":
-        out.append("after sign")
-    if i + 1 < len(tokens) and tokens[i + 1] in "=:":
-        out.append("before sign")
-    return out + [f"{x} {min(3, kinds)}" for x in file]
-
-
-def file_features(text: str) -> tuple[str, ...]:
-    """What kind of file a text is: how many assignments and braces its lines hold."""
-    lines = text.count("\n") + 1
-    return (f"assignments:{min(2, 2 * text.count('=') // lines)}", f"braces:{min(2, 2 * text.count('{') // lines)}")
+#: Tokens are runs of other bytes than these, and each of the signs = and : alone.
+SEPARATORS, SIGNS = b"\t\n\x0b\x0c\r \"'`,;(){}[]<>", b"=:"
+CUES = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "authorization", "bearer", "credential", "credentials", "private", "passphrase", "signature", "session", "cookie", "jwt")
+CUE = "(^|[_-])(" + "|".join(CUES) + ")$"
+O, B, I = 0, 1, 2
+#: Never on a path: inside does not follow outside, and between two texts all is outside.
+NEVER = -1e9
+#: Kinds of bytes, for shapes: digit, capital, small letter, beyond ASCII, others.
+BYTE_KINDS = np.array([0 if 48 <= b <= 57 else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if b > 127 else 4 for b in range(256)], np.int8)
+ROLES = np.array([0 if b in SEPARATORS else 2 if b in SIGNS else 1 for b in range(256)], np.int8)
+#: Tokens shorter than this have a shape: their runs of equal kinds. Ten runs at most, six ways each.
+SHAPED = 11
+
+
+@dataclass
+class Tokens:
+    """Tokens of a packet of texts: the text and the bytes of each, and the codes of its features, one column each."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    columns: dict[str, np.ndarray]
+
+
+def run_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of runs that stand one after another; ends begins with 0."""
+    before = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=before[1:])
+    return before[ends[1:]] - before[ends[:-1]]
+
+
+def own_features(words: pa.Array) -> dict[str, np.ndarray]:
+    """Codes of what a token is in itself, for different tokens (large_binary, none of them empty)."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    n, kinds = np.diff(ends), BYTE_KINDS[data]
+    firsts = np.zeros(len(data), bool)
+    firsts[ends[:-1]] = True
+    digits, capitals, letters = (run_sums(x, ends) for x in (kinds == 0, kinds == 1, (kinds >= 1) & (kinds <= 3)))
+    differ = np.zeros(len(data), bool)
+    differ[1:] = kinds[1:] != kinds[:-1]
+    turns = np.zeros(len(data), bool)
+    turns[1:] = (kinds[1:] == 0) != (kinds[:-1] == 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    distinct = np.bincount(np.unique(owner * 256 + data) >> 8, minlength=len(n))
+    starts = differ | firsts
+    place = np.cumsum(starts) - 1
+    place -= np.repeat(place[ends[:-1]], n)  # of a byte's run in its token
+    short = starts & np.repeat(n < SHAPED, n)
+    shape = np.bincount(owner[short], weights=(kinds[short] + 1.0) * 6.0 ** place[short], minlength=len(n)).astype(np.int64)
+    classes = (digits > 0).astype(np.int64) + (capitals > 0) + (letters > capitals)
+    joins = run_sums(np.isin(data, np.frombuffer(b".@/-", np.uint8)), ends)
+    plain = run_sums((kinds == 0) | np.isin(data, np.frombuffer(b"./-", np.uint8)), ends)
+    text = pc.ascii_trim(pc.ascii_lower(words.cast(pa.large_string())), characters=".-_")
+    return {
+        "length": np.minimum(7, np.ceil(np.log2(n + 1)).astype(np.int64)),
+        "kinds": classes,
+        "changes": np.minimum(6, run_sums(turns & ~firsts, ends)),
+        "digits": 4 * digits // n,
+        "distinct": 4 * distinct // n,
+        "shape": np.where(n < SHAPED, shape, 0),
+        "random": ((n >= 16) & (classes == 3)).astype(np.int64),
+        "joined": (joins > 0).astype(np.int64) + 2 * (plain == n),
+        "cue": pc.match_substring_regex(text, CUE).to_numpy(zero_copy_only=False).astype(np.int64),
+        "sign": ((n == 1) & np.isin(data[ends[:-1]], np.frombuffer(SIGNS, np.uint8))).astype(np.int64),
+    }
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """All tokens of texts, with features of their shape, of up to three words before, of what stands beside them, and of the whole file."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    roles = ROLES[data]
+    firsts = np.zeros(len(data) + 1, bool)
+    firsts[offsets] = True
+    starts = roles == 2
+    starts[1:] |= (roles[1:] == 1) & (roles[:-1] != 1)
+    starts |= (roles == 1) & firsts[:-1]
+    start = np.flatnonzero(starts)
+    inside = roles > 0
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(inside, out=before[1:])
+    held = before[np.append(start, len(data))]  # of the bytes that belong to tokens, those before each token
+    sizes = np.diff(held)
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    if not len(start):
+        return Tokens(owner, start, start, {})
+    coded = binaries(data[inside], np.append(held[:-1], held[-1])).dictionary_encode()
+    which = coded.indices.to_numpy()
+    columns = {name: codes[which] for name, codes in own_features(coded.dictionary).items()}
+
+    def back(codes: np.ndarray, by: int) -> np.ndarray:
+        """Of the token that stands so many before, in the same text; 0 where there is none."""
+        out = np.zeros_like(codes)
+        if by > 0:
+            out[by:] = np.where(owner[by:] == owner[:-by], codes[:-by], 0)
+        else:
+            out[:by] = np.where(owner[:by] == owner[-by:], codes[-by:], 0)
+        return out
+
+    cue, sign, kinds = columns["cue"], columns["sign"], columns["kinds"]
+    cued = np.where(back(cue, 1) > 0, 3, np.where(back(cue, 2) > 0, 2, np.where(back(cue, 3) > 0, 1, 0)))
+    gap = np.zeros(len(start), np.int64)
+    gap[1:] = np.where(owner[1:] == owner[:-1], np.minimum(2, start[1:] - (start + sizes)[:-1]), 2)
+    gap[0] = 2
+    length = columns["length"]
+    columns["context"] = ((cued * 2 + back(sign, 1)) * 4 + kinds) * 8 + length
+    columns["beside"] = ((gap * 2 + sign) * 4 + back(kinds, 1)) * 8 + back(length, 1)
+    columns["behind"] = (back(sign, -1) * 4 + back(kinds, -1)) * 4 + kinds
+    lines = run_sums(data == 10, offsets) + 1
+    for name, byte in (("assignments", 61), ("braces", 123)):
+        file = np.minimum(2, 2 * run_sums(data == byte, offsets) // lines)
+        columns[name] = file[owner] * 4 + kinds
+    return Tokens(owner, start, start + sizes, columns)
 
 
 class Field:
     """Weights of (feature, tag) and of (tag, tag)."""
 
-    def __init__(self) -> None:
-        self.weights: dict[str, np.ndarray] = {}
+    def __init__(self, codes: dict[str, np.ndarray] | None = None) -> None:
+        """codes: those that each column is known to have, sorted; others weigh nothing."""
+        self.codes = codes or {}
+        self.weights = {name: np.zeros((len(known), 3)) for name, known in self.codes.items()}
         self.moves = np.zeros((3, 3))
-        self.moves[0, 2] = -1e9  # inside never follows outside
-
-    def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        none = np.zeros(3)
-        return np.array([sum((self.weights.get(f, none) for f in row), none) for row in rows])
-
-    def viterbi(self, emitted: np.ndarray) -> list[int]:
-        """Best tags of a run that is entered from O and left to O."""
-        score, back = self.moves[0] + emitted[0], []
-        for row in emitted[1:]:
-            through = score[:, None] + self.moves
-            back.append(through.argmax(axis=0))
-            score = through.max(axis=0) + row
-        tags = [int((score + self.moves[:, 0]).argmax())]
-        for pointers in reversed(back):
-            tags.append(int(pointers[tags[-1]]))
-        return tags[::-1]
-
-    def learn(self, runs: list[tuple[list[list[str]], list[int]]], epochs: int, rate: float, decay: float, seed: int) -> None:
-        """Stochastic gradient of the conditional log-likelihood, by forward and backward sums."""
-        order = random.Random(seed)
-        for epoch in range(epochs):
-            order.shuffle(runs)
-            step = rate / (1 + epoch)
-            for rows, tags in runs:
-                emitted = self.emissions(rows)
-                n = len(rows)
-                ahead, behind = np.zeros((n, 3)), np.zeros((n, 3))
-                ahead[0] = self.moves[0] + emitted[0]
-                for t in range(1, n):
-                    ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, None] + self.moves, axis=0) + emitted[t]
-                behind[-1] = self.moves[:, 0]
-                for t in range(n - 2, -1, -1):
-                    behind[t] = np.logaddexp.reduce(self.moves + (emitted[t + 1] + behind[t + 1])[None, :], axis=1)
-                total = np.logaddexp.reduce(ahead[-1] + behind[-1])
-                expected = np.exp(ahead + behind - total)
-                moved = np.zeros((3, 3))
-                path = [0, *tags, 0]
-                for a, b in zip(path, path[1:], strict=False):
-                    moved[a, b] += 1
-                moved[0] -= expected[0]
-                moved[:, 0] -= expected[-1]
-                for t in range(1, n):
-                    moved -= np.exp(ahead[t - 1][:, None] + self.moves + (emitted[t] + behind[t])[None, :] - total)
-                self.moves += step * moved
-                self.moves[0, 2] = -1e9
-                for t, row in enumerate(rows):
-                    wrong = -expected[t]
-                    wrong[tags[t]] += 1
-                    for f in row:
-                        w = self.weights.setdefault(f, np.zeros(3))
-                        w += step * (wrong - decay * w)
-
-
-#: Made-up credentials, by what stands before them and what they are made of; and identifiers that are none.
+        self.moves[O, I] = NEVER
+
+    def places(self, name: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = self.codes[name]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return at, known[at] == codes
+
+    def emissions(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        n = len(next(iter(columns.values()))) if columns else 0
+        total = np.zeros((n, 3))
+        for name, codes in columns.items():
+            at, known = self.places(name, codes)
+            total += np.where(known[:, None], self.weights[name][at], 0.0)
+        return total
+
+    def viterbi(self, emitted: np.ndarray, run: int = 64) -> np.ndarray:
+        """Best tags of a sequence that is entered from O and left to O, all of it at once.
+
+        The sequence is cut into runs; what a run adds to a path, for each tag before it and each tag at its end, comes for all
+        runs together, then the best path over the runs, then the tags within them. This is the best path of the whole.
+        """
+        n = len(emitted)
+        if not n:
+            return np.empty(0, np.int8)
+        m = -(-n // run)
+        rows = np.full((m * run, 3), NEVER)
+        rows[:, O] = 0.0
+        rows[:n] = emitted
+        rows = rows.reshape(m, run, 3)
+        through = self.moves[None] + rows[:, 0][:, None, :]
+        for k in range(1, run):
+            through = (through[:, :, :, None] + self.moves[None, None]).max(axis=2) + rows[:, k][:, None, :]
+        score, before = np.array([0.0, NEVER, NEVER]), np.empty((m, 3))
+        for i in range(m):
+            before[i] = score
+            score = (score[:, None] + through[i]).max(axis=0)
+            score -= score.max()
+        # What is left to O: a padded end is O anyway.
+        tag = int((score + self.moves[:, O]).argmax())
+        pointers, scores = np.empty((m, run, 3), np.int8), before
+        for k in range(run):
+            steps = scores[:, :, None] + self.moves[None]
+            pointers[:, k] = steps.argmax(axis=1)
+            scores = steps.max(axis=1) + rows[:, k]
+        origin = np.broadcast_to(np.arange(3), (m, 3))
+        for k in range(run - 1, -1, -1):
+            origin = np.take_along_axis(pointers[:, k], origin, axis=1)
+        last = np.empty(m, np.int64)
+        for i in range(m - 1, -1, -1):
+            last[i] = tag
+            tag = int(origin[i, tag])
+        tags, every = np.empty((m, run), np.int8), np.arange(m)
+        for k in range(run - 1, -1, -1):
+            tags[:, k] = last
+            last = pointers[every, k, last]
+        return tags.reshape(-1)[:n]
+
+    def learn(self, tokens: Tokens, tags: np.ndarray, steps: int, rate: float, decay: float) -> None:
+        """Ascent of the conditional log-likelihood of all texts together, by forward and backward sums; Adam's step sizes."""
+        texts, sizes = np.unique(tokens.owner, return_counts=True)
+        m, longest = len(texts), int(sizes.max())
+        row = np.searchsorted(texts, tokens.owner)
+        column = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        padded = np.zeros((m, longest), bool)
+        padded[row, column] = True
+        gold = np.zeros((m, longest + 2), np.int64)
+        gold[row, column + 1] = tags
+        true_moves = np.zeros((3, 3))
+        ends = np.arange(longest + 1)[None, :] <= sizes[:, None]
+        np.add.at(true_moves, (gold[:, :-1][ends], gold[:, 1:][ends]), 1)
+        at = {name: self.places(name, codes)[0] for name, codes in tokens.columns.items()}
+        parts = [*self.weights.values(), self.moves]
+        first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+        total = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+        for step in range(1, steps + 1):
+            scores = np.zeros((m, longest, 3))
+            scores[row, column] = self.emissions(tokens.columns)
+            ahead, behind = np.empty((m, longest, 3)), np.empty((m, longest, 3))
+            ahead[:, 0] = self.moves[O] + scores[:, 0]
+            for k in range(1, longest):
+                ahead[:, k] = total(ahead[:, k - 1][:, :, None] + self.moves[None], 1) + scores[:, k]
+            for k in range(longest - 1, -1, -1):
+                inner = total(self.moves[None] + (scores[:, k + 1] + behind[:, k + 1])[:, None, :], 2) if k + 1 < longest else 0.0
+                behind[:, k] = np.where((sizes == k + 1)[:, None], self.moves[:, O][None], inner)
+            whole = total(ahead[:, 0] + behind[:, 0], 1)
+            expected = np.where(padded[:, :, None], np.exp(np.minimum(0, ahead + behind - whole[:, None, None])), 0.0)
+            moved = np.zeros((3, 3))
+            moved[O] += expected[:, 0].sum(axis=0)
+            moved[:, O] += expected[np.arange(m), sizes - 1].sum(axis=0)
+            for k in range(1, longest):
+                joint = ahead[:, k - 1][:, :, None] + self.moves[None] + (scores[:, k] + behind[:, k])[:, None, :] - whole[:, None, None]
+                moved += np.where(padded[:, k][:, None, None], np.exp(np.minimum(0, joint)), 0.0).sum(axis=0)
+            wrong = -expected[row, column]
+            wrong[np.arange(len(row)), tags] += 1
+            slopes = []
+            for name in self.weights:
+                slope = np.zeros_like(self.weights[name])
+                for tag in (O, B, I):
+                    slope[:, tag] = np.bincount(at[name], weights=wrong[:, tag], minlength=len(slope))
+                slopes.append(slope - decay * self.weights[name])
+            slope = true_moves - moved
+            slope[O, I] = 0
+            slopes.append(slope)
+            for part, slope, a, b in zip(parts, slopes, first, second, strict=True):
+                a *= 0.9
+                a += 0.1 * slope
+                b *= 0.99
+                b += 0.01 * slope * slope
+                part += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+
+
+#: Made-up credentials by what stands before them and what they are made of, and texts that hold none. Parts of a form are literal, or symbols and how many.
 SECRET_FRAMES = ("{cue} = {x}", "{cue}: {x}", "{cue}={x}", 'export {cue}="{x}"', "'{cue}': '{x}'", "Authorization: Bearer {x}", "the {cue} is {x}", "set {cue} {x}")
-SECRET_FORMS = (("ghp_", "aA9", 36), ("sk_live_", "aA9", 24), ("xoxb-", "9", 12), ("glpat-", "aA9", 20), ("AIza", "aA9", 35), ("eyJ", "aA9", 60), ("", "aA9", 40), ("", "aA9", 20), ("", "a9", 32), ("", "A9", 26))
-PLAIN_FRAMES = ("version {x}", "call {x} now", "on {x} we met", "page {x} of the book", "mail {x} please", "see {x}", "in {x} there were", "id = {x}", "width: {x}", "the number {x} is", "{x}", "my server {x} runs")
-PLAIN_FORMS = ("2.0.", "3.", "4.0", "1999", "2024-05-17", "12:30:15", "192.168.10.4", "+1", "555-2368", "4111111111111111", "a.b12@mail3.example.com", "http://example.com/a/b1", "max_value_2", "snake_case_name", "file_01.txt", "3.14159", "10,000", "42nd", "v1.2.3", "and/or", "x86_64", "utf-8", "0x1f", "1/2", "100%", "covid19", "B2B", "chapter_3", "i18n", "123456789012")
+SECRET_FORMS = (
+    ("ghp_", ("aA9", 36)), ("sk_live_", ("aA9", 24)), ("xoxb-", ("9", 12)), ("glpat-", ("aA9", 20)), ("AIza", ("aA9", 35)), ("eyJ", ("aA9", 60)), (("aA9", 40),), (("aA9", 20),), (("a9", 32),), (("A9", 26),),
+    (("aA9", 43), "="), (("aA9", 22), "=="), (("aA9", 8), ":", ("aA9", 24)), (("a9", 12), ":", ("aA9", 30), "="), ("AccountKey=", ("aA9", 40), "=="),
+)
+#: Credentials of letters alone are told from words by a cue and a sign before them only.
+LETTER_FRAMES, LETTER_FORMS = ("{cue} = {x}", "{cue}: {x}", "{cue}={x}", "'{cue}': '{x}'"), ((("aA", 14),), (("aA", 24),), (("a", 20),))
+PLAIN_FRAMES = ("version {x}", "call {x} now", "on {x} we met", "page {x} of the book", "mail {x} please", "see {x}", "in {x} there were", "id = {x}", "width: {x}", "the number {x} is", "{x}", "my server {x} runs", "{word} = {word}", "{word}: {word} {word}")
+PLAIN_FORMS = ("2.0.", "3.", "4.0", "1999", "2024-05-17", "12:30:15", "192.168.10.4", "+1", "555-2368", "4111111111111111", "+1 (555) 555-2368", "4111 1111 1111 1111", "a.b12@mail3.example.com", "http://example.com/a/b1", "https://www.example.org/", "max_value_2", "snake_case_name", "file_01.txt", "3.14159", "10,000", "42nd", "v1.2.3", "and/or", "x86_64", "utf-8", "0x1f", "1/2", "100%", "covid19", "B2B", "chapter_3", "i18n", "123456789012", "(c) 2019", "***", "###", "$$$", "%%%", "&&&")
+CUE_FRAMES = ("{cue} of the {word}", "the {cue} is {word}", "a {cue} {word} {word}", "no {cue}: {word} {word}", "{word} {cue}. {word}", "{cue}, {word}")
 SYMBOLS = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "9": "0123456789"}
 
 
-@cache
-def trained(examples: int = 500, epochs: int = 6, seed: int = 7) -> Field:
-    """A field fitted to `examples` made-up lines with and as many without a credential; the corpus plays no part."""
+def made_up(examples: int, seed: int) -> tuple[list[str], list[tuple[int, int] | None]]:
+    """Texts, and the place of the credential in each, as many with one as without."""
     draw = random.Random(seed)
-    runs = []
-    cues = sorted(CUES)
+    signs = ("", "", "", "", ".", ",", "!!", "?", "***", "###", "$$$", "%%%", "&&&")
+
+    def word() -> str:
+        made = "".join(draw.choice("aaeiouonnrstthdlcmé") for _ in range(draw.choice((1, 2, 2, 3, 3, 4, 5, 6, 7, 9, 12, 16))))
+        return draw.choice((made, made, made, made.capitalize(), made.upper())) + draw.choice(signs)
+
+    texts, places = [], []
     for k in range(2 * examples):
+        cue = draw.choice(("client_", "db_", "", "")) + draw.choice(CUES)
+        cue = draw.choice((cue, cue, cue.upper(), cue.capitalize()))
         secret = ""
         if k % 2:
-            start, classes, n = draw.choice(SECRET_FORMS)
-            secret = start + "".join(draw.choice(SYMBOLS[draw.choice(classes)]) for _ in range(n))
-            if not any(c.isdigit() for c in secret):
+            letters = k % 8 == 1
+            for part in draw.choice(LETTER_FORMS if letters else SECRET_FORMS):
+                secret += part if isinstance(part, str) else "".join(draw.choice(SYMBOLS[draw.choice(part[0])]) for _ in range(part[1]))
+            if not letters and not any(c.isdigit() for c in secret):
                 secret += "7"
-            text = draw.choice(SECRET_FRAMES).format(cue=draw.choice(("client_", "db_", "", "")) + draw.choice(cues), x=secret)
+            line = draw.choice(LETTER_FRAMES if letters else SECRET_FRAMES).format(cue=cue, x="\0")
         else:
-            x = "".join(draw.choice(SYMBOLS["9"]) if c.isdigit() else c for c in draw.choice(PLAIN_FORMS))
-            text = draw.choice(PLAIN_FRAMES).format(x=x)
-            if draw.random() < 0.2:
-                text = f"{draw.choice(cues)} of the house, {text}"
-        for tokens, at in candidate_runs(text):
-            rows = [features(tokens, i, file_features(text)) for i in range(at[0], at[1])]
-            runs.append((rows, [1 if secret and secret in tokens[i] else 0 for i in range(at[0], at[1])]))
-    field = Field()
-    field.learn(runs, epochs, 0.2, 0.001, seed)
+            x = "".join(draw.choice(SYMBOLS["9"]) if c.isdigit() else c for c in draw.choice(PLAIN_FORMS)) + draw.choice(signs)
+            line = draw.choice(CUE_FRAMES if k % 8 == 2 else PLAIN_FRAMES).replace("{word}", "\1").format(cue=cue, x=x)
+            while "\1" in line:
+                line = line.replace("\1", word(), 1)
+        text = " ".join([word() for _ in range(draw.randint(0, 6))] + [line] + [word() for _ in range(draw.randint(0, 6))])
+        if draw.random() < 0.2:
+            text = draw.choice(("{} \n", "x = 1\n{}", "a = b\nc = d\n{}\n", "fn() {{\n{}\n}}")).format(text.replace("{", "(")) if "{" in text else draw.choice(("x = 1\n", "a = b\nc = d\n", "fn() {\n")) + text
+        at = text.find("\0")
+        text = text.replace("\0", secret)
+        texts.append(text)
+        places.append((at, at + len(secret)) if secret else None)
+    return texts, places
+
+
+@cache
+def trained(examples: int = 500, steps: int = 150, seed: int = 7) -> Field:
+    """A field fitted to `examples` made-up texts with and as many without a credential; the corpus plays no part."""
+    texts, places = made_up(examples, seed)
+    array = pa.array(texts, pa.large_string())
+    tokens = tokens_of(array)
+    starts = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    tags = np.zeros(len(tokens.start), np.int64)
+    for i, place in enumerate(places):
+        if place:
+            a, b = (starts[i] + len(texts[i][:x].encode()) for x in place)
+            inside = np.flatnonzero((tokens.start >= a) & (tokens.end <= b))
+            tags[inside] = I
+            tags[inside[:1]] = B
+    field = Field({name: np.unique(codes) for name, codes in tokens.columns.items()})
+    field.learn(tokens, tags, steps, 0.1, 0.05)
     return field
 
 
-def located_runs(text: str) -> Iterator[tuple[list[str], tuple[int, int], list[tuple[int, int]]]]:
-    """Runs of possible tokens with up to three pieces of text on each side, and the places of the tokens."""
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        before = PIECE.findall(text[max(0, start - 120) : start])[-3:]
-        after = PIECE.findall(text[end : end + 60])[:1]
-        inside = list(PIECE.finditer(text, start, end))
-        tokens = [*before, *(p[0] for p in inside), *after]
-        yield tokens, (len(before), len(before) + len(inside)), [p.span() for p in inside]
-
-
-def candidate_runs(text: str) -> Iterator[tuple[list[str], tuple[int, int]]]:
-    for tokens, at, _ in located_runs(text):
-        if at[0] < at[1]:
-            yield tokens, at
-
-
-def field_spans(text: str, field: Field) -> list[Span]:
-    """Spans that the field tags: from a B to the last I behind it."""
-    spans: list[Span] = []
-    file = None
-    for tokens, (first, end), places in located_runs(text):
-        if first == end:
-            continue
-        file = file or file_features(text)
-        tags = field.viterbi(field.emissions([features(tokens, i, file) for i in range(first, end)]))
-        for k, tag in enumerate(tags):
-            token = tokens[first + k]
-            if tag == 1 and re.search(r"[0-9_+/]", token):
-                spans.append(("field", *places[k]))
-            elif tag == 2 and spans and spans[-1][2] <= places[k][0]:
-                spans[-1] = ("field", spans[-1][1], places[k][1])
-    return spans
+def field_spans(texts: pa.Array, field: Field) -> list[list[Span]]:
+    """Spans that the field tags in each text, from a B to the last I behind it, in code points. Every token takes part."""
+    out: list[list[Span]] = [[] for _ in range(len(texts))]
+    tokens = tokens_of(texts)
+    if not len(tokens.start):
+        return out
+    # One sequence, with a row that can only be outside between two texts.
+    at = np.arange(len(tokens.start)) + tokens.owner
+    rows = np.full((int(at[-1]) + 1, 3), NEVER)
+    rows[:, O] = 0.0
+    rows[at] = field.emissions(tokens.columns)
+    tags = field.viterbi(rows)[at]
+    begins = np.flatnonzero(tags == B)
+    if not len(begins):
+        return out
+    inside = np.append(tags == I, False)
+    stops = np.flatnonzero(~inside)  # a span ends before the first token behind its begin that is not inside
+    lasts = stops[np.searchsorted(stops, begins + 1)] - 1
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    points = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    for first, last in zip(begins.tolist(), lasts.tolist(), strict=True):
+        i = int(tokens.owner[first])
+        zero = points[offsets[i] - offsets[0]]
+        out[i].append(("field", int(points[tokens.start[first]] - zero), int(points[tokens.end[last]] - zero)))
+    return out
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -231,8 +394,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
 
     Kinds assign, access and hex are the fixed patterns and always stay; `field` are spans of the random field
     that overlap none of those. With `redacted`, a column of that name holds the text with each span replaced by
-    [SECRET]. The field is fitted on the driver from `examples` made-up lines and sent along; it holds a few
-    hundred weights whatever the data.
+    [SECRET]. The field is fitted on the driver from `examples` made-up texts with a credential and
+    as many without (a bounded sample of labelled rows) and sent along; it holds a few thousand weights whatever the data.
 
     Null text: no spans, and a null stays null in the redacted text. Null ids, repeated rows: one row each. Empty
     table: empty result. Other columns are not read. Narrow plan, no shuffle.
@@ -248,8 +411,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
                 found, cleaned = [], []
-                for text in texts_of(part):
-                    spans = secrets_of(text, field)
+                texts = texts_of(part)
+                for text, tagged in zip(texts, field_spans(pa.array(texts, pa.large_string()), field), strict=True):
+                    spans = together(base_spans(text), tagged)
                     found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
                     if redacted:
                         cleaned.append(redact(text, spans))
@@ -261,10 +425,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
     return source.mapInArrow(run, schema)
 
 
+def together(base: list[Span], tagged: list[Span]) -> list[Span]:
+    """The base spans, and those of the field that overlap none of them."""
+    if not tagged:
+        return base
+    return ordered(base + [s for s in tagged if all(s[2] <= b[1] or s[1] >= b[2] for b in base)])
+
+
 def secrets_of(text: str, field: Field) -> list[Span]:
-    base = base_spans(text)
-    more = [s for s in field_spans(text, field) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-    return ordered(base + more)
+    return together(base_spans(text), field_spans(pa.array([text], pa.large_string()), field)[0])
 
 
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:

@@ -1,9 +1,12 @@
 """Operators 2, 7, 8 and 10 against plain versions, on every kind of row."""
 
+import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import oracle
@@ -58,10 +61,47 @@ def test_viterbi_is_the_best_path():
     draw = np.random.default_rng(0)
     field.moves = draw.normal(size=(3, 3))
     field.moves[0, 2] = -1e9
-    for n in range(1, 6):
+    for n, run in [(n, run) for n in range(1, 7) for run in (1, 2, 3, 64)]:
         emitted = draw.normal(size=(n, 3))
         cost = lambda p: sum(emitted[i, t] for i, t in enumerate(p)) + sum(field.moves[a, b] for a, b in zip((0, *p), (*p, 0)))  # noqa: E731, B023
-        assert tuple(field.viterbi(emitted)) == max(itertools.product(range(3), repeat=n), key=cost)
+        assert tuple(field.viterbi(emitted, run).tolist()) == max(itertools.product(range(3), repeat=n), key=cost)
+    assert len(field.viterbi(np.empty((0, 3)))) == 0
+
+
+def test_field_tags_runs_and_words():
+    """Credentials of several tokens are one span, and those of letters alone are found behind a cue and a sign; texts don't touch each other."""
+    field = secrets.trained()
+    texts, places = secrets.made_up(200, 123)
+    found = secrets.field_spans(pa.array(texts, pa.large_string()), field)
+    hits = [any((a, b) == place for _, a, b in spans) for spans, place in zip(found, places) if place]
+    assert sum(hits) >= 0.95 * len(hits) and sum(bool(spans) for spans, place in zip(found, places) if not place) <= 4
+    assert any(set(texts[i][a:b]) & set("=:") and any(x[1:] == (a, b) for x in found[i]) for i, (a, b) in ((i, p) for i, p in enumerate(places) if p))
+    assert any(texts[i][a:b].isalpha() and any(x[1:] == (a, b) for x in found[i]) for i, (a, b) in ((i, p) for i, p in enumerate(places) if p))
+    alone = [secrets.field_spans(pa.array([t], pa.large_string()), field)[0] for t in texts]
+    assert alone == found
+    assert secrets.field_spans(pa.array(["", "  \n", "é", "=", "a=b"], pa.large_string()), field) == [[]] * 5
+
+
+def test_tokens_and_features():
+    """Tokens and the codes of a token itself against loops."""
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("aaZ9 =:._-é/@\n\t{}") for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    tokens = secrets.tokens_of(pa.array(texts, pa.large_string()))
+    expected = [(i, m[0]) for i, t in enumerate(texts) for m in re.finditer(r"""[^\x20\x09-\x0D"'`,;(){}\[\]<>=:]+|[=:]""", t)]
+    data, starts = "".join(texts).encode(), [0]
+    for t in texts:
+        starts.append(starts[-1] + len(t.encode()))
+    assert [(int(i), data[a:b].decode()) for i, a, b in zip(tokens.owner, tokens.start, tokens.end)] == expected
+    for k, (i, token) in enumerate(expected):
+        raw = token.encode()
+        kinds = [int(secrets.BYTE_KINDS[b]) for b in raw]
+        runs = [x for j, x in enumerate(kinds) if j == 0 or x != kinds[j - 1]]
+        column = lambda name: int(tokens.columns[name][k])  # noqa: B023, E731
+        assert column("digits") == 4 * kinds.count(0) // len(raw) and column("distinct") == 4 * len(set(raw)) // len(raw)
+        assert column("changes") == min(6, sum((a == 0) != (b == 0) for a, b in zip(kinds, kinds[1:])))
+        assert column("shape") == (sum((x + 1) * 6**j for j, x in enumerate(runs)) if len(raw) < secrets.SHAPED else 0)
+        assert column("kinds") == (0 in kinds) + (1 in kinds) + (sum(x in (1, 2, 3) for x in kinds) > kinds.count(1))
+        assert column("sign") == (token in "=:")
 
 
 def test_secret_rows(spark):
@@ -130,6 +170,76 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def plain_codes(word):
+    """Hashed byte trigrams of the runs of letters (and their marks) of a word, as one padded string."""
+    runs = regex.findall(r"\p{L}[\p{L}\p{M}]*", word.lower())
+    data = " ".join(["", *runs, ""]).encode() if runs else b""
+    return [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> (32 - language_id.BITS) for i in range(len(data) - 2)]
+
+
+def plain_language(text, tables, names):
+    """Expectation-maximisation by loops: (largest language, its share)."""
+    rows = []
+    for word in (text or "").encode().split():
+        codes = plain_codes(word.decode())
+        if codes:
+            sums = [sum(t[c] for c in codes) for t in tables]
+            rows.append([math.exp(max(x - max(sums), -language_id.WORD_CAP)) for x in sums])
+    if not rows:
+        return "und", 0.0
+
+    def em(columns):
+        shares = [1 / len(columns)] * len(columns)
+        for _ in range(language_id.STEPS if len(columns) > 1 else 0):
+            new = [0.0] * len(columns)
+            for row in rows:
+                total = sum(row[c] * s for c, s in zip(columns, shares))
+                for i, (c, s) in enumerate(zip(columns, shares)):
+                    new[i] += row[c] * s / total
+            shares = [x / len(rows) for x in new]
+        return shares, sum(math.log(sum(row[c] * s for c, s in zip(columns, shares))) for row in rows)
+
+    single = [sum(math.log(row[c]) for row in rows) for c in range(len(names))]
+    best = single.index(max(single))
+    shares, _ = em(list(range(len(names))))
+    order = [best, *sorted((c for c in range(len(names)) if c != best), key=lambda c: -shares[c])]
+    price = language_id.PENALTY * 0.5 * math.log(len(rows) + 1)
+    value, answer = single[best] - price, ([best], [1.0])
+    for k in range(2, len(names) + 1):
+        if -price * k <= value:
+            break
+        found, reached = em(order[:k])
+        if reached - price * k > value:
+            value, answer = reached - price * k, (order[:k], found)
+    share, c = max(zip(answer[1], (-c for c in answer[0])))
+    return names[-c], min(1.0, share)
+
+
+def test_languages_equal_plain_version(spark):
+    docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
+    rows = docs.filter("n_chars < 1500").orderBy("doc_id").limit(60).collect()
+    counts = {lang: [language_id.SMOOTHING] * (1 << language_id.BITS) for lang in sorted({r.lang for r in rows if r.lang})}
+    for r in rows:
+        for word in (r.text or "").split() if r.lang else []:
+            for c in plain_codes(word):
+                counts[r.lang][c] += 1
+    tables = [[math.log(x / sum(n)) for x in n] for n in counts.values()]
+    texts = [r.text for r in rows] + [rows[0].text[:300] + " " + rows[1].text[:300] + " " + rows[2].text[:200], "\u0301", "a\u0301 e", "12 \u0301 ?", "", None, "x" * 5000, rows[3].text * 20]
+    model = language_id.learn(spark.createDataFrame([(r.text, r.lang, "clash") for r in rows], "text string, lang string, bucket string"))
+    got = language_id.identify(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, score string"), model)
+    got = {r.doc_id: r for r in got.collect()}
+    for i, text in enumerate(texts):
+        lang, share = plain_language(text, tables, list(counts))
+        assert got[i].lang_pred == lang and abs(got[i].score - share) < 1e-3, (i, text and text[:60], got[i], lang, share)
+
+
+def test_ties_of_languages(spark):
+    """Languages with the same texts tie everywhere: the name that sorts first is taken."""
+    model = language_id.learn(spark.createDataFrame([("one two three", "zz"), ("one two three", "aa"), ("one two three", "aa"), ("one two three", "zz")], "text string, lang string"))
+    got = language_id.identify(spark.createDataFrame([(1, "two one")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "aa" and got.score == 1.0
+
+
 def test_language_sets_are_not_capped():
     import numpy as np
 

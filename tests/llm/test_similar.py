@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,44 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch):
+    """Near copies around one text, many of them too far from it: every link is found, over several blocks of a bucket, by any of the passes."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    base = [word() for _ in range(90)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        copy = base[:]
+        for _ in range(draw.choice([1, 2, 3, 3, 4, 4])):
+            copy[draw.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    for at in draw.sample(range(1, 150), 30):  # near copies of copies
+        copy = texts[at].split()
+        copy[draw.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    sets = [shingles(t, 4) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    expected = groups(len(texts), links)
+    assert len(set(expected)) > 20 and Counter(expected).most_common(1)[0][1] > 40
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=4).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_shingle_sets():
+    found = [None, "", " ", "One", "one TWO\tthree  four\nfive", " lead and trail \n", "É é İ x y z", "a" * 3000 + " b c d e", "x\u00a0y z w v u"]
+    for size in (1, 3, 4):
+        sets = minhash.shingle_sets(pa.array(found), size)
+        for text, hashes in zip(found, sets, strict=True):
+            assert len(hashes) == len(shingles_of_bytes(text, size)) and (hashes == minhash.shingle_set(text, size)).all() and (np.diff(hashes.astype(float)) >= 0).all()
+
+
+def shingles_of_bytes(text, size):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, None), (None, None), (8, ""), (None, "only here with no id at all")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
