@@ -13,7 +13,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +23,24 @@ from pyspark.sql import types as T
 
 from cuewright.llm.common import arrow_schema, packets, picked, prepare, texts_of, written
 from cuewright.llm.secrets import SPAN, Span
+from cuewright.llm.words import words_of
 
-PACKET_BYTES = 4 << 20
+PACKET_BYTES = 8 << 20
 KINDS = ("email", "ip", "card", "phone", "context")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Distinct seeds that a pattern needs, the share of its occurrences that makes it trusted, and the rounds.
+#: Distinct believed instances that a pattern needs, the share of its occurrences that makes it trusted, and the rounds.
 SUPPORT, TRUSTED, ROUNDS = 5, 0.6, 3
 #: Patterns whose occurrences are counted in one scan; more patterns take more scans.
 PATTERNS_A_SCAN = 500_000
-#: An unseen identifier has this many digits, or an @.
-LEAST_DIGITS = 5
-UNSEEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+#: An instance counts as believed from here on.
+BELIEVED = 0.5
+#: What could be an identifier: a word with a digit, an @ or an underscore in it, and groups of digits behind it. Its context decides.
+UNSEEN = re.compile(r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+(?:\x20[0-9][0-9-]*+(?=[\s.,;:!?]|$))*+")
+WHITE = re.compile("[\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}<>\"'"
 
 
@@ -87,9 +92,20 @@ def word(raw: str) -> str:
     return raw.lower().strip(EDGES)
 
 
+def words_before(text: str, start: int) -> list[str]:
+    """The last two words before a place, however long they are."""
+    width = 64
+    while True:
+        begin = max(0, start - width)
+        parts = [x for x in WHITE.split(text[begin:start]) if x]
+        if begin == 0 or len(parts) > 2:
+            return parts[-2:]
+        width *= 4
+
+
 def patterns_before(text: str, start: int) -> list[str]:
     """The last word before a place, and the last two. Nothing where no word stands there."""
-    before = [w for w in (word(x) for x in text[max(0, start - 200) : start].split()[-2:]) if w]
+    before = [w for w in map(word, words_before(text, start)) if w]
     return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n and not any(c.isdigit() for w in before[-n:] for c in w)]
 
 
@@ -102,7 +118,7 @@ def unseen(text: str, base: list[Span]) -> list[tuple[int, int]]:
             start += 1
         while end > start and text[end - 1] in EDGES:
             end -= 1
-        if (sum(c.isdigit() for c in text[start:end]) >= LEAST_DIGITS or text.find("@", start + 1, end - 1) > 0) and all(end <= s[1] or start >= s[2] for s in base):
+        if start < end and all(end <= s[1] or start >= s[2] for s in base):
             out.append((start, end))
     return out
 
@@ -144,12 +160,25 @@ def occurrences(docs: DataFrame, wanted: frozenset[str], text_col: str) -> DataF
         total: Counter[str] = Counter()
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                for text in texts_of(part):
-                    words = [w.strip(EDGES) for w in text.lower().split()]
-                    for i in [i for i, w in enumerate(words) if w in last]:
-                        total[words[i]] += 1
-                        if i and words[i - 1]:
-                            total[f"{words[i - 1]} {words[i]}"] += 1
+                # Of a packet, each different word and each different pair of words is looked at once.
+                words, chosen, counts = words_of(pc.fill_null(part.column("text"), ""))
+                kinds: dict[str, int] = {}
+                kind_of = np.fromiter((kinds.setdefault(word(w), len(kinds)) for w in words), np.int64, len(words))
+                names = list(kinds)
+                some = np.fromiter((name in last for name in names), bool, len(names))
+                real = chosen[np.fromiter((bool(w) for w in words), bool, len(words))[chosen]] if "" in words else chosen
+                counts = counts if real is chosen else counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[np.array([not w for w in words])[chosen]], minlength=len(counts))
+                run = kind_of[real]
+                hit = np.flatnonzero(some[run]) if len(run) else np.empty(0, np.int64)
+                for k, n in zip(*(x.tolist() for x in np.unique(run[hit], return_counts=True)), strict=True):
+                    total[names[k]] += n
+                begins = np.zeros(len(run) + 1, bool)
+                begins[np.cumsum(counts) - counts] = True
+                second = hit[~begins[hit]]
+                for pair, n in zip(*(x.tolist() for x in np.unique(run[second - 1] * len(names) + run[second], return_counts=True)), strict=True):
+                    before, after = divmod(pair, len(names))
+                    if names[before] and names[after]:
+                        total[f"{names[before]} {names[after]}"] += n
                 if len(total) > PATTERNS_A_SCAN:
                     total = Counter({p: n for p, n in total.items() if p in keep})
         hits = [(p, n) for p, n in total.items() if p in keep]
@@ -161,31 +190,35 @@ def occurrences(docs: DataFrame, wanted: frozenset[str], text_col: str) -> DataF
 def trusted_patterns(docs: DataFrame, edges: DataFrame, text_col: str, support: int = SUPPORT, trusted: float = TRUSTED, rounds: int = ROUNDS) -> DataFrame:
     """pattern, score of the patterns that may mark unseen identifiers.
 
-    edges: pattern, instance, seed, times. Only patterns with enough distinct seeds can ever be trusted, so occurrences
-    are counted for those alone, in scans of at most PATTERNS_A_SCAN patterns each.
+    edges: pattern, instance, seed, times. In each round, a pattern that enough distinct believed instances support is scored by the
+    share of all its occurrences that lead to believed instances, and what trusted patterns lead to is believed in
+    the next round. So what was discovered supports further patterns. Only patterns with enough distinct instances of any
+    kind can ever be supported; their occurrences are counted beforehand, in scans of at most PATTERNS_A_SCAN patterns each.
     """
     spark = docs.sparkSession
-    supported = written(edges.filter("seed").groupBy("pattern").agg(F.count_distinct("instance").alias("seeds")).filter(F.col("seeds") >= support).select("pattern"), "patterns")
-    n = supported.count()
+    possible = written(edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("pattern"), "patterns")
+    n = possible.count()
     if n == 0:
         return spark.createDataFrame([], "pattern string, score double")
     groups = -(-n // PATTERNS_A_SCAN)
     counted = None
     for g in range(groups):
-        part = frozenset(r[0] for r in supported.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).toLocalIterator())
-        found = occurrences(docs, part, text_col)
+        part = frozenset(r[0] for r in possible.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).toLocalIterator())
+        found = written(occurrences(docs, part, text_col), "occurrences")
         counted = found if counted is None else counted.unionByName(found)
-    counted = written(counted, "occurrences")
     graph = written(edges.join(counted, "pattern").select("pattern", "instance", "seed", "times", F.col("n").alias("total")), "graph")
-    belief = graph.select("instance", F.col("seed").cast("double").alias("belief")).groupBy("instance").agg(F.max("belief").alias("belief"))
-    scores = None
+    seeds = graph.filter("seed").select("instance", F.lit(1.0).alias("belief")).distinct()
+    belief, scores = seeds, None
     for _ in range(rounds):
-        scores = written(
-            graph.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("belief")) / F.greatest(F.max("total"), F.sum("times"))).alias("score")).filter(F.col("score") >= trusted), "scores"
+        supported = (
+            graph.join(belief, "instance")
+            .groupBy("pattern")
+            .agg(F.count_if(F.col("belief") >= BELIEVED).alias("instances"), (F.sum(F.col("times") * F.col("belief")) / F.max("total")).alias("score"))
         )
+        scores = written(supported.filter((F.col("instances") >= support) & (F.col("score") >= trusted)).select("pattern", F.least("score", F.lit(1.0)).alias("score")), "scores")
         # An unseen instance is not personal data only if every trusted pattern before it errs.
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))
-        belief = written(graph.join(scores, "pattern").groupBy("instance").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - doubt).alias("belief")).unionByName(graph.filter("seed").select("instance", F.lit(1.0).alias("belief"))).groupBy("instance").agg(F.max("belief").alias("belief")), "belief")
+        belief = written(graph.join(scores, "pattern").groupBy("instance").agg((1 - doubt).alias("belief")).unionByName(seeds).groupBy("instance").agg(F.max("belief").alias("belief")), "belief")
     return scores
 
 
@@ -196,7 +229,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     patterns that overlap none of those. Null text: no spans. Null ids, repeated rows: one row each. Empty table:
     empty result. Other columns are not read.
 
-    The texts are scanned twice, for identifiers and for the occurrences of supported patterns; what moves between
+    The texts are scanned twice, for identifiers and for the occurrences of possible patterns; what moves between
     tasks are identifiers, patterns and counts. Edges are summed on the map side, so that a very common
     pattern is one row per task and instance.
     """

@@ -125,6 +125,29 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.emails("a" * 200_000 + "@" * 1000) == []
 
 
+def test_discovered_identifiers_support_new_patterns(spark):
+    """Codes found where mails stand support a pattern that no mail ever followed; it finds further codes, also of few digits and with blanks."""
+    rows = [f"you can reach me at a{i}@mail.org now" for i in range(12)] + [f"you can reach me at mc_{i} now" for i in range(6)] + [f"the member code mc_{i} is old" for i in range(6)]
+    rows += ["a member code zq-7 here", "long" * 5000 + " member code 12 345 67, yes", "chapter 12 of it", "member code", ""]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], "doc_id long, text string, spans string")
+    found = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context"] for r in pii.scan(df).collect()}
+    assert found[24] == ["zq-7"] and found[25] == ["12 345 67"] and found[26] == [] and found[12] == ["mc_0"]
+    assert {r.doc_id for r in pii.scan(df, rounds=1).collect() if r.spans and r.doc_id >= 18} == set()
+
+
+def test_occurrences_equal_plain_counts(spark):
+    texts = noise(["Call", "me", " ", " ", "\n", "at,", "(at", "!!", "me.", "7"], 300, 30, seed=5) + [None, "", "me at " * 3000]
+    wanted = frozenset(["me", "at", "call me", "me at", "at at", "7"])
+    expected = {}
+    for t in texts:
+        words = [pii.word(w) for w in (t or "").split()]
+        for i, w in enumerate(words):
+            for p in {w, f"{words[i - 1]} {w}" if i and words[i - 1] and w else ""} & wanted:
+                expected[p] = expected.get(p, 0) + 1
+    got = pii.occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), wanted, "text")
+    assert {r.pattern: r.n for r in got.collect()} == expected
+
+
 @pytest.mark.parametrize("name", ["op2_secrets", "op7_pii"])
 def test_digests(spark, name):
     import hashlib
