@@ -5,33 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Kinds of documents by extension and by MIME type.
-KIND_BY_EXTENSION = {"pdf": "pdf", "epub": "epub", "html": "html", "htm": "html", "xhtml": "html", "txt": "text", "md": "text", "srt": "subtitle", "vtt": "subtitle"}
-KIND_BY_MIME = {"application/pdf": "pdf", "application/epub+zip": "epub", "text/html": "html", "text/plain": "text"}
+# Formats of sources by extension, and kinds of documents by MIME type; json and html are formats, but no documents.
+FORMAT_BY_EXTENSION = {"yml": "yaml", "yaml": "yaml", "json": "json", "pdf": "pdf", "epub": "epub", "html": "html", "htm": "html", "txt": "txt"}
+DOCUMENTS = ("yaml", "pdf", "epub", "txt")
+KIND_BY_MIME = {"application/x-yaml": "yaml", "application/pdf": "pdf", "application/epub+zip": "epub", "text/plain": "txt"}
 
 
-def document_kind(name: Column, mime: Column) -> Column:
-    """By the extension of the name, else by MIME type; plain text only counts where there is no name."""
+def format_of(name: Column) -> Column:
+    """The format of a source by the extension of its path."""
+    extension = F.lower(F.regexp_extract(name, r"[^/.][^/]*\.([A-Za-z0-9]+)$", 1))
     out = F.lit(None).cast("string")
-    for kind, value in KIND_BY_MIME.items():
-        match = mime == kind
-        out = F.when(match & name.isNull() if value == "text" else match, value).otherwise(out)
-    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    for kind, value in KIND_BY_EXTENSION.items():
+    for kind, value in FORMAT_BY_EXTENSION.items():
         out = F.when(extension == kind, value).otherwise(out)
     return out
 
 
-def send_type(mime: Column) -> Column:
-    """How a file is sent, by MIME type."""
-    return F.when(mime == "image/gif", "animation").when(mime.startswith("image/"), "photo").when(mime.startswith("video/"), "video").when(mime.startswith("audio/"), "audio").otherwise("document")
+def document_kind(name: Column, mime: Column) -> Column:
+    """By the extension of the name if that is a document's, else by MIME type; plain text only counts where there is no name."""
+    unnamed = F.coalesce(name, F.lit("")) == ""
+    by_mime = F.lit(None).cast("string")
+    for kind, value in KIND_BY_MIME.items():
+        match = F.coalesce(mime, F.lit("")) == kind
+        by_mime = F.when(match & unnamed if value == "txt" else match, value).otherwise(by_mime)
+    by_name = format_of(name)
+    return F.when(by_name.isin(*DOCUMENTS), by_name).otherwise(by_mime)
+
+
+def send_type(mime: Column, declared: Column | None = None) -> Column:
+    """How a file is sent: by MIME type, else as declared, else as a document."""
+    mime = F.coalesce(mime, F.lit(""))
+    rest = F.when(declared.isin("audio", "photo", "video", "document"), declared).otherwise("document") if declared is not None else F.lit("document")
+    return F.when(mime.startswith("audio/"), "audio").when(mime.startswith("image/"), "photo").when(mime.startswith("video/"), "video").otherwise(rest)
+
+
+def album_item(mime: Column, declared: Column | None = None) -> Column:
+    """Whether a file can go into an album."""
+    return send_type(mime, declared).isin("photo", "video")
 
 
 def tempo_chain(factor: Column) -> Column:
-    """factors of at most 2 whose product is a tempo."""
+    """factors of at most 2 whose product is a tempo; none for the natural one."""
     halves = F.greatest(F.lit(0), F.ceil(F.log2(factor) - 1e-12).cast("int") - 1)
     rest = factor / F.pow(F.lit(2.0), halves)
-    return F.concat(F.array_repeat(F.lit(2.0), halves), F.array(rest))
+    return F.concat(F.array_repeat(F.lit(2.0), halves), F.when(rest == 1.0, F.array().cast("array<double>")).otherwise(F.array(rest)))
+
+
+def tempo_filter(factor: Column) -> Column:
+    """the chain as filters, six digits each."""
+    return F.array_join(F.transform(tempo_chain(factor), lambda x: F.concat(F.lit("atempo="), F.format_string("%.6f", x))), ",")
 
 
 def cut_expression(ranges: Column, variable: str = "t") -> Column:

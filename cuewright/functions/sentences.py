@@ -31,13 +31,13 @@ def split_sentences(text: str) -> list[str]:
 
 def split_long(sentence: str, longest: int) -> list[str]:
     """Parts of at most `longest` characters: at semicolons and colons, else commas, else spaces, else anywhere."""
-    if len(sentence) <= longest:
-        return [sentence] if sentence else []
-    for mark in SOFT:
-        cuts = [m.start() for m in mark.finditer(sentence) if m.start() <= longest]
-        if cuts:
-            return [sentence[: cuts[-1]].strip(), *split_long(sentence[cuts[-1] :].strip(), longest)]
-    return [sentence[:longest], *split_long(sentence[longest:].strip(), longest)]
+    out, rest = [], sentence
+    while len(rest) > longest:
+        head = rest[: longest + 1]  # a mark's space may stand right behind the last character that fits
+        cut = next((c for mark in SOFT if (c := max((m.start() for m in mark.finditer(head)), default=0))), longest)
+        out.append(rest[:cut].strip())
+        rest = rest[cut:].strip()
+    return [x for x in [*out, rest] if x]
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int | None = None) -> DataFrame:

@@ -38,13 +38,35 @@ def speakable(text: Column) -> Column:
 
 
 def noise(text: Column) -> Column:
-    """A line of at least four single digits between dots."""
-    return F.exists(F.split(text, "\n"), lambda line: line.rlike(r"^\s*[0-9](?:\.\s*[0-9]){3,}\.?\s*$"))
+    """A line of at least four single digits between dots, with white space anywhere between."""
+    return F.exists(F.split(text, "\n"), lambda line: line.rlike(r"^\s*[0-9](?:\s*\.\s*[0-9]){3,}\.?\s*$"))
+
+
+# Schemes of the web, and what a word needs to be an address without one.
+WEB = r"(?i)^https?://"
+ADDRESS = r"(?i)^(?:https?://)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?(?:[/?#][^\s]*)?$"
+
+
+def url_normalised(url: Column) -> Column:
+    """with https:// in front where no web scheme stands; null for a blank or one without a host."""
+    trimmed = F.nullif(F.regexp_replace(url, r"^\s+|\s+$", ""), F.lit(""))
+    whole = F.when(trimmed.rlike(WEB), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
+    return F.when(whole.rlike(r"(?i)^https?://[^/?#\s]+"), whole)
 
 
 def url_display(url: Column) -> Column:
-    """without scheme and www., nor a slash at the end."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(www\.)?", ""), "/$", "")
+    """the normal form without scheme and www."""
+    return F.regexp_replace(F.regexp_replace(url_normalised(url), WEB, ""), r"(?i)^www\.", "")
+
+
+def url_token(word: Column) -> Column:
+    """Whether a word is a web address, with or without a scheme."""
+    return F.coalesce(word.rlike(ADDRESS), F.lit(False))
+
+
+def trailing_urls(text: Column) -> Column:
+    """the addresses that stand alone in the last paragraphs of a text, with the blank lines before them."""
+    return F.nullif(F.regexp_extract(text, r"(?i)((?:\n\n(?:https?://)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?(?:[/?#][^\s]*)?)+)\z", 1), F.lit(""))
 
 
 def url_host(url: Column) -> Column:
@@ -61,18 +83,51 @@ def slug(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """values behind cookie, token, authorization and password keys give way to stars."""
-    return F.regexp_replace(text, r"(?i)\b(cookie|token|authorization|password)(\s*[:=]\s*)\S+", "$1$2***")
+    """without commands on cookies, bot tokens, credentials behind their header names, and queries of web addresses."""
+    # What is hidden, in this order.
+    out = F.regexp_replace(text, r"(?i)/cookies\b[^\r\n]*", "/cookies [REDACTED]")
+    out = F.regexp_replace(out, r"bot[0-9]+:[A-Za-z0-9_-]+", "bot[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)\b(authorization|cookie|set-cookie)\s*[:=]\s*[^\r\n]+", "$1: [REDACTED]")
+    return F.regexp_replace(out, r"(https?://[^\s?]+)\?[^\s]+", "$1?[REDACTED]")
+
+
+# Characters that a chat's markup escapes.
+FORMAT_MARKS, OTHER_MARKS = "*_`", "#/[]()'\"~+-=|{}.!?<>"
+
+
+def escaped(text: Column, marks: str = FORMAT_MARKS + OTHER_MARKS) -> Column:
+    """a backslash before each of the marks. `#` is escaped twice, as it stands in the list twice."""
+    import re
+
+    once = F.regexp_replace(text, "([" + re.escape(marks) + "])", r"\\$1")
+    return F.regexp_replace(once, "#", r"\\#") if "#" in marks else once
+
+
+def html_escaped(text: Column) -> Column:
+    """with entities for the five characters of markup; null for a blank."""
+    out = text
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(entity))
+    return F.when(text.rlike(r"\S"), out)
 
 
 def unlabelled(text: Column) -> Column:
     """without a label such as "Translation:" in front."""
-    return F.regexp_replace(text, r"(?i)^\s*(translation|translated text|output)\s*:\s*", "")
+    # Labels.
+    return F.regexp_replace(text, r"(?i)^(?:translation|translated(?:\s+text)?|answer|response)\s*:\s*", "")
+
+
+MARKED = r"([\p{L})\].,;:\"])([0-9]{1,3})"
 
 
 def without_markers(text: Column) -> Column:
-    """without digits that are glued to the end of a word."""
-    return F.regexp_replace(text, r"(\p{L}|[.,;!?])[0-9]{1,3}(?=\s|:|$)", "$1")
+    """without up to three digits that are glued to a letter or mark, before white space, a colon or the end."""
+    return F.regexp_replace(F.regexp_replace(text, MARKED + r"(?=\s*:)", "$1"), MARKED + r"(?=\s|$)", "$1")
+
+
+def markers(text: Column) -> Column:
+    """the digits that were taken away; those before a colon go without being kept."""
+    return F.regexp_extract_all(F.regexp_replace(text, MARKED + r"(?=\s*:)", "$1"), F.lit(MARKED + r"(?=\s|$)"), 2)
 
 
 def packed_entities(text: Column) -> Column:

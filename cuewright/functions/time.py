@@ -25,29 +25,52 @@ def format_timestamp(seconds: Column, mark: str = ",", digits: int = 3) -> Colum
     return F.concat(pad(F.floor(s / 3600).cast("long"), 2), F.lit(":"), pad(F.floor(s / 60).cast("long") % 60, 2), F.lit(":"), pad(s % 60, 2), F.lit(mark), pad(units % 10**digits, digits))
 
 
-CLOCK = re.compile(r"(?:(\d*):)?(\d*):(\d*(?:\.\d+)?)$|(\d+(?:\.\d+)?)$")
-PERIOD = re.compile(r"(?:(\d+)h)?(?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)?$")
+# Units of a period in seconds, and what a field between colons may hold.
+UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0}
+PERIOD = re.compile(r"(?:\d+(?:\.\d+)?[hms])+", re.IGNORECASE)
+FIELD = re.compile(r"\d*(?:\.\d{1,3})?")
 
 
 def duration(text: str) -> float:
-    """seconds of a clock (90, 1:30, 1:, 1::5) or a period (1h30m5s). Fields behind a colon must be below 60.
+    """seconds of a clock (90, 1:30, 1:, 1::5) or a period (1h30m5s, 1.5h, in any order).
 
-    >>> duration("1:30"), duration("1::5"), duration("1m30s")
-    (90.0, 3605.0, 90.0)
+    The last field of several must be below 60, as must the minutes between hours and seconds. Digits behind a point: at most three.
+
+    >>> duration("1:30"), duration("1::5"), duration("1m30s"), duration("1.5H"), duration("30m1h")
+    (90.0, 3605.0, 90.0, 5400.0, 5400.0)
     """
     text = text.strip()
-    if clock := CLOCK.match(text):
-        if clock[4] is not None:
-            return float(clock[4])
-        hours, minutes, seconds = (float(x or 0) for x in clock.group(1, 2, 3))
-        if not any(clock.group(1, 2, 3)) or seconds >= 60 or (clock[1] is not None and minutes >= 60):
-            raise ValueError(f"not a duration: {text!r}")
-        return hours * 3600 + minutes * 60 + seconds
-    period = PERIOD.match(text)
-    if not text or not period or not any(period.groups()):
+    if PERIOD.fullmatch(text):
+        return float(sum(float(n) * UNITS[unit.lower()] for n, unit in re.findall(r"(\d+(?:\.\d+)?)([hms])", text, re.IGNORECASE)))
+    fields = text.split(":")
+    if not re.search(r"\d", text) or len(fields) > 3 or not all(FIELD.fullmatch(x) for x in fields):
+        raise ValueError(f"not a duration: {text!r}")
+    values = [float(x) if x else 0.0 for x in fields]
+    if (len(values) > 1 and values[-1] >= 60) or (len(values) == 3 and values[1] >= 60):
         raise ValueError(f"not a duration: {text!r}")
-    hours, minutes, seconds = (float(x or 0) for x in period.groups())
-    return hours * 3600 + minutes * 60 + seconds
+    return float(sum(x * 60**i for i, x in enumerate(reversed(values))))
+
+
+def section(start: str | None = None, to: str | None = None, length: str | None = None) -> tuple[float, float | None, float | None]:
+    """start, finish and length of a cut; an end and a length together are an error."""
+    if to and length:
+        raise ValueError("a length can't be combined with an end")
+    begin = duration(start) if start else 0.0
+    lasts = duration(length) if length else None
+    return begin, duration(to) if to else (begin + lasts if lasts is not None else None), lasts
+
+
+def duration_column(text: Column) -> Column:
+    """F62 as an expression; null where `duration` raises."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    amounts, units = (F.regexp_extract_all(trimmed, F.lit(r"(?i)([0-9]+(?:\.[0-9]+)?)([hms])"), g) for g in (1, 2))
+    period = F.aggregate(F.zip_with(amounts, units, lambda n, u: n.cast("double") * F.when(F.lower(u) == "h", 3600.0).when(F.lower(u) == "m", 60.0).otherwise(1.0)), F.lit(0.0), lambda s, x: s + x)
+    fields = F.transform(F.split(trimmed, ":", -1), lambda x: F.when(x == "", F.lit(0.0)).otherwise(x.try_cast("double")))
+    n = F.size(fields)
+    last, middle = F.get(fields, n - 1), F.get(fields, F.lit(1))
+    well = trimmed.rlike(r"[0-9]") & trimmed.rlike(r"^(?:[0-9]*(?:\.[0-9]{1,3})?:){0,2}[0-9]*(?:\.[0-9]{1,3})?$") & ~((n > 1) & (last >= 60)) & ~((n == 3) & (middle >= 60))
+    clock = F.aggregate(fields, F.lit(0.0), lambda s, x: s * 60 + x)
+    return F.when(trimmed.rlike(r"(?i)^(?:[0-9]+(?:\.[0-9]+)?[hms])+$"), period).when(well, clock)
 
 
 def time_ranges(text: str) -> list[tuple[float, float]]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +64,28 @@ def mode_first(df: DataFrame, group: Sequence[str], value: str, ordinal: str) ->
     return tallied.groupBy(*group).agg(F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("_first"))).alias("_best")).select(*group, "_best.*")
 
 
+def trigram_shares(words: pa.Array) -> pa.Array:
+    """Distinct share of the trigrams of each list of words; 0 with fewer than three. All lists of a batch at once."""
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = pc.list_flatten(words).dictionary_encode().indices.to_numpy().astype(np.int64)
+    kinds = int(codes.max(initial=0)) + 1
+    n = np.maximum(counts - 2, 0)
+    row = np.repeat(np.arange(len(counts)), n)
+    first = np.repeat(np.cumsum(counts) - counts, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    pairs = np.unique(codes[:-1] * kinds + codes[1:], return_inverse=True)[1] if len(codes) > 1 else codes[:0]  # small numbers, so that three of them fit
+    grams = np.unique(pairs[first] * kinds + codes[first + 2], return_inverse=True)[1] if len(first) else first
+    distinct = np.bincount(np.unique(row * (int(grams.max(initial=0)) + 1) + grams) // (int(grams.max(initial=0)) + 1), minlength=len(counts)) if len(row) else np.zeros(len(counts), np.int64)
+    return pa.array(np.where(n > 0, distinct / np.maximum(n, 1), 0.0), pa.float64())
+
+
 def trigram_ratio(text: Column) -> Column:
-    """Distinct share of the word trigrams of a text in small letters; 0 with fewer than three words."""
+    """Distinct share of the trigrams of the letter runs of a text in small letters; 0 with fewer than three, and for a null."""
 
-    def ratio(words: Column) -> Column:
-        n = F.size(words) - 2
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
-        return F.when(n >= 1, F.size(F.array_distinct(grams)).cast("double") / n).otherwise(F.lit(0.0))
+    @F.arrow_udf("double")
+    def shares(words: pa.Array) -> pa.Array:
+        return trigram_shares(words)
 
-    return bound(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), ratio)
+    return shares(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0))
 
 
 def boundary_text(text: Column) -> Column:

@@ -10,15 +10,35 @@ from cuewright.operators import aggregates, joins, quality
 from cuewright.session import table
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """Documents as recordings: stand-ins for the acoustic metrics, made of their words and characters."""
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).cast("long")
+    m = F.col("n_words")
+    return docs.select("doc_id", n.alias("n_words"), "n_chars", aggregates.trigram_ratio(F.col("text")).alias("entropy")).select(
+        "doc_id", "entropy",
+        (m % 41 - 2).cast("double").alias("estimated_snr_db"), (F.lit(-60) + m % 47).cast("double").alias("estimated_noise_floor_db"),
+        ((F.col("n_chars") % 16) / F.lit(100.0)).alias("zero_crossing_rate"), (F.lit(8) + F.col("n_chars") % 10).cast("double").alias("bit_depth"),
+        ((m % 40) / F.lit(100.0)).alias("silence_ratio"), (F.lit(-40) + m % 37).cast("double").alias("integrated_lufs"), (m % 19).cast("double").alias("loudness_range_lu"),
+        ((m % 17) / F.lit(-4.0)).alias("true_peak_db"), ((F.col("n_chars") % 9) / F.lit(-4.0)).alias("peak_db"), (F.lit(-45) + m % 41).cast("double").alias("rms_db"),
+        (F.lit(-50) + m % 23).cast("double").alias("leading_rms_db"), (F.lit(-50) + m % 29).cast("double").alias("trailing_rms_db"),
+    )
+
+
+METRICS = ("estimated_snr_db", "estimated_noise_floor_db", "entropy", "zero_crossing_rate", "bit_depth", "silence_ratio", "integrated_lufs", "loudness_range_lu", "true_peak_db", "peak_db", "rms_db", "leading_rms_db", "trailing_rms_db")
+
+
 def quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship (A8, A18, F65, J6, W11): documents without a label are pending; score, grade and rank them."""
+    """Flagship (A8, A9, A18, F65, J6, T1, W11): documents without a label are pending; score, grade and rank them.
+
+    The parts are not rounded here, since engines round halves of doubles differently.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    pending = joins.pending(docs, table(spark, sf_dir, "labels"), ["doc_id"])
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    measured = pending.select("doc_id", words.cast("long").alias("n_words"), aggregates.trigram_ratio(F.col("text")).alias("trigram_ratio"))
-    score = quality.ramp(F.col("trigram_ratio"), 0.5, 1.0, 64) + quality.ramp(F.col("n_words").cast("double"), 0.0, 512.0, 32) + quality.centred(F.col("n_words").cast("double"), 256.0, 256.0, 4)
-    scored = measured.withColumn("score", score)
-    return quality.ranked(scored.withColumn("grade", quality.grade(F.col("score"))), "score", "doc_id")
+    rows = measured(joins.pending(docs, table(spark, sf_dir, "labels"), ["doc_id"]))
+    parts = quality.score_components({m: F.col(m) for m in METRICS}, digits=None)
+    scored = rows.withColumn("parts", parts).withColumn("score", quality.reference_score(F.col("parts"), digits=None))
+    signal = quality.signal_score(F.col("entropy"), F.col("zero_crossing_rate"), F.col("rms_db"))
+    scored = scored.select("doc_id", "entropy", F.col("parts.estimated_snr").alias("snr_points"), F.col("parts.loudness").alias("loudness_points"), signal.alias("signal_score"), "score", quality.grade(F.col("score")).alias("grade"))
+    return quality.ranked(scored, "score", "doc_id")
 
 
 def nearest_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +120,9 @@ def age_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as recordings: number and first of the issues, and acceptance."""
-    metrics = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_tax") * -1).alias("peak"), (F.col("l_quantity") * -1).alias("rms"), (F.col("l_discount") * 300).alias("snr"), (F.col("l_quantity") - 60).alias("edge"))
-    found = quality.diagnosis(metrics, {"peak_db": "peak", "rms_db": "rms", "snr_db": "snr", "leading_rms_db": "edge", "trailing_rms_db": "edge"})
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "rms", F.size("issues").alias("n_issues"), F.get("issues", F.lit(0))["code"].alias("first_issue"), "accepted")
+    """Documents as recordings: codes of the issues in order, observed value of the first, acceptance, and whether the signal alone would do."""
+    found = quality.diagnosis(measured(table(spark, sf_dir, "documents")), {m: m for m in METRICS})
+    return found.select("doc_id", F.array_join(F.transform("issues", lambda i: F.concat_ws("/", i["severity"], i["code"])), ",").alias("codes"), F.get("issues", F.lit(0))["observed"].alias("observed"), "accepted", "signal_ok")
 
 
 def uniq_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,16 +198,22 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 LINES_SQL = "SELECT source, doc_id, i - 1 AS line_idx, parts[i] AS text FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(parts[i]) <> ''"
-TRIGRAM_SQL = f"""
-SELECT doc_id, CASE WHEN len(w) >= 3 THEN CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) AS DOUBLE) / (len(w) - 2) ELSE 0.0 END AS ratio, len(w) AS n_words
-FROM (SELECT doc_id, {WORDS_SQL.format("lower(text)")} AS w FROM documents)"""
+TRIGRAM_SQL = r"""
+SELECT doc_id, n_chars, CASE WHEN len(w) >= 3 THEN CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) AS DOUBLE) / (len(w) - 2) ELSE 0.0 END AS ratio, len(w) AS m
+FROM (SELECT doc_id, n_chars, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)"""
+MEASURED_SQL = f"""
+SELECT doc_id, ratio AS entropy, (m % 41 - 2)::DOUBLE AS snr, (-60 + m % 47)::DOUBLE AS floor, (n_chars % 16) / 100.0::DOUBLE AS zcr, (8 + n_chars % 10)::DOUBLE AS depth, (m % 40) / 100.0::DOUBLE AS silence, (-40 + m % 37)::DOUBLE AS lufs,
+  (m % 19)::DOUBLE AS lra, (m % 17) / -4.0::DOUBLE AS tp, (n_chars % 9) / -4.0::DOUBLE AS peak, (-45 + m % 41)::DOUBLE AS rms, (-50 + m % 23)::DOUBLE AS lead, (-50 + m % 29)::DOUBLE AS trail FROM ({TRIGRAM_SQL})"""
+UP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({0} - ({1}::DOUBLE)) / (({2}::DOUBLE) - ({1}::DOUBLE)))) * {3}.0::DOUBLE"
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
 
 SQL = {
     "quality_rank": f"""
-WITH m AS (SELECT t.doc_id, t.n_words, t.ratio AS trigram_ratio FROM ({TRIGRAM_SQL}) t WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id)),
-s AS (SELECT *, greatest(0.0, least(1.0, (trigram_ratio - 0.5::DOUBLE) / 0.5::DOUBLE)) * 64.0::DOUBLE + greatest(0.0, least(1.0, n_words::DOUBLE / 512.0::DOUBLE)) * 32.0::DOUBLE + greatest(0.0, least(1.0, 1.0::DOUBLE - abs(n_words::DOUBLE - 256.0::DOUBLE) / 256.0::DOUBLE)) * 4.0::DOUBLE AS score FROM m)
-SELECT *, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s""",
+WITH m AS (SELECT * FROM ({MEASURED_SQL}) d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+p AS (SELECT *, {UP.format("snr", 8, 30, 30)} AS p1, {UP.format("floor", -20, -50, 20)} AS p2, {UP.format("entropy", 0.55, 0.9, 10)} AS p3, {UP.format("zcr", 0.15, 0.02, 5)} AS p4, {UP.format("depth", 10, 16, 5)} AS p5,
+  {UP.format("silence", 0.35, 0.02, 10)} AS p6, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - abs(lufs + 18.0::DOUBLE) / 15.0::DOUBLE)) * 10.0::DOUBLE AS p7, {UP.format("lra", 15, 4, 5)} AS p8, {UP.format("tp", -0.1, -3, 5)} AS p9 FROM m),
+s AS (SELECT *, p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 + p9 AS score FROM p)
+SELECT doc_id, entropy, p1 AS snr_points, p7 AS loudness_points, entropy - 2 * zcr - abs(rms + 20) / 20 AS signal_score, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s""",
     "nearest_rank_pct": "SELECT event_type, quantile_disc(value, 0.1) AS p10, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, min(value) AS lowest, max(value) AS highest FROM events GROUP BY event_type",
     "floor_pct": "SELECT user_id, v[least(CAST(floor(len(v) * 0.1::DOUBLE) AS BIGINT), len(v) - 1) + 1] AS p10 FROM (SELECT user_id, list(value ORDER BY value) AS v FROM events GROUP BY user_id)",
     "timing_score": """
@@ -225,15 +250,22 @@ g AS (SELECT user_id, kind || '/' || span AS speaker_id, span * 21600.0::DOUBLE
 j AS (SELECT w.user_id, event_id, speaker_id, greatest(0, least(wf, sf) - greatest(ws, ss)) AS o, greatest(0, ss - wf, ws - sf) AS d, ss, sf FROM w JOIN g ON w.user_id = g.user_id)
 SELECT user_id, event_id, speaker_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY o DESC, d, ss DESC, sf) AS r FROM j) WHERE r = 1""",
     "age_tier": "SELECT o_orderkey, age, CASE WHEN age <= 30 THEN 'new' WHEN age <= 60 THEN 'recent' WHEN age <= 90 THEN 'old' ELSE 'archive' END AS tier FROM (SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS INTEGER) AS age FROM orders)",
-    "diagnosis": """
-WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_tax * -1 AS peak, l_quantity * -1 AS rms, l_discount * 300 AS snr, l_quantity - 60 AS edge FROM lineitem),
-i AS (SELECT *, list_filter([CASE WHEN peak >= -0.1 THEN 'clipping' END, CASE WHEN rms < -35 THEN 'too quiet' END, CASE WHEN rms > -10 THEN 'too loud' END, CASE WHEN snr < 15 THEN 'noisy' END, CASE WHEN edge > -35 THEN 'abrupt start' END, CASE WHEN edge > -35 THEN 'abrupt end' END], lambda x: x IS NOT NULL) AS issues FROM m)
-SELECT l_orderkey, l_linenumber, l_partkey, rms, CAST(len(issues) AS INTEGER) AS n_issues, issues[1] AS first_issue, len(list_filter(issues, lambda x: x NOT LIKE 'abrupt%')) = 0 AS accepted FROM i""",
+    "diagnosis": f"""
+WITH i AS (SELECT *, list_filter([
+  CASE WHEN peak > -1 THEN {{'c': 'error/peak_too_high', 'o': peak}} END, CASE WHEN rms < -35 OR rms > -10 THEN {{'c': 'error/rms_out_of_range', 'o': rms}} END, CASE WHEN entropy < 0.6::DOUBLE THEN {{'c': 'error/low_entropy', 'o': entropy}} END,
+  CASE WHEN zcr > 0.12::DOUBLE THEN {{'c': 'error/excessive_zero_crossing', 'o': zcr}} END, CASE WHEN depth < 14 THEN {{'c': 'error/low_bit_depth', 'o': depth}} END, CASE WHEN lufs < -22 OR lufs > -14 THEN {{'c': 'error/integrated_loudness_out_of_range', 'o': lufs}} END,
+  CASE WHEN lra > 6 THEN {{'c': 'error/excessive_loudness_range', 'o': lra}} END, CASE WHEN tp > -1.5::DOUBLE THEN {{'c': 'error/true_peak_too_high', 'o': tp}} END, CASE WHEN silence > 0.1::DOUBLE THEN {{'c': 'error/excessive_silence', 'o': silence}} END,
+  CASE WHEN floor > -30 THEN {{'c': 'error/background_noise', 'o': floor}} END, CASE WHEN snr < 12 THEN {{'c': 'error/low_estimated_snr', 'o': snr}} END, CASE WHEN lead > -35 THEN {{'c': 'warning/active_leading_edge', 'o': lead}} END,
+  CASE WHEN trail > -35 THEN {{'c': 'warning/active_trailing_edge', 'o': trail}} END], lambda x: x IS NOT NULL) AS issues FROM ({MEASURED_SQL}))
+SELECT doc_id, array_to_string(list_transform(issues, lambda x: x.c), ',') AS codes, issues[1].o AS observed, len(list_filter(issues, lambda x: starts_with(x.c, 'error'))) = 0 AS accepted,
+  peak <= -1 AND rms BETWEEN -35 AND -10 AND entropy >= 0.6::DOUBLE AND zcr <= 0.12::DOUBLE AND depth >= 14 AS signal_ok FROM i""",
     "uniq_first": f"SELECT {HOST_SQL} AS host, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM pages GROUP BY 1",
     "missing_pages": """
 WITH r AS (SELECT source, unnest(range(min(doc_id), max(doc_id) + 1)) AS doc_id FROM documents GROUP BY source)
 SELECT source, doc_id FROM r WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = r.source AND d.doc_id = r.doc_id)""",
-    "url_display": rf"SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://(www\.)?', ''), '/$', '') AS display, {HOST_SQL} AS host FROM pages",
+    "url_display": rf"""
+WITH n AS (SELECT page_id, url, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) ELSE 'https://' || trim(url) END AS whole FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(whole, '(?i)^https?://[^/?#\s]+') THEN regexp_replace(regexp_replace(whole, '(?i)^https?://', ''), '(?i)^www\.', '') END AS display, {HOST_SQL} AS host FROM n""",
     "json_props": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS distinct_k FROM events GROUP BY event_type",
     "unit_registry": f"SELECT key, doc_id, line_idx FROM (SELECT sha256('v1|' || text) AS key, doc_id, line_idx, row_number() OVER (PARTITION BY sha256('v1|' || text) ORDER BY doc_id, line_idx) AS r FROM ({LINES_SQL})) WHERE r = 1",
     "cosine_centroid": """

@@ -68,10 +68,16 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, types and speeds made from parts."""
-    n = F.col("p_size") % 5
-    extension = F.when(n == 0, ".PDF").when(n == 1, ".htm").when(n == 2, ".epub").when(n == 3, ".xyz").otherwise("")
-    mime = F.when(F.col("p_partkey") % 3 == 0, "text/html").when(F.col("p_partkey") % 3 == 1, "video/mp4").otherwise("image/gif")
-    return table(spark, sf_dir, "part").select("p_partkey", media.document_kind(F.concat("p_name", extension), mime).alias("kind"), media.send_type(mime).alias("sent_as"), F.size(media.tempo_chain(F.col("p_size").cast("double"))).alias("tempo_steps"))
+    n, k = F.col("p_size") % 7, F.col("p_partkey") % 5
+    extension = F.when(n == 0, ".PDF").when(n == 1, ".htm").when(n == 2, ".epub").when(n == 3, ".xyz").when(n == 4, ".Yaml").when(n == 5, ".txt").otherwise("")
+    mime = F.when(k == 0, "text/plain").when(k == 1, "video/mp4").when(k == 2, "image/gif").when(k == 3, "application/x-yaml").otherwise("audio/ogg")
+    name = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat("p_name", extension))
+    declared = F.when(F.col("p_partkey") % 2 == 0, "photo").otherwise("sticker")
+    speed = F.col("p_size").cast("double") / 4
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", media.format_of(name).alias("format"), media.document_kind(name, mime).alias("kind"), media.send_type(mime, declared).alias("sent_as"), media.album_item(mime, declared).alias("album"),
+        F.size(media.tempo_chain(speed)).alias("tempo_steps"), F.aggregate(media.tempo_chain(speed), F.lit(1.0), lambda p, x: p * x).alias("tempo"),
+    )
 
 
 def audio_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +108,11 @@ SELECT conv_id, chapter, coalesce(string_agg(turn || ':' || role, ',' ORDER BY t
     "run_matrix": "SELECT n_nationkey, n_name, CAST(unnest([1, 2, 3]) AS INTEGER) AS repeat FROM nation",
     "reply_pairs": "SELECT a.conv_id, a.turn, a.role, u.turn AS asked FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant'",
     "media_kinds": """
-WITH p AS (SELECT p_partkey, p_size % 5 AS n, p_partkey % 3 AS m, p_size FROM part)
-SELECT p_partkey, CASE WHEN n = 0 THEN 'pdf' WHEN n = 1 THEN 'html' WHEN n = 2 THEN 'epub' WHEN m = 0 THEN 'html' END AS kind, CASE m WHEN 0 THEN 'document' WHEN 1 THEN 'video' ELSE 'animation' END AS sent_as,
-  CAST(1 + greatest(0, CAST(ceil(log2(p_size) - 1e-12) AS INTEGER) - 1) AS INTEGER) AS tempo_steps FROM p""",
+WITH p AS (SELECT p_partkey, p_size % 7 AS n, p_partkey % 5 AS k, p_partkey % 11 = 0 AS unnamed, p_size / 4.0::DOUBLE AS speed FROM part),
+f AS (SELECT *, CASE WHEN unnamed THEN NULL ELSE CASE n WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'epub' WHEN 4 THEN 'yaml' WHEN 5 THEN 'txt' END END AS format FROM p)
+SELECT p_partkey, format, CASE WHEN format IN ('pdf', 'epub', 'yaml', 'txt') THEN format WHEN k = 3 THEN 'yaml' WHEN k = 0 AND unnamed THEN 'txt' END AS kind,
+  CASE k WHEN 1 THEN 'video' WHEN 2 THEN 'photo' WHEN 4 THEN 'audio' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'photo' ELSE 'document' END END AS sent_as, k IN (1, 2) OR k IN (0, 3) AND p_partkey % 2 = 0 AS album,
+  CAST(CASE WHEN speed > 8 THEN 4 WHEN speed > 4 THEN 3 WHEN speed > 2 THEN 2 WHEN speed = 1 THEN 0 ELSE 1 END AS INTEGER) AS tempo_steps, speed AS tempo FROM f""",
     "audio_signature": "SELECT l_orderkey, count(DISTINCT l_returnflag || '|' || l_linestatus) = 1 AS same FROM lineitem GROUP BY l_orderkey",
     "page_union": "SELECT source, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (lang = 'en' OR n_chars > 2000), '') AS ids FROM documents GROUP BY source",
 }

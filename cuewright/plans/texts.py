@@ -15,7 +15,7 @@ from cuewright.sources import html, subtitles
 
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F5, F11, F12, F18, F22, F40, F42 on whole documents."""
+    """F4, F5, F11, F18, F40, F42 on whole documents."""
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -26,6 +26,10 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(t.redacted(text)).alias("redacted"),
         F.size(t.line_breaks(text)).alias("n_breaks"),
         t.packed_entities(text).alias("n_entities"),
+        F.md5(t.without_markers(text)).alias("unmarked"),
+        F.size(t.markers(text)).alias("n_markers"),
+        F.md5(t.unlabelled(F.concat(F.lit("Translated text : "), text))).alias("unlabelled"),
+        F.md5(t.html_escaped(text)).alias("html"),
     )
 
 
@@ -110,7 +114,10 @@ SQL = {
     "text_scalars": r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal, CAST(len(regexp_extract_all(lower(text), '\p{L}+')) AS INTEGER) AS n_words,
   regexp_matches(text, '[.!?…。！？]["''”’)\]]*\s*$') AS ends, regexp_matches(text, '[\p{L}\p{N}]') AS speakable,
-  md5(regexp_replace(text, '(?i)\b(cookie|token|authorization|password)(\s*[:=]\s*)\S+', '\1\2***', 'g')) AS redacted,
+  md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)/cookies\b[^\r\n]*', '/cookies [REDACTED]', 'g'), 'bot[0-9]+:[A-Za-z0-9_-]+', 'bot[REDACTED]', 'g'), '(?i)\b(authorization|cookie|set-cookie)\s*[:=]\s*[^\r\n]+', '\1: [REDACTED]', 'g'), '(https?://[^\s?]+)\?[^\s]+', '\1?[REDACTED]', 'g')) AS redacted,
+  md5(regexp_replace(regexp_replace(text, '([\p{L})\].,;:"])[0-9]{1,3}(\s*:)', '\1\2', 'g'), '([\p{L})\].,;:"])[0-9]{1,3}(\s|$)', '\1\2', 'g')) AS unmarked,
+  CAST(len(regexp_extract_all(regexp_replace(text, '([\p{L})\].,;:"])[0-9]{1,3}(\s*:)', '\1\2', 'g'), '[\p{L})\].,;:"][0-9]{1,3}(?:\s|$)')) AS INTEGER) AS n_markers,
+  md5(text) AS unlabelled, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS html,
   CAST(len(regexp_extract_all(text, '\r\n|\r|\n')) AS INTEGER) AS n_breaks, CAST(len(regexp_extract_all(text, '&(#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);')) AS INTEGER) AS n_entities FROM documents""",
     "slugs": """SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, left(trim(regexp_replace(replace(c_name || '/' || c_mktsegment, '/', ', '), '["'']', '', 'g')), 20) AS file FROM customer""",
     "timestamps": """
@@ -121,7 +128,7 @@ WITH p AS (SELECT p_partkey, p_size AS n FROM part UNION SELECT p_partkey, unnes
 SELECT p_partkey, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS pages FROM p GROUP BY p_partkey""",
     "line_digits": r"""
 WITH l AS (SELECT source, parts[i] AS text FROM (SELECT source, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(parts[i]) <> '')
-SELECT source, count(*) AS lines, count(*) FILTER (regexp_matches(text, '^\s*[0-9](?:\.\s*[0-9]){3,}\.?\s*$')) AS noise, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS speakable,
+SELECT source, count(*) AS lines, count(*) FILTER (regexp_matches(text, '^\s*[0-9](?:\s*\.\s*[0-9]){3,}\.?\s*$')) AS noise, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS speakable,
   count(DISTINCT regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[0-9]+', '#', 'g')) AS forms FROM l GROUP BY source""",
     "merge_adjacent": None,
     "sentence_cues": None,

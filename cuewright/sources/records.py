@@ -48,7 +48,7 @@ def option_map(line: Column) -> Column:
 
 
 def input_lines(messages: DataFrame, id_col: str = "message_id", text_col: str = "text", most: int = 10) -> DataFrame:
-    """One row per line with a URL: the URL and its options, over those of the lines before the first URL; at most `most` URLs."""
+    """One row per line with a URL: the URL and its options, over those of the lines before the first URL; more than `most` URLs are an error."""
     from cuewright.operators.cues import merged_maps
 
     lines = messages.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
@@ -59,7 +59,8 @@ def input_lines(messages: DataFrame, id_col: str = "message_id", text_col: str =
     before = parsed.join(first, id_col).filter("line < first").groupBy(id_col).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("line", F.map_entries("options").alias("e")))), F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")), lambda m, x: merged_maps(m, F.map_from_entries(x["e"]))).alias("inherited"))
     from pyspark.sql import Window
 
-    ranked = urls.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy("line"))).filter(F.col("n") <= most)
+    ranked = urls.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy("line")))
+    ranked = ranked.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"too many URLs (maximum {most})")).cast("int")))
     joined = ranked.join(before, id_col, "left")
     return joined.select(id_col, "n", "url", F.when(F.col("inherited").isNull(), F.col("options")).otherwise(merged_maps(F.col("inherited"), F.col("options"))).alias("options"))
 

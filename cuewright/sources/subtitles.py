@@ -105,8 +105,7 @@ def rendered(cue_rows: DataFrame, vtt: bool = False) -> DataFrame:
     return cue_rows.filter("finish_s > start_s").groupBy("doc_id").agg(ordered.alias("blocks")).select("doc_id", text.alias("text"))
 
 
-WORD = "struct<word:string,start:double,end:double,confidence:double,probability:double,prob:double,p:double>"
-TRANSCRIPT = f"language string, text string, segments array<struct<id:int,start:double,`end`:double,text:string,speaker_id:string,cue_id:string,avg_logprob:double,words:array<{WORD}>>>"
+TRANSCRIPT = "language string, text string, segments array<struct<id:int,start:double,`end`:double,text:string,speaker_id:string,cue_id:string,avg_logprob:double,words:array<string>>>"
 MILLIS = "language string, text string, segments array<struct<t0_ms:bigint,t1_ms:bigint,text:string,words:array<struct<text:string,t0_ms:bigint,t1_ms:bigint,p:double>>>>"
 
 
@@ -121,5 +120,12 @@ def transcript_segments(documents: DataFrame, json_col: str = "json", millis: bo
 
 
 def word_confidence(w: Column) -> Column:
-    """The first of the names under which models give a confidence."""
-    return F.coalesce(w["confidence"], w["probability"], w["prob"], w["p"])
+    """Of the names under which models give a confidence, the first that is present: an explicit null there wins over later names.
+
+    w: a word as JSON text, since a struct no longer tells a missing field from a null one.
+    """
+    names = F.json_object_keys(w)
+    out = F.lit(None).cast("double")
+    for name in reversed(("confidence", "probability", "prob", "p")):  # fixed values
+        out = F.when(F.array_contains(names, name), F.get_json_object(w, f"$.{name}").try_cast("double")).otherwise(out)
+    return out
