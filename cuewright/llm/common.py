@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,30 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that Spark sends to a Python worker at a time. Texts are a few KB on average; with the
-#: default of 10,000, one batch of long texts could outgrow a worker.
-ARROW_ROWS = 1000
-#: And bytes: 1,000 very long texts are more than one batch.
-ARROW_BYTES = 32 << 20
-
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
+#: Rows and bytes that Spark sends to a Python worker at a time. With rows alone, a batch of long texts could outgrow a worker.
+ARROW_ROWS, ARROW_BYTES = 10_000, 16 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, unless they are bounded tighter already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, None)
-    if held is None or not held.isdigit() or int(held) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        held = spark.conf.get(key, None) or ""
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine, as in tests, a folder of that machine.
+
+    On a cluster there is no such folder to fall back on, so this raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,7 +54,15 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that `written` returned, once no later plan reads them."""
+    for df in tables:
+        delete(df.sparkSession, df.scratch)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import written
+from cuewright.llm.common import dropped, written
 
 #: Rounds before giving up; each round at least halves the paths, so 2 ** 40 nodes in a line would do.
 MOST_ROUNDS = 60
@@ -31,7 +31,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         # Small star: now every link goes down; all smaller neighbours of u hang on the smallest of them.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lowest, "u")
-        current = written(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        past, current = current, written(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(past)
         after = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

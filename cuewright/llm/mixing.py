@@ -33,18 +33,19 @@ def thresholds(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda state: state["all"])
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, size: int | None = None, seed: str = "0", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", key_col: str = "shuffle_key") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, size: int | None = None, seed: str = "0", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", key_col: str = "shuffle_key", text_col: str = "text") -> DataFrame:
     """Repeat documents so that sources have their target shares, and shuffle the result globally.
 
     weights: relative weight of each source (null is a source too); sources without one go; None weighs all
     sources alike. size: expected rows of the result, by default those of the input. A row of a source with n rows
     and share w is repeated X times, where X is Poisson with mean size * w / n, found by inverting the distribution
     at a number hashed from seed and id: every run and every engine draws alike. A copy number (1, 2, ...) and
-    the shuffle key are added, named copy_col and key_col; a column of the input with such a name is replaced.
+    the shuffle key are added, named copy_col and key_col; a column of the input with such a name is replaced. All other
+    columns pass through untouched, whatever their names.
 
     The result is dealt by a hash of its key and sorted by the key within partitions, a random global order. Rows
-    that share an id draw the same number, each for itself; a null id draws as the id "". Null texts are documents
-    like others. Empty table: empty result. The counts of sources are combined on the map side; a source
+    that share an id draw the same number, each for itself; a null id draws by the digest of its text (a null text as ""), so rows
+    without ids are drawn apart. Null texts are documents like others. Empty table: empty result. The counts of sources are combined on the map side; a source
     with a third of all rows is no hot key, since its rate is broadcast and its copies go by their own keys.
     """
     docs = docs.drop(*(c for c in (copy_col, key_col) if c in docs.columns))
@@ -64,17 +65,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, size
     if totals["sources"] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
 
-    identity = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = lambda i: F.size(F.filter("mix_thresholds", lambda t: t <= uniform(F.lit(seed), identity, i.cast("string"))))
+    identity = F.coalesce(F.col("mix_id"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("mix_text"), F.lit("")))))
+    drawn = lambda i: F.size(F.filter("mix_thresholds", lambda t: t <= uniform(F.lit(seed), F.col("mix_identity"), i.cast("string"))))
     times = F.aggregate(F.sequence(F.lit(1), F.col("mix_draws")), F.lit(0), lambda n, i: n + drawn(i))
+    # Rows travel as one struct, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("mix_row"), docs[id_col].cast("string").alias("mix_id"), (docs[text_col].cast("string") if text_col in docs.columns else F.lit(None).cast("string")).alias("mix_text"), docs[source_col].alias("mix_of"))
     copies = (
-        docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
+        rows.select("mix_row", identity.alias("mix_identity"), "mix_of")
+        .join(rates, F.col("mix_of").eqNullSafe(F.col("mix_source")))
         .withColumn("mix_times", times)
         .filter("mix_times > 0")
-        .select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias(copy_col))
+        .select("mix_row", "mix_identity", F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_copy"))
     )
-    keyed = copies.withColumn(key_col, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), identity, F.col(copy_col).cast("string"))))
-    return keyed.repartition(key_col).sortWithinPartitions(key_col, id_col)
+    keyed = copies.select("mix_row", "mix_copy", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("mix_identity"), F.col("mix_copy").cast("string"))).alias("mix_key"))
+    shuffled = keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    return shuffled.select(*(F.col("mix_row").getField(c).alias(c) for c in docs.columns), F.col("mix_copy").alias(copy_col), F.col("mix_key").alias(key_col))
 
 
 ORACLE_SQL = """
@@ -87,10 +92,11 @@ cdf AS (
   SELECT source, rate, j + 1, p * rate / (j + 1), c + p * rate / (j + 1) FROM cdf
   WHERE j < CAST(ceil(rate + 12.0::DOUBLE * sqrt(rate)) AS INTEGER) + 40
 ),
+named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS identity FROM documents),
 draws AS (
-  SELECT doc_id, source, ('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT DISTINCT identity, source, ('0x' || substr(md5('0|' || identity || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM named
 ),
-times AS (SELECT d.doc_id, count(*) AS times FROM draws d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY d.doc_id)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS INTEGER) AS copy, md5('0|order|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || copy) AS shuffle_key
-FROM documents d JOIN times USING (doc_id), LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
+times AS (SELECT d.identity, d.source, count(*) AS times FROM draws d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY d.identity, d.source)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS INTEGER) AS copy, md5('0|order|' || d.identity || '|' || copy) AS shuffle_key
+FROM named d JOIN times t ON t.identity = d.identity AND t.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
 """

@@ -28,8 +28,6 @@ NEIGHBOURS, TABLES, BLOCK = 8, 8, 512
 LEAST_ROUNDS, MOST_ROUNDS, AUDITED, RECALL = 1, 6, 256, 0.999
 #: Bytes of vectors that pass at a time in the exact comparison, and vectors that a batch meets at a time.
 PIECE_BYTES, COLUMNS = 16 << 20, 4096
-#: Dimensions that hyperplanes look at; longer vectors are told apart by their first ones to begin with.
-MOST_DIMENSIONS = 4096
 
 LISTED = "u long, v long, sim double"
 
@@ -131,9 +129,8 @@ def first_graph(classes: DataFrame, n: int, kind: str, seed: int) -> DataFrame:
                 continue
             table = unit(batch.column("vector").to_pylist(), kind)
             for t in range(TABLES):
-                planes = np.random.default_rng([seed, t]).standard_normal((MOST_DIMENSIONS, bits))
-                width = min(table.shape[1], MOST_DIMENSIONS)
-                codes = (table[:, :width] @ planes[:width] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                planes = np.random.default_rng([seed, t]).standard_normal((table.shape[1], bits))  # row by row: a longer vector only adds rows
+                codes = (table @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(table), pa.int32()), pa.array(codes, pa.int64()), batch.column("node"), batch.column("vector")], schema=out_schema)
 
     coded = classes.select("node", "vector").mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cuewright.llm.common import arrow_schema, picked, prepare, written
+from cuewright.llm.common import arrow_schema, partitions, picked, prepare, written
 
 #: Vectors of a block of candidates and of queries, and dimensions that are added at a time.
 CANDIDATES, QUERIES, BLOCK_DIMENSIONS = 4096, 512, 16
@@ -74,17 +74,17 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
     """(query, vector, score) of the k best of each query in a block, ties to smaller ids; a query's own id is left out."""
     order = np.argsort(ids, kind="stable")  # with candidates by id, a stable sort by score breaks ties
     ids, candidates = ids[order], candidates[:, order]
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * len(queries)
-    if largest >= EXACT:  # numbers too large for double precision: plain whole numbers, without bounds
-        scores = queries.T.astype(object) @ candidates.astype(object)
-        return ranked(query_ids, ids, [(np.arange(len(ids)), row) for row in scores], k)
+    largest = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(candidates.astype(np.float64)).max(initial=0)) * len(queries)
+    exact = largest < EXACT  # beyond, sums in double precision are off by a little: bounds allow for that, and whole numbers decide at the end
     mass = np.einsum("dn,dn->n", candidates.astype(np.float64), candidates.astype(np.float64))
     # Dimensions that carry the most come first: the remaining parts get short early.
     weight = np.einsum("dn,dn->d", candidates.astype(np.float64), candidates.astype(np.float64))
     by_weight = np.argsort(-weight, kind="stable")
     q, c = queries[by_weight].astype(np.float64), candidates[by_weight].astype(np.float64)
     probe = np.unique(np.concatenate([np.argsort(-mass, kind="stable")[: 4 * k], np.argsort(-(q.sum(axis=1) @ c), kind="stable")[: 4 * k]]))
-    seeds = q.T @ c[:, probe]
+    off_q, off_c = (np.zeros(x.shape[1]) if exact else np.sqrt(np.einsum("dn,dn->n", x, x)) for x in (q, c))
+    off_q *= 1e-15 * (len(q) + 8)  # of a product of a query and a candidate: a few units in the last place for each dimension
+    seeds = q.T @ c[:, probe] - np.outer(off_q, off_c[probe])
     seeds[query_ids[:, None] == ids[probe][None, :]] = -np.inf
     threshold = np.partition(seeds, len(probe) - k, axis=1)[:, len(probe) - k] if len(probe) > k else np.full(len(query_ids), -np.inf)
     left_q, left_c = np.einsum("dn,dn->n", q, q), mass.copy()
@@ -93,7 +93,9 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
     left_q, left_c = left_q - (q[first] ** 2).sum(axis=0), left_c - (c[first] ** 2).sum(axis=0)
     found = []
     # The margin covers rounding of the square root; all other numbers here are exact.
-    open_ = partial + np.sqrt(left_q)[:, None] * np.sqrt(left_c)[None, :] * (1 + 1e-9) + 1e-6 >= threshold[:, None]
+    if not exact:  # what remains of a length is a difference of rounded sums
+        left_q, left_c = np.maximum(left_q, 0) + 1e-13 * len(q) * np.einsum("dn,dn->n", q, q), np.maximum(left_c, 0) + 1e-13 * len(q) * mass
+    open_ = partial + np.sqrt(left_q)[:, None] * np.sqrt(left_c)[None, :] * (1 + 1e-9) + 1e-6 + np.outer(off_q, off_c) >= threshold[:, None]
     for i in range(len(query_ids)):
         kept = np.flatnonzero(open_[i] & (ids != query_ids[i]))
         score, rest_q, rest_c, limit = partial[i, kept], left_q[i], left_c[kept], threshold[i]
@@ -102,11 +104,13 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
             part = c[dims][:, kept]
             score = score + q[dims, i] @ part
             rest_q, rest_c = rest_q - (q[dims, i] ** 2).sum(), rest_c - (part**2).sum(axis=0)
-            slack = np.sqrt(max(rest_q, 0.0)) * np.sqrt(np.maximum(rest_c, 0.0)) * (1 + 1e-9) + 1e-6
+            slack = np.sqrt(max(rest_q, 0.0)) * np.sqrt(np.maximum(rest_c, 0.0)) * (1 + 1e-9) + 1e-6 + off_q[i] * off_c[kept]
             if len(score) > k:  # what k candidates reach at least is a better limit
                 limit = max(limit, np.partition(score - slack, len(score) - k)[len(score) - k])
             alive = score + slack >= limit
             kept, score, rest_c = kept[alive], score[alive], rest_c[alive]
+        if not exact:
+            score = queries[:, i].astype(object) @ candidates[:, kept].astype(object) if len(kept) else score
         found.append((kept, score))
     return ranked(query_ids, ids, found, k)
 
@@ -141,9 +145,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     candidates = written(packed(different(whole(vectors, id_col, vector_col, scale)), CANDIDATES).withColumn("block", F.monotonically_increasing_id()), "candidates")
     asked = packed(whole(queries, id_col, vector_col, scale).dropDuplicates(["id"]), QUERIES)
     asked = written(asked.select(F.col("ids").alias("query_ids"), F.col("dimensions").alias("query_dimensions"), F.col("columns").alias("query_columns")), "queries")
-    blocks = [r[0] for r in candidates.select("block").collect()]  # one number per CANDIDATES vectors
-    dealt = asked.withColumn("block", F.explode(F.lit(blocks).cast("array<bigint>")))
-    pairs = dealt.join(candidates, "block")
+    # A grid of cells: each block of candidates lies in one, each block of queries goes to all.
+    cells = max(1, min(candidates.count(), 4 * partitions(vectors.sparkSession)))
+    pairs = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(candidates.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")), "cell")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     out_schema = arrow_schema(schema)
 

@@ -119,7 +119,7 @@ def test_counts_of_other_vocabularies(spark, rows, name):
 @pytest.mark.parametrize("in_batches", [True, False])
 def test_memo_does_not_change_ids(in_batches):
     memo = WordMemo(WORDS, list, in_batches, most_bytes=8000)
-    words = [w for t in texts(200) for w in words_of(pa.array([t]))[0]] + ["Word.", "it's", "NO!!", "<|endoftext|>", "don't.", "...", "a" * 300, ".word", "É.", "x.y."]
+    words = [w for t in texts(200) for w in words_of(pa.array([t]))[0]] + ["Word.", "it's", "NO!!", "<|endoftext|>", "don't.", "...", "a" * 300, ".word", "É.", "x.y.", "ÀÖØßÿ!!", "×a", "e\u0301", "É\u0301", "ÿé***", "İx.", "ſs", "abc<|endoftext|>", "don't's", "rock'", "a\u0338=", "=\u0338", "ǅ", "ŀa"]
     for i in range(0, len(words), 20):
         some = list(dict.fromkeys(words[i : i + 20]))
         assert memo.of(some) == library(WORDS)(some)

@@ -174,6 +174,12 @@ def test_mixture_rows(spark):
     assert abs(counts["hot"] - 1500) < 200 and abs(counts[None] - 4500) < 350
     assert mixing.mix(df, {"hot": 1.0}).filter("source IS NULL").count() == 0
     assert mixing.mix(df.limit(0)).collect() == []
+    names = ("mix_source", "mix_draws", "mix_thresholds", "mix_times", "mix_row", "mix_id", "mix_key", "mix_copy", "mix_n", "shuffle_key")
+    clash = mixing.mix(df.withColumns({c: F.lit(c) for c in names}), {"hot": 1.0, None: 3.0}, size=6000)
+    assert clash.count() == got.count() and {tuple(r) for r in clash.select(*names[:-1]).distinct().collect()} == {names[:-1]}
+    unnamed = spark.createDataFrame([(None, f"t{i}", "x") for i in range(2000)], "doc_id long, text string, source string")
+    drawn = mixing.mix(unnamed, size=3000).groupBy("text").count().collect()
+    assert abs(sum(r["count"] for r in drawn) - 3000) < 300 and len({r["count"] for r in drawn}) > 3  # rows without ids are drawn apart
     few = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, source string")
     assert abs(mixing.mix(few, size=4000).count() - 4000) < 400  # rates beyond HIGHEST_RATE are sums of draws
 

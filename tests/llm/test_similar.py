@@ -144,6 +144,14 @@ def test_search_blocks():
                 assert got.get(q, []) == exact
 
 
+def test_repeated_rows_leave_room(spark):
+    """Ten copies of the best row take one place; large blocks of numbers beyond double precision are searched by bounds, too."""
+    rows = [(7, [1.0, 1.0])] * 10 + [(8, [0.9, 1.0]), (9, [0.8, 1.0]), (10, [0.5, 0.5]), (0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.filter("vec_id = 0"), k=5).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 7, 512 * 256), (2, 8, 230 * 256 + 65536), (3, 9, 204 * 256 + 65536), (4, 10, 65536)]
+
+
 def test_search_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
