@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, packets, picked, prepare, written
+from cuewright.llm.common import arrow_schema, dropped, packets, partitions, picked, prepare, written
 from cuewright.llm.components import components
 
 #: 32 bands of 4 registers miss a pair of similarity 0.8 with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
@@ -201,7 +201,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
                 keep = [similar(sets[0][i], sets[1][j], similarity) for i, j in zip(*(side.indices.to_pylist() for side in sides), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], schema=out_schema)
 
-    return joined.select("a", "b", "left", "right").mapInArrow(run, schema)
+    links = written(joined.select("a", "b", "left", "right").mapInArrow(run, schema), "links", release=True)
+    dropped(held)
+    return links
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -250,33 +252,79 @@ def dealt(members: DataFrame) -> DataFrame:
     return roles.select("key", "role.i", "role.j", "role.main", "role.first", "c", "component", "registers")
 
 
-def possible(held: pa.Table, key: int, same_block: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of pairs of different components whose first shared bucket is this one and whose registers leave a link possible, and their estimates."""
+#: Rows and bytes of groups that are looked at together, and groups up to this size whose pairs are laid out in one go.
+CHUNK_ROWS, CHUNK_BYTES, SMALL_GROUP = 16_384, 32 << 20, 48
+#: Pairs whose registers are compared at a time.
+PAIRS_AT_ONCE = 1 << 16
+GROUP = ("key", "i", "j", "main")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in chunks that end with a group, and the group number of each row. A group is two blocks at most, so a chunk is bounded."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            pending.append(batch)
+            if sum(b.num_rows for b in pending) >= CHUNK_ROWS or sum(b.nbytes for b in pending) >= CHUNK_BYTES:
+                held = pa.Table.from_batches(pending)
+                groups = numbered(held)
+                last = int(np.searchsorted(groups, groups[-1]))
+                if last:
+                    yield held.slice(0, last), groups[:last]
+                    pending = held.slice(last).combine_chunks().to_batches()
+    if pending:
+        held = pa.Table.from_batches(pending)
+        yield held, numbered(held)
+
+
+def numbered(held: pa.Table) -> np.ndarray:
+    changes = np.zeros(held.num_rows, bool)
+    for name in GROUP:
+        column = held.column(name).to_numpy()
+        changes[1:] |= column[1:] != column[:-1]
+    return np.cumsum(changes)
+
+
+def labels_of(held: pa.Table) -> np.ndarray:
+    """A number for every component of a chunk."""
+    parts = np.stack([pc.struct_field(held.column("component"), name).to_numpy() for name in CLASS])
+    return np.unique(parts, axis=1, return_inverse=True)[1].reshape(-1)
+
+
+def possible(held: pa.Table, groups: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the pairs of a group that are of different components, share this bucket first and whose registers leave a link possible, and their estimates."""
     table = np.frombuffer(b"".join(held.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    keys = keys_of_bands(table)
-    groups = np.unique(held.column("label").to_pylist(), return_inverse=True)[1]
-    first = held.column("first").to_numpy()
-    lefts, rights, sims = [], [], []
-    others = np.flatnonzero(first if same_block else ~first)
-    for x in np.flatnonzero(first).tolist():
-        there = others[(groups[others] != groups[x]) & ((others > x) if same_block else True)]
-        if len(there):
-            sim = estimates(table[x], table[there])
-            near = sim >= least - SLACK
-            there, sim = there[near], sim[near]
-            shared = (keys[there] == keys[x]) & (keys[x] != 0)
-            here = keys[x][shared.argmax(axis=1)] == key
-            lefts.append(np.full(int(here.sum()), x))
-            rights.append(there[here])
-            sims.append(sim[here])
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(lefts or empty), np.concatenate(rights or empty), np.concatenate(sims or [np.empty(0)])
-
-
-def with_labels(held: pa.Table) -> pa.Table:
-    """Adds one sortable string per component."""
-    parts = pc.struct_field(held.column("component"), "hi"), pc.struct_field(held.column("component"), "lo")
-    return held.append_column("label", pc.binary_join_element_wise(*(p.cast(pa.string()) for p in parts), "/"))
+    keys, labels = keys_of_bands(table), labels_of(held)
+    first, same = held.column("first").to_numpy(), ~held.column("main").to_numpy() & (held.column("i").to_numpy() == held.column("j").to_numpy())
+    bucket = held.column("key").to_numpy()
+    ends = np.searchsorted(groups, groups, side="right")
+    small = ends - np.searchsorted(groups, groups) <= SMALL_GROUP
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(left: np.ndarray, right: np.ndarray) -> None:
+        wanted = (labels[left] != labels[right]) & (same[left] | (first[left] != first[right]))
+        left, right = left[wanted], right[wanted]
+        for at in range(0, len(left), PAIRS_AT_ONCE):
+            x, y = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+            sims = estimates(table[x], table[y])
+            near = sims >= least - SLACK
+            x, y, sims = x[near], y[near], sims[near]
+            shared = (keys[x] == keys[y]) & (keys[x] != 0)
+            here = keys[x, shared.argmax(axis=1)] == bucket[x]
+            found.append((x[here], y[here], sims[here]))
+
+    rows = np.flatnonzero(small)
+    for by in range(1, SMALL_GROUP):
+        rows = rows[rows + by < ends[rows]]
+        if not len(rows):
+            break
+        keep(rows, rows + by)
+    for x in np.flatnonzero(~small & first).tolist():
+        there = np.arange(x + 1 if same[x] else int(np.searchsorted(groups, groups[x])), ends[x])
+        keep(np.full(len(there), x), there)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
@@ -289,43 +337,45 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     schema = T.StructType.fromDDL(DEALT)
     out_schema = arrow_schema(schema)
 
-    def wanted(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = with_labels(pa.Table.from_batches(list(batches)))
-        key, i, j, main = (k.as_py() for k in keys)
-        lefts, rights, _ = possible(held, key, not main and i == j, least)
-        held = held.take(pa.array(np.unique(np.concatenate([lefts, rights])), pa.int64())).combine_chunks()
-        yield from (pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in out_schema], schema=out_schema) for b in held.to_batches())
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(rows.sparkSession), *GROUP).sortWithinPartitions(*GROUP)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, groups in whole_groups(batches):
+            lefts, rights, _ = possible(held, groups, least)
+            kept = held.take(pa.array(np.unique(np.concatenate([lefts, rights])), pa.int64())).combine_chunks()
+            yield from (pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in out_schema], schema=out_schema) for b in kept.to_batches())
 
-    open_ = written(blocks.groupBy("key", "i", "j", "main").applyInArrow(wanted, schema), "open", release=True)
+    open_ = written(grouped(blocks).mapInArrow(wanted, schema), "open", release=True)
     texts = written(texts_of_classes(open_.select("c").distinct(), classes, docs, id_col, text_col), "texts")
     pair = T.StructType([T.StructField("a", schema["c"].dataType), T.StructField("b", schema["c"].dataType)])
     pair_schema = arrow_schema(pair)
 
-    def decided(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = with_labels(pa.Table.from_batches(list(batches)))
-        key, i, j, main = (k.as_py() for k in keys)
-        lefts, rights, sims = possible(held, key, not main and i == j, least)
-        sets = shingle_sets(held.column("text").combine_chunks(), shingle)
-        labels = held.column("label").to_pylist()
-        root = {x: x for x in labels}
-
-        def find(x: str) -> str:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept: list[tuple[int, int]] = []
-        for at in np.argsort(-sims, kind="stable").tolist():
-            x, y = int(lefts[at]), int(rights[at])
-            a, b = find(labels[x]), find(labels[y])
-            if a != b and similar(sets[x], sets[y], similarity):
-                root[a] = b
-                kept.append((x, y))
-        classes_ = held.column("c").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([classes_[p[k]] for p in kept], pair_schema.field(k).type) for k in (0, 1)], schema=pair_schema)
-
-    return open_.join(texts, "c").groupBy("key", "i", "j", "main").applyInArrow(decided, pair)
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, groups in whole_groups(batches):
+            lefts, rights, sims = possible(held, groups, least)
+            sets = shingle_sets(held.column("text").combine_chunks(), shingle)
+            labels = labels_of(held).tolist()
+            root: dict[int, int] = {}  # components that links of this chunk have joined
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:  # noqa: B023
+                    x = up
+                return x
+
+            kept: list[tuple[int, int]] = []
+            for at in np.argsort(-sims, kind="stable").tolist():
+                x, y = int(lefts[at]), int(rights[at])
+                a, b = find(labels[x]), find(labels[y])
+                if a != b and similar(sets[x], sets[y], similarity):
+                    root[a] = b
+                    kept.append((x, y))
+            classes_ = held.column("c")
+            yield pa.RecordBatch.from_arrays([pa.array([classes_[p[k]].as_py() for p in kept], pair_schema.field(k).type) for k in (0, 1)], schema=pair_schema)
+
+    links = written(grouped(open_.join(texts, "c")).mapInArrow(decided, pair), "links", release=True)
+    dropped(blocks, open_, texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,14 +417,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     nearest = Window.partitionBy("c").orderBy(F.col("shared").desc(), F.col("company").desc(), "pivot")  # at most one row per band
     stars = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= HUBS).select(F.col("pivot").alias("a"), F.col("c").alias("b"))
     candidates = written(estimated(stars, classes, least), "candidates", release=True)
-    links = written(verified(candidates, classes, docs, shingle, similarity, id_col, text_col), "links", release=True)
+    links = verified(candidates, classes, docs, shingle, similarity, id_col, text_col)
+    dropped(candidates)
     reached = written(components(links), "components")
 
     labelled = written(members.join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component")), "labelled")
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     # All pairs of different components in each bucket that is still split are compared now.
     rest = labelled.join(split, "key").join(classes.select(node(*CLASS).alias("c"), "registers", "n_shingles"), "c")
-    more = written(across(rest, classes, docs, least, shingle, similarity, id_col, text_col), "links", release=True)
+    more = across(rest, classes, docs, least, shingle, similarity, id_col, text_col)
+    dropped(labelled, members)
     # These links join whole components, so only their labels are joined, not the classes.
     ends = more.join(reached.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
     joined = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))

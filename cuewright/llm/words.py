@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import string
 from collections.abc import Callable
 from functools import cache
 
@@ -54,9 +56,16 @@ def library(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others in order from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 @cache
 def letters_only(vocabulary: str) -> Callable[[str], list[int]] | None:
-    """For a lower-casing byte-level BPE: ids of a word of the letters a to z, from the model of the tokenizer alone.
+    """For a lower-casing byte-level BPE: ids of a word of small LETTERS, from the model of the tokenizer alone.
 
     Such a word passes the normaliser and the splitter unchanged, so they need not run. None for other tokenizers.
     """
@@ -71,12 +80,14 @@ def letters_only(vocabulary: str) -> Callable[[str], list[int]] | None:
         return None
     from tokenizers import Tokenizer
 
-    tokenize = Tokenizer.from_file(vocabulary).model.tokenize
-    return lambda word: [t.id for t in tokenize(word)]
+    tokenize, characters = Tokenizer.from_file(vocabulary).model.tokenize, byte_characters()
+    return lambda word: [t.id for t in tokenize(word if word.isascii() else "".join(map(characters.__getitem__, word.encode())))]
 
 
-#: Marks that may stand behind a word; a run of them is a piece of its own.
-MARKS = ".,;:!?"
+#: Marks that may stand behind a word: a run of them is a piece of its own.
+MARKS = string.punctuation
+#: Words of letters that lower-casing and composing leave as they are, or change letter by letter: A to Z and U+00C0 to U+00FF.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class WordMemo(dict):
@@ -124,12 +135,12 @@ class WordMemo(dict):
         for i in missing:
             word = words[i]
             letters = word.rstrip(MARKS) if self.plain is not None else ""
-            parts.append((letters.lower(), word[len(letters) :]) if letters.isascii() and letters.isalpha() else (word, ""))
+            parts.append((letters.lower(), word[len(letters) :]) if letters and LETTERS(letters) else (word, ""))
         wanted = {x for part in parts for x in part if x}
         known = {x: value for x in wanted if (value := self.get(x)) is not None}
         new = list(wanted.difference(known))
         if self.plain is not None and not self.in_batches:
-            letters = [x for x in new if x.isascii() and x.isalpha()]
+            letters = [x for x in new if LETTERS(x)]
             known |= self.remember(letters, [self.keep(self.plain(x)) for x in letters])
             new = [x for x in new if x not in known]
         known |= self.remember(new, self.encoded(new))
