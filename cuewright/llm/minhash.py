@@ -42,6 +42,8 @@ HUBS = 2
 #: Classes of a bucket, and shingles of all their sets, that make a block; a task compares two blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 PACKET_BYTES = 8 << 20
+#: A to Z as small letters, all other bytes as they are.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,11 +59,12 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     import xxhash
 
     # These six characters separate words: space, and tab to carriage return.
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     coded = pc.list_flatten(lists).dictionary_encode()
     places = coded.indices.to_numpy().astype(np.int64)
-    of_word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    blank = next((i for i, w in enumerate(coded.dictionary.to_pylist()) if w == ""), -1)  # white space at the ends of a text
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    of_word = np.fromiter((xxhash.xxh3_64_intdigest(w.translate(LOWER)) for w in words), np.uint64, len(words))
+    blank = next((i for i, w in enumerate(words) if not w), -1)  # white space at the ends of a text
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(counts)
     if blank >= 0:

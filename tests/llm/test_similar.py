@@ -94,6 +94,23 @@ def test_shingle_sets():
             assert len(hashes) == len(shingles_of_bytes(text, size)) and (hashes == minhash.shingle_set(text, size)).all() and (np.diff(hashes.astype(float)) >= 0).all()
 
 
+def test_slices_of_batches():
+    """What reads texts from a slice of a batch gives the same as from a copy."""
+    from cuewright.llm import byte_bpe, secrets, words
+
+    draw = random.Random(3)
+    texts = pa.array(["".join(draw.choice("aB éß\n日x") for _ in range(draw.randint(0, 60))) for _ in range(400)] + [None])
+    encoder = byte_bpe.worker_encoder(catalog.BYTE_VOCABULARY, catalog.public_tokenizers.PATTERN)[0]
+    for start, n in ((0, 100), (100, 150), (399, 2)):
+        cut, copy = texts.slice(start, n), pa.array(texts.slice(start, n).to_pylist(), pa.string())
+        assert all((a == b).all() for a, b in zip(minhash.shingle_sets(cut, 2), minhash.shingle_sets(copy, 2), strict=True))
+        for a, b in zip(byte_bpe.encoded(cut, encoder), byte_bpe.encoded(copy, encoder), strict=True):
+            assert a.tolist() == b.tolist()
+        filled = pa.array([x or "" for x in copy.to_pylist()])
+        assert [x.tolist() if hasattr(x, "tolist") else x for x in words.words_of(cut.fill_null(""))] == [x.tolist() if hasattr(x, "tolist") else x for x in words.words_of(filled)]
+        assert secrets.tokens_of(cut.fill_null("")).start.tolist() == secrets.tokens_of(filled).start.tolist()
+
+
 def shingles_of_bytes(text, size):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
