@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Length of a merged cue in characters and the gap that may be bridged, in seconds.
 LONGEST_CUE, WIDEST_GAP = 84, 1.0
@@ -82,22 +85,21 @@ def merge_split_words(tokens: Iterable[Entry]) -> list[Entry]:
 
 
 def overlapping_words(left: str, right: str, most: int = 8) -> int:
-    """Words at the end of one line that open the next: two or more, or one of six letters or more."""
-    a, b = left.split(), right.split()
-    for n in range(min(most, len(a), len(b)), 0, -1):
-        if [w.lower() for w in a[-n:]] == [w.lower() for w in b[:n]] and (n >= 2 or len(b[0]) >= 6):
+    """Words at the end of one line that open the next, marks at their edges and case aside: two or more, or one of six letters or more."""
+    a, b = ([x for w in line.split() if (x := re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()))] for line in (left, right))
+    for n in range(min(most, len(a), len(b)), 1, -1):
+        if a[-n:] == b[:n]:
             return n
-    return 0
+    return 1 if a and b and a[-1] == b[0] and len(a[-1]) >= 6 else 0
 
 
 def join_lines(lines: Iterable[str]) -> str:
     """Lines as one text: a hyphen at the end joins a word, repeated words are dropped."""
     out = ""
-    for line in lines:
-        line = " ".join(line.split())
+    for line in (" ".join(x.split()) for x in lines):
         if not line:
             continue
-        if re.search(r"\w-$", out) and line[:1].islower():
+        if out.endswith("-"):
             out = out[:-1] + line
         else:
             out = " ".join(x for x in (out, " ".join(line.split()[overlapping_words(out, line) :])) if x)
@@ -113,36 +115,56 @@ class Clip:
 
 
 def schedule(clips: list[Clip], total: float) -> list[Clip]:
-    """A clip that is too long for its slot takes free time around it: the gap to each neighbour is shared by their needs;
-    what still does not fit is spoken faster."""
-    out = [[c.start, c.end] for c in clips]
-    need = lambda i: max(0.0, clips[i].duration - (out[i][1] - out[i][0]))
-    for i in range(len(clips)):
-        gap = (out[i + 1][0] if i + 1 < len(clips) else total) - out[i][1]
-        mine, theirs = need(i), need(i + 1) if i + 1 < len(clips) else 0.0
-        if gap <= 0 or mine + theirs == 0:
-            continue
-        take = min(mine, gap * mine / (mine + theirs))
-        out[i][1] += take
-        if theirs:
-            out[i + 1][0] -= min(theirs, gap - take)
-    return [replace(c, start=a, end=min(b, a + c.duration), speed=max(c.duration / (b - a), 1.0) if b > a else 1.0) for c, (a, b) in zip(clips, out, strict=True)]
+    """A clip that is too long for its slot claims free time around it: first the time before the first clip, then each gap, shared by what
+    its two clips still need, from left to right, then the time behind the last; what still does not fit is spoken faster.
+
+    A clip without any time at all is an error. The end is where the speech ends.
+    """
+    limits = [min(c.end, total) - c.start for c in clips]
+    need = [max(c.duration - limit, 0.0) for c, limit in zip(clips, limits, strict=True)]
+    before, after = [0.0] * len(clips), [0.0] * len(clips)
+
+    def claim(side: list[float], i: int, room: float) -> None:
+        side[i] = min(room, need[i])
+        need[i] -= side[i]
+
+    if clips:
+        claim(before, 0, max(clips[0].start, 0.0))
+        for i in range(len(clips) - 1):
+            room, wanted = max(clips[i + 1].start - clips[i].end, 0.0), need[i] + need[i + 1]
+            if room > 0 and wanted > 0:
+                shared = min(room, wanted)
+                mine = shared * need[i] / wanted
+                claim(after, i, mine)
+                claim(before, i + 1, shared - mine)
+        claim(after, len(clips) - 1, max(total - clips[-1].end, 0.0))
+    out = []
+    for c, limit, early, late in zip(clips, limits, before, after, strict=True):
+        room = limit + early + late
+        if room <= 0:
+            raise ValueError("a clip has no time")
+        speed = max(c.duration / room, 1.0) if c.duration > 0 else 1.0
+        out.append(replace(c, start=c.start - early, end=c.start - early + c.duration / speed, speed=speed))
+    return out
 
 
 def reference_fill(lengths: list[float], least: float = REFERENCE_LEAST, most: float = REFERENCE_MOST) -> list[int]:
-    """Places of the pieces that fit one after another into `most` seconds; the first that are needed to reach `least` at any rate."""
+    """Places of the pieces that fit one after another into `most` seconds, in the order in which they are taken; while they do not reach
+    `least`, the first piece left that still fits."""
     chosen, held = [], 0.0
     for i, n in enumerate(lengths):
+        if held >= most:
+            break
         if held + n <= most:
             chosen.append(i)
             held += n
-    for i in range(len(lengths)):
-        if held >= least:
+    while held < least:
+        more = next((i for i, n in enumerate(lengths) if i not in chosen and n <= most - held), None)
+        if more is None:
             break
-        if i not in chosen:
-            chosen.append(i)
-            held += lengths[i]
-    return sorted(chosen)
+        chosen.append(more)
+        held += lengths[more]
+    return chosen
 
 
 def pack(words: list[str], limit: int) -> list[str]:
@@ -169,10 +191,61 @@ FOLDED = "doc_id string, cue_idx long, start_s double, finish_s double, text str
 
 def per_document(cues: DataFrame, fold: Callable[[list[Entry]], list[Entry]]) -> DataFrame:
     """Run a fold over the cues of each document in order. A document is one recording or book; documents spread over the cluster."""
+    schema = T.StructType.fromDDL(FOLDED)
+    names = ("cue_idx", "start_s", "finish_s", "text", "speaker_id")
+    types = (pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string())
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)).sort_by("cue_idx")
+        columns = [held.column(c).to_pylist() for c in names[1:]]
+        done = fold([Entry(a, b, text or "", speaker) for a, b, text, speaker in zip(*columns, strict=True)])
+        values = [range(len(done)), [e.start for e in done], [e.finish for e in done], [e.text for e in done], [e.speaker for e in done]]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(done), pa.string()), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=schema.names)
+
+    return cues.select("doc_id", *(c if c not in ("start_s", "finish_s") else F.col(c).cast("double").alias(c) for c in names)).groupBy("doc_id").applyInArrow(run, schema)
+
+
+SCHEDULED = "doc_id string, cue_idx long, start_s double, finish_s double, speed double"
+
+
+def scheduled(clips: DataFrame, total: str = "total_s") -> DataFrame:
+    """W27 over a table: clips (doc_id, cue_idx, start_s, finish_s, duration_s) of each recording, whose length stands in `total`."""
+    schema = T.StructType.fromDDL(SCHEDULED)
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)).sort_by("cue_idx")
+        rows = [Clip(*x) for x in zip(*(held.column(c).to_pylist() for c in ("start_s", "finish_s", "duration_s")), strict=True)]
+        done = schedule(rows, held.column(total)[0].as_py())
+        values = [[key[0].as_py()] * len(done), held.column("cue_idx").to_pylist(), [c.start for c in done], [c.end for c in done], [c.speed for c in done]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=schema.names)
+
+    return clips.select("doc_id", "cue_idx", *(F.col(c).cast("double").alias(c) for c in ("start_s", "finish_s", "duration_s", total))).groupBy("doc_id").applyInArrow(run, schema)
+
+
+def columns_of(*functions: tuple[Callable, str]) -> list[Callable[[Column], Column]]:
+    """Plain functions of one array or text as Arrow functions of a column; a null gives a null."""
+
+    def made(function: Callable, kind: str) -> Callable[[Column], Column]:
+        @F.arrow_udf(kind)
+        def apply(values: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else function(v) for v in values.to_pylist()], out)
+
+        out = to_arrow_type(T._parse_datatype_string(kind) if not isinstance(kind, T.DataType) else kind)
+        return apply
+
+    return [made(f, k) for f, k in functions]
+
+
+def joined_lines(lines: Column) -> Column:
+    """W24 as an expression over an array of lines."""
+    return columns_of((join_lines, "string"))[0](lines)
+
+
+def chosen_pieces(lengths: Column) -> Column:
+    """W28 as an expression over an array of seconds."""
+    return columns_of((reference_fill, "array<int>"))[0](lengths)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("cue_idx")
-        entries = [Entry(float(r.start_s), float(r.finish_s), r.text or "", None if pd.isna(r.speaker_id) else r.speaker_id) for r in rows.itertuples()]
-        return pd.DataFrame([(key[0], i, e.start, e.finish, e.text, e.speaker) for i, e in enumerate(fold(entries))], columns=["doc_id", "cue_idx", "start_s", "finish_s", "text", "speaker_id"])
 
-    return cues.select("doc_id", "cue_idx", "start_s", "finish_s", "text", "speaker_id").groupBy("doc_id").applyInPandas(run, FOLDED)
+def packed(limit: int) -> Callable[[Column], Column]:
+    """F17 as an expression over a text."""
+    return columns_of((lambda text: pack(text.split(), limit), "array<string>"))[0]
