@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import records, rules, selections, sequences, texts, units
+from cuewright.plans import folded, records, rules, selections, sequences, texts, units
 
 FLAGSHIP = "quality_rank"
-MODULES = (records, rules, selections, sequences, texts, units)
+MODULES = (folded, records, rules, selections, sequences, texts, units)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -42,9 +42,11 @@ def test_maps_and_bilingual(spark):
 
 
 def test_font_roles(spark):
-    rows = [("d", 24.0)] + [("d", 18.0)] * 2 + [("d", 12.0)] * 4
-    got = {r.font_size: (r.role, r.level) for r in documents.font_roles(spark.createDataFrame(rows, "doc_id string, font_size double")).collect()}
-    assert got == {24.0: ("title", None), 18.0: ("heading", 1), 12.0: ("body", None)}
+    rows = [("d", 0, 24.0, False, "left", "Big")] + [("d", i, 18.0, False, "left", "Mid") for i in (1, 2, 3)] + [("d", i, 12.0, False, "left", "text") for i in range(4, 20)] + [("d", 20, 12.0, True, "center", "Bold"), ("d", 21, 8.0, False, "left", "note"), ("d", 22, 0.0, False, "left", "none")]
+    df = spark.createDataFrame(rows, "doc_id string, line_idx int, font_size double, bold boolean, alignment string, text string").withColumn("italic", F.lit(False))
+    got = {(r["size"], r.bold): (r.role, r.level) for r in documents.font_roles(df).collect()}
+    assert got == {(24.0, False): ("title", None), (18.0, False): ("chapter", 1), (12.0, True): ("heading", 2), (12.0, False): ("body", None), (8.0, False): ("footnote", None)}
+    assert documents.font_roles(df.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("x,x_max,expected", [(200, 400, "center"), (80, 520, "left"), (120, 480, "left"), (400, 560, "right")])
@@ -90,8 +92,9 @@ def test_cookies_and_keys(spark):
 
 def test_media_tables(spark):
     kinds = [(n, m, one(spark, media.document_kind(F.lit(n).cast("string"), F.lit(m).cast("string")))) for n, m in (("a.PDF", None), ("a.bin", "text/html"), (None, "text/plain"), ("a.bin", "text/plain"))]
-    assert [k for *_, k in kinds] == ["pdf", "html", "text", None]
+    assert [k for *_, k in kinds] == ["pdf", None, "txt", None]
     assert one(spark, media.tempo_chain(F.lit(5.0))) == [2.0, 2.0, 1.25] and one(spark, media.tempo_chain(F.lit(1.5))) == [1.5]
+    assert one(spark, media.tempo_chain(F.lit(1.0))) == [] and one(spark, media.tempo_filter(F.lit(4.0))) == "atempo=2.000000,atempo=2.000000"
     assert one(spark, media.fragments_length(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(2.5))))) == 3.0
 
 
@@ -108,6 +111,9 @@ def test_transcripts(spark):
     text = '{"language":"en","segments":[{"start":0.5,"end":1.5,"text":"hi","words":[{"word":"hi","start":0.5,"end":1.5,"prob":0.9}]}]}'
     row = subtitles.transcript_segments(spark.createDataFrame([("a", text)], "doc_id string, json string")).first()
     assert (row.start_s, row.finish_s, row.text, row.confidences) == (0.5, 1.5, "hi", [0.9])
+    text = '{"segments":[{"start":0,"end":1,"text":"a","words":[{"word":"a","confidence":null,"p":0.5},{"word":"b","p":0.25},{"word":"c"}]}]}'
+    row = subtitles.transcript_segments(spark.createDataFrame([("a", text)], "doc_id string, json string")).first()
+    assert row.confidences == [None, 0.25, None]  # a name that is present wins, even with a null
     millis = '{"segments":[{"t0_ms":500,"t1_ms":1500,"text":"hi","words":[]}]}'
     row = subtitles.transcript_segments(spark.createDataFrame([("a", millis)], "doc_id string, json string"), millis=True).first()
     assert (row.start_s, row.finish_s) == (0.5, 1.5)

@@ -14,24 +14,36 @@ def values(df, *order):
 
 
 def test_ranges_merge():
-    assert time.time_ranges("1:30-2:00.5, 10-20, 20-30, 1:45-2:10") == [(10, 30), (90, 130)]
-    assert time.time_ranges("10s-20s, 1m-2m, :30-45") == [(10, 20), (30, 45), (60, 120)]
-    for bad in ("10", "20-10", "1:60-2:00"):
+    assert time.time_ranges("7-9.5,4-7,3:00-3:20.25,3:10-3:15") == [(4, 9.5), (180, 200.25)]
+    assert time.time_ranges("2m-150s, 5s-0.5m, 1h-1:00:01") == [(5, 30), (120, 150), (3600, 3601)]
+    for bad in ("33", "9-3", "4:61-5:00", "1-2-3"):
         with pytest.raises(ValueError):
             time.time_ranges(bad)
 
 
-@pytest.mark.parametrize("text,seconds", [("90", 90), ("1:", 60), ("1::5", 3605), ("1m30s", 90), (":30", 30), ("1:30", 90), ("1h", 3600), ("2:00.5", 120.5)])
+@pytest.mark.parametrize("text,seconds", [("77", 77), ("4:", 240), ("2::7", 7207), ("3m7s", 187), (":07", 7), ("2:41", 161), ("2H", 7200), ("3:07.25", 187.25), ("1.25h", 4500), ("7s2m", 127), ("75:10", 4510), (" .5 ", 0.5)])
 def test_duration(text, seconds):
     assert time.duration(text) == seconds
 
 
-@pytest.mark.parametrize("text", [":", "::", "1:60", "1:60:00", "1h30", ""])
+@pytest.mark.parametrize("text", [":", "::", "2:61", "3:75:00", "2h15", "", "1:2:3:4", "7.1234", "1:-5", "x"])
 def test_bad_duration(text):
     with pytest.raises(ValueError):
         time.duration(text)
 
 
+def test_durations_as_expressions(spark):
+    for text in ("77", "4:", "2::7", "3m7s", ":07", "1.25H", "7s2m", ":", "2:61", "3:75:00", "2h15", "", "7.1234", "1:2:3:4"):
+        try:
+            expected = time.duration(text)
+        except ValueError:
+            expected = None
+        assert spark.range(1).select(time.duration_column(F.lit(text))).first()[0] == expected
+    assert time.section("10", None, "5") == (10, 15, 5) and time.section(None, "1:00") == (0, 60, None)
+    with pytest.raises(ValueError):
+        time.section("1", "2", "3")
+
+
 def test_interval_rows_merge_when_they_touch(spark):
     df = spark.createDataFrame([("a", 10, 20), ("a", 20, 30), ("a", 40, 50), ("b", 1, 2), ("b", 0, 9)], "g string, start long, finish long")
     assert values(windows.merged_intervals(df, ["g"]), "g", "start") == [("a", 10, 30, 2), ("a", 40, 50, 1), ("b", 0, 9, 2)]
@@ -103,6 +115,18 @@ def test_schedule():
     assert [c.start for c in got] == [0, 2] and got[0].end == 2 and got[0].speed == pytest.approx(1.2) and got[1].speed == 1
     got = folds.schedule([folds.Clip(0, 2, 1), folds.Clip(3, 4, 2)], 5)
     assert got[0].speed == 1 and got[0].end == 1
+    got = folds.schedule([folds.Clip(6, 8, 5)], 9)  # the time before the first clip comes first
+    assert (got[0].start, got[0].end, got[0].speed) == (3, 8, 1)
+    got = folds.schedule([folds.Clip(0, 2, 4), folds.Clip(4, 6, 8)], 7)  # needs 2 and 6 share a gap of 2, then one second behind
+    assert [c.start for c in got] == [0, 2.5] and [round(c.speed, 6) for c in got] == [1.6, round(8 / 4.5, 6)]
+    assert folds.schedule([], 5) == []
+    with pytest.raises(ValueError):
+        folds.schedule([folds.Clip(0, 0, 1)], 0)
+
+
+def test_reference_fill():
+    assert folds.reference_fill([3.0, 7.0]) == [0] and folds.reference_fill([5.0, 2.0, 3.0, 1.0]) == [0, 1, 3] and folds.reference_fill([9.0]) == [] and folds.reference_fill([]) == []
+    assert folds.reference_fill([1.0, 9.0, 2.0, 8.0], least=4.0, most=8.0) == [0, 2]
 
 
 def test_line_overlap():
