@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm import byte_bpe, language_id, minhash, mixing, secrets
-from cuewright.llm.common import written
+from cuewright.llm.common import dropped, written
 from cuewright.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,12 +56,18 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: all sources weigh the same; a document is repeated as its draw says, and rows are shuffled."""
+    """Operator 8: all sources weigh the same (null is one); a document is repeated as its draw says, and rows are shuffled.
+
+    Null and empty texts are documents like others; rows without an id draw by their text; repeated rows draw alike, each for itself.
+    """
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: ids of every text, with digests of the ids and of the bytes they decode to."""
+    """Operator 1: ids of every text, with digests of the ids and of the bytes they decode to.
+
+    One row per row: a null or empty text has no ids, null ids and repeated rows are kept, a text of any length is encoded whole.
+    """
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -72,6 +78,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

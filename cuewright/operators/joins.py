@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A dimension table is broadcast only up to this many rows; beyond, the join is shuffled.
-BROADCAST_ROWS = 100_000
+#: A dimension table is broadcast only if the planner puts it at no more than this many bytes; beyond, adaptive execution decides.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast df if it is small, by a count that stops at the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast df if the planner's estimate, which errs upwards, is below the bound. No job runs for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def bucketed(start: Column, finish: Column, width: float) -> Column:

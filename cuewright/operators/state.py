@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 
 def rate_limited(df: DataFrame, group: Sequence[str], order: Sequence[str], t: str, interval: float | int) -> DataFrame:
-    """Q1: when each request is sent if sends are at least `interval` apart: i * d + max over j <= i of (t_j - j * d)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    i = (F.row_number().over(w) - 1).cast("long")
-    shifted = df.withColumn("_i", i).withColumn("_lead", F.col(t) - F.col("_i") * F.lit(interval))
-    return shifted.withColumn("send_at", F.max("_lead").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * F.lit(interval)).drop("_i", "_lead")
+    """Q1: when each request is sent if sends are at least `interval` apart: i * d + max over j <= i of (t_j - j * d).
+
+    Places and maxima are carried from range to range, so a group with most of the requests is no single task.
+    """
+    from cuewright.operators.windows import ranged, with_totals_before
+
+    spread = with_totals_before(ranged(df, group, order), _before=F.count("*"))
+    inside = Window.partitionBy("_group", "_part").orderBy(*order)
+    placed = spread.withColumn("_i", (F.col("_before") + F.row_number().over(inside) - 1).cast("long")).withColumn("_lead", F.col(t) - F.col("_i") * F.lit(interval))
+    each = placed.groupBy("_group", "_part").agg(F.max("_lead").alias("_most"))
+    earlier = each.select("_group", "_part", F.max("_most").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_most"))  # one row per range
+    most = F.greatest("_most", F.max("_lead").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.join(earlier, ["_group", "_part"]).withColumn("send_at", most + F.col("_i") * F.lit(interval)).drop("_i", "_lead", "_most", "_before", "_part", "_group")
 
 
 def one_slot(df: DataFrame, group: Sequence[str], order: Sequence[str], arrival: str, service: str) -> DataFrame:
@@ -34,10 +42,11 @@ def cancel_outcome(state: Column, owner: Column, actor: Column, admin: Column) -
     return F.when(state.isNull(), "missing").when(~(admin | (owner == actor)), "forbidden").when(state == "finished", "finished").when(state == "cancelled", "already cancelled").otherwise("cancelled")
 
 
-def until_failure(df: DataFrame, ordinal: str, failed: Column) -> DataFrame:
-    """Q9: results in input order up to the first failed position."""
-    first = F.broadcast(df.filter(failed).agg(F.min(ordinal).alias("_first")))  # one row
-    return df.join(first).filter(F.col("_first").isNull() | (F.col(ordinal) < F.col("_first"))).drop("_first")
+def until_failure(df: DataFrame, ordinal: str, failed: Column, group: Sequence[str] = ()) -> DataFrame:
+    """Q9: results in input order up to the first failed position, of all rows or of each group."""
+    first = df.groupBy(*group).agg(F.min(F.when(failed, F.col(ordinal))).alias("_first"))
+    joined = df.join(first, list(group)) if group else df.crossJoin(F.broadcast(first))  # without groups: one row
+    return joined.filter(F.col("_first").isNull() | (F.col(ordinal) < F.col("_first"))).drop("_first")
 
 
 def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.session import settled
+
 MARK = "⟦{}⟧"
 MARKED = re.compile(r"⟦(\d+)⟧")
 
@@ -62,7 +64,7 @@ def resolved(links: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(min(rounds, max(1, size.bit_length() + 1))):
         ahead = current.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
         moved = current.join(ahead, "target", "left").select("node", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open"))
-        moved = moved.checkpoint()
+        moved = settled(moved)
         current = moved.drop("open")
         if moved.filter("open").limit(1).count() == 0:
             break

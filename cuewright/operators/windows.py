@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.session import settled
+
 
 def _over(group: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*group).orderBy(*order)
@@ -28,15 +30,37 @@ def line_spacing(lines: DataFrame, group: Sequence[str], order: Sequence[str], t
     return lines.withColumns({"top_spacing": F.col(top) - F.lag(bottom).over(w), "bottom_spacing": F.lead(top).over(w) - F.col(bottom)})
 
 
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt by ranges of group and order, with the number of their range and a text of their group that also tells nulls apart.
+
+    A group with a third of all rows lies in many ranges, so what runs along it can be put together from the ranges.
+    """
+    keys = [*group, *order]
+    return settled(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_group", F.to_json(F.struct(*group)) if group else F.lit("")))
+
+
+def _within(order: Sequence[str]):
+    return Window.partitionBy("_group", "_part").orderBy(*order)
+
+
+def with_totals_before(spread: DataFrame, **totals: Column) -> DataFrame:
+    """Rows of `ranged` with sums over the earlier ranges of their group, from one row per group and range."""
+    each = spread.groupBy("_group", "_part").agg(*(c.alias(name) for name, c in totals.items()))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row per range
+    return spread.join(each.select("_group", "_part", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in totals)), ["_group", "_part"])
+
+
 def offsets(df: DataFrame, group: Sequence[str], order: Sequence[str], count: str, out: str = "offset") -> DataFrame:
-    """Exclusive prefix sum of counts or lengths."""
-    return df.withColumn(out, F.coalesce(F.sum(count).over(_before(group, order)), F.lit(0)))
+    """Exclusive prefix sum of counts or lengths. Ties of the order must not matter or not occur. Null counts add nothing."""
+    spread = with_totals_before(ranged(df, group, order), _before=F.coalesce(F.sum(count), F.lit(0)))
+    own = F.coalesce(F.sum(count).over(_within(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spread.withColumn(out, F.col("_before") + own).drop("_part", "_group", "_before")
 
 
 def paginate(df: DataFrame, group: Sequence[str], order: Sequence[str], words: str, words_per_page: int = 300) -> DataFrame:
     """The page of a line follows from the words of the lines before it."""
-    before = F.coalesce(F.sum(words).over(_before(group, order)), F.lit(0))
-    return df.withColumn("page", (F.floor(before / words_per_page) + 1).cast("long"))
+    before = offsets(df, group, order, words, "_words_before")
+    return before.withColumn("page", (F.floor(F.col("_words_before") / words_per_page) + 1).cast("long")).drop("_words_before")
 
 
 def merged_intervals(df: DataFrame, group: Sequence[str], start: str = "start", finish: str = "finish") -> DataFrame:
@@ -126,15 +150,12 @@ def cuts(total: int, step: int = 60) -> Column:
 
 def batches(df: DataFrame, order: Sequence[str], size: int, group: Sequence[str] = ()) -> DataFrame:
     """Number of the slice of `size` rows that a row belongs to, from 0."""
-    return df.withColumn("batch", F.floor((F.row_number().over(_over(group, order)) - 1) / size).cast("long"))
+    spread = with_totals_before(ranged(df, group, order), _before=F.count("*"))
+    place = F.col("_before") + F.row_number().over(_within(order)) - 1
+    return spread.withColumn("batch", F.floor(place / size).cast("long")).drop("_part", "_group", "_before")
 
 
 def global_ordinal(df: DataFrame, order: Sequence[str], out: str = "ordinal") -> DataFrame:
-    """Position in the global order, from 1, without one task that holds all rows: ranges, their sizes, then an offset.
-
-    The ranged rows are persisted, since the sizes and the result must see the same ranges.
-    """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist()
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return spread.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
+    """Position in the global order, from 1, without one task that holds all rows: ranges, their sizes, then an offset."""
+    spread = with_totals_before(ranged(df, (), order), _before=F.count("*"))
+    return spread.withColumn(out, F.col("_before") + F.row_number().over(_within(order))).drop("_part", "_group", "_before")

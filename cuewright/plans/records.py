@@ -133,7 +133,7 @@ def uniq_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that a source lacks between its first and its last document."""
-    ids = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ids = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     docs = table(spark, sf_dir, "documents").select("source", "doc_id")
     every = ids.select("source", F.explode(F.sequence("low", "high")).alias("doc_id"))
     return every.join(docs, ["source", "doc_id"], "left_anti")
@@ -164,6 +164,13 @@ def cosine_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("vec_id").agg(F.sum(F.col("x") * F.col("s")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("norm2"), F.sum(F.col("s") * F.col("s")).alias("centroid_norm2"))
 
 
+def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of every vector, in thousandths, to the mean of its label, in millionths (so that the order of adding does not show)."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double")).alias("v"))
+    mean = aggregates.centroids(vectors, "label", "v")
+    return vectors.join(joins.small(mean), "label").select("vec_id", F.floor(aggregates.cosine(F.col("v"), F.col("centroid")) * 1_000_000 + 0.5).cast("long").alias("millionths"))
+
+
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: conversations against a copy without every fifth turn and with assistants renamed."""
     before = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
@@ -272,6 +279,10 @@ SELECT page_id, CASE WHEN regexp_matches(whole, '(?i)^https?://[^/?#\s]+') THEN
 WITH v AS (SELECT vec_id, label, i, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 s AS (SELECT label, i, sum(x) AS s FROM v GROUP BY label, i)
 SELECT vec_id, CAST(sum(x * s) AS BIGINT) AS dot, CAST(sum(x * x) AS BIGINT) AS norm2, CAST(sum(s * s) AS BIGINT) AS centroid_norm2 FROM v JOIN s USING (label, i) GROUP BY vec_id""",
+    "centroid_cosine": """
+WITH v AS (SELECT vec_id, label, i, floor(CAST(embedding[i] AS DOUBLE) * 1000) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY label, i)
+SELECT vec_id, CAST(floor(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) * 1000000 + 0.5) AS BIGINT) AS millionths FROM v JOIN m USING (label, i) GROUP BY vec_id""",
     "diff_summary": """
 WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN 'model' ELSE role END AS new FROM conversations WHERE (conv_id + turn) % 5 <> 0),
 p AS (SELECT turn, CASE WHEN new IS NULL THEN 'removed' WHEN role IS NULL THEN 'added' WHEN role <> new THEN 'text_changed' ELSE 'same' END AS kind FROM conversations FULL JOIN a USING (conv_id, turn))

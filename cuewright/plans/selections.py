@@ -86,9 +86,10 @@ def audio_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source documents of a language, of either of two kinds, as one list."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("a"), F.collect_list(F.when(F.col("n_chars") > 2000, F.col("doc_id"))).alias("b"))
-    return docs.select("source", F.array_join(F.transform(F.array_sort(F.array_union("a", "b")), lambda x: x.cast("string")), ",").alias("ids"))
+    """Two lists of pages as one, each page once, in order."""
+    n, k = F.col("p_size"), (F.col("p_partkey") % 40).cast("int")
+    union = F.array_union(F.sequence(n, n + 3), F.sequence(k, k + 5))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(union), ",").alias("pages"))
 
 
 SQL = {
@@ -114,5 +115,5 @@ SELECT p_partkey, format, CASE WHEN format IN ('pdf', 'epub', 'yaml', 'txt') THE
   CASE k WHEN 1 THEN 'video' WHEN 2 THEN 'photo' WHEN 4 THEN 'audio' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'photo' ELSE 'document' END END AS sent_as, k IN (1, 2) OR k IN (0, 3) AND p_partkey % 2 = 0 AS album,
   CAST(CASE WHEN speed > 8 THEN 4 WHEN speed > 4 THEN 3 WHEN speed > 2 THEN 2 WHEN speed = 1 THEN 0 ELSE 1 END AS INTEGER) AS tempo_steps, speed AS tempo FROM f""",
     "audio_signature": "SELECT l_orderkey, count(DISTINCT l_returnflag || '|' || l_linestatus) = 1 AS same FROM lineitem GROUP BY l_orderkey",
-    "page_union": "SELECT source, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (lang = 'en' OR n_chars > 2000), '') AS ids FROM documents GROUP BY source",
+    "page_union": "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(range(p_size, p_size + 4), range(p_partkey % 40, p_partkey % 40 + 6)))), ',') AS pages FROM part",
 }

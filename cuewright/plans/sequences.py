@@ -136,7 +136,7 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def until_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9: events of each hour of the log up to the first error of that hour."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(micros("ts") / (3600 * MICROS_A_SECOND)).alias("hour"))
-    return windows.take_until(events, ["hour"], "event_id", F.col("event_type") == "error")
+    return state.until_failure(events, "event_id", F.col("event_type") == "error", ["hour"])
 
 
 SQL = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps timestamps comparable between engines; ANSI makes bad casts loud.
@@ -31,3 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back as it lies there: what is taken from it twice agrees, and a lost executor changes nothing.
+
+    The folder is the session's (spark.checkpoint.dir), which the cluster shares; only a session on one machine may do without.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints")
+    return df.checkpoint()
