@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -16,8 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 LONGEST_CUE, WIDEST_GAP = 84, 1.0
 # Seconds of reference speech.
 REFERENCE_LEAST, REFERENCE_MOST = 4.0, 8.0
-HONORIFICS = frozenset("mr mrs ms dr st prof sr jr".split())
-TERMINATED = re.compile(r"[.!?…。！？]+[\"'”’)\]]*$")
+# Share of a full line that the last part needs, ends of sentences, marks that close them, titles, labels of translations, times in a line.
+TAIL_SHARE = 0.35
+SENTENCE_END, SENTENCE_MARK, CLOSERS = re.compile(r"[.!?…]$"), re.compile(r"[.!?]$"), re.compile(r"[\"')\]]+")
+TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|St)\.", re.IGNORECASE)
+LABEL = re.compile(r"^(?:translation|translated(?:\s+text)?|answer|response)\s*:\s*", re.IGNORECASE)
+STAMP = re.compile(r"<(?:\d+:)?\d{1,2}:\d{2}[.,]\d{3}>")
 
 
 @dataclass(frozen=True)
@@ -40,36 +44,60 @@ def merge_adjacent(entries: Iterable[Entry], longest: int = LONGEST_CUE, gap: fl
     return out
 
 
+def packed_items(items: list[str], longest: int, tail: float = TAIL_SHARE) -> list[list[str]]:
+    """Words in runs of at most `longest` characters. Where what is left over would be shorter than `tail` of that, the run before it ends
+    where it is full and the rest just long enough, as nearly as can be; a single longer word is a run of its own."""
+    runs: list[list[str]] = []
+    held: list[str] = []
+    least = int(longest * tail)
+    for i, item in enumerate(items):
+        if not held or len(" ".join([*held, item])) <= longest:
+            held.append(item)
+            continue
+        left = len(" ".join(items[i:]))
+        cut = len(held)
+        if left < least and len(held) > 1:
+            ends = [(len(" ".join(held[:k])), len(" ".join(held[k:])) + left, k) for k in range(1, len(held))]
+            fitting = [(longest - first + abs(least - rest), k) for first, rest, k in ends if first <= longest and rest >= least]
+            cut = min(fitting)[1] if fitting else cut
+        runs.append(held[:cut])
+        held = [*held[cut:], item]
+    return [*runs, held] if held else runs
+
+
 def split_long(entry: Entry, longest: int = LONGEST_CUE) -> list[Entry]:
-    """Parts of at most `longest` characters, cut between words so that no part is left with a short tail; time goes by length."""
-    words, lines, line = entry.text.split(), [], []
-    for w in words:
-        if line and len(" ".join([*line, w])) > longest:
-            lines.append(line)
-            line = []
-        line.append(w)
-    if line:
-        lines.append(line)
-    while len(lines) > 1 and len(lines[-2]) > 1 and len(" ".join(lines[-1])) < 0.35 * longest and len(" ".join(lines[-2])) > len(" ".join([lines[-2][-1], *lines[-1]])):
-        lines[-1].insert(0, lines[-2].pop())
-    texts = [" ".join(x) for x in lines] or [entry.text]
+    """A cue of more than `longest` characters in parts; time goes by length, and the last part ends with the cue."""
+    if len(entry.text.strip()) <= longest:
+        return [entry]
+    texts = [" ".join(run) for run in packed_items(entry.text.split(), longest)] or [entry.text]
     total, at, out = sum(map(len, texts)) or 1, entry.start, []
-    for i, t in enumerate(texts):
-        finish = entry.finish if i + 1 == len(texts) else at + (entry.finish - entry.start) * len(t) / total
-        out.append(replace(entry, start=at, finish=finish, text=t))
+    for i, text in enumerate(texts):
+        finish = entry.finish if i + 1 == len(texts) else at + max(entry.finish - entry.start, 0.0) * len(text) / total
+        out.append(replace(entry, start=at, finish=finish, text=text))
         at = finish
     return out
 
 
 def sentences(words: Iterable[Entry]) -> list[Entry]:
-    """A stream of words as sentences: up to a terminator, unless an honorific or an initial carries it."""
-    out, held = [], []
+    """A stream of words as sentences: up to a word that ends in . ! ? or an ellipsis and is no title such as Mr.; closing marks that
+    stand alone behind it go on its last word. Blank words are passed over."""
+    out: list[list[Entry]] = []
+    held: list[Entry] = []
+    ended = False
     for w in words:
-        held.append(w)
-        stem = w.text.strip().rstrip(".").lower()
-        if TERMINATED.search(w.text.strip()) and not (w.text.strip().endswith(".") and stem in HONORIFICS):
+        text = w.text.strip()
+        if not text:
+            continue
+        if ended and CLOSERS.fullmatch(text):
+            held[-1] = replace(held[-1], text=held[-1].text.rstrip() + text, finish=w.finish)
+            out.append(held)
+            held, ended = [], False
+            continue
+        if ended:
             out.append(held)
             held = []
+        held.append(w)
+        ended = bool(SENTENCE_END.search(text)) and not TITLE.fullmatch(text)
     return [Entry(h[0].start, h[-1].finish, " ".join(x.text.strip() for x in h), h[0].speaker) for h in ([*out, held] if held else out)]
 
 
@@ -77,13 +105,69 @@ def merge_split_words(tokens: Iterable[Entry]) -> list[Entry]:
     """A token without a space in front goes on the word before it, unless that ends a sentence."""
     out: list[Entry] = []
     for t in tokens:
-        if out and not t.text.startswith(" ") and not out[-1].text.rstrip().endswith((".", "!", "?")):
-            out[-1] = replace(out[-1], finish=t.finish, text=out[-1].text + t.text)
+        if out and not t.text.startswith(" ") and not SENTENCE_MARK.search(out[-1].text.strip()):
+            out[-1] = replace(out[-1], finish=max(out[-1].finish, t.finish), text=out[-1].text + t.text)
         else:
             out.append(t)
     return out
 
 
+def merge_across(entries: Sequence[Sequence[Entry]]) -> list[list[Entry]]:
+    """Words of cues, where a cue that begins inside a word gives that part to the cue before it; a cue without words left is dropped."""
+    out: list[list[Entry]] = []
+    for words in (merge_split_words(e) for e in entries):
+        while out and out[-1] and words and not words[0].text.startswith(" ") and not SENTENCE_MARK.search(out[-1][-1].text.strip()):
+            last = out[-1][-1]
+            out[-1][-1] = replace(last, text=last.text + words[0].text, finish=max(last.finish, words[0].finish))
+            words = words[1:]
+        if words:
+            out.append(list(words))
+    return out
+
+
+def translated(entries: Sequence[Entry], translate: Callable[[list[str]], list[str]], batch: int = 50, longest: int = LONGEST_CUE, merge: bool = True) -> list[Entry]:
+    """The words of cues as sentences, translated in batches, split where they are too long and merged where they fit. Another number of
+    translations than of sentences is an error."""
+    parts = [x for e in entries for x in sentences(timed_words(e))]
+    texts: list[str] = []
+    for at in range(0, len(parts), batch):
+        some = translate([p.text for p in parts[at : at + batch]])
+        if len(some) != len(parts[at : at + batch]):
+            raise ValueError("another number of translations than of texts")
+        texts += some
+    out = [x for p, t in zip(parts, texts, strict=True) for x in split_long(replace(p, text=LABEL.sub("", t)), longest)]
+    return merge_adjacent(out, longest) if merge else out
+
+
+def timed_words(entry: Entry) -> list[Entry]:
+    """The words of a cue with even shares of its time."""
+    parts = entry.text.split()
+    step = (entry.finish - entry.start) / max(1, len(parts))
+    return [Entry(entry.start + i * step, entry.start + (i + 1) * step, w, entry.speaker) for i, w in enumerate(parts)]
+
+
+def translated_lines(cues: Sequence[Sequence[str]], translate: Callable[[list[str]], list[str]]) -> list[list[str]]:
+    """The lines of cues, translated line by line. Times inside a line are masked by a prefix that no line holds, must come back in order, and
+    are put back; another number of lines is an error."""
+    lines = [line for cue in cues for line in cue]
+    n = 0
+    while any(f"XT{n}Q" in line for line in lines):
+        n += 1
+    stamps = [STAMP.findall(line) for line in lines]
+    counter = iter(range(sum(map(len, stamps))))
+    masked = [STAMP.sub(lambda m: f"XT{n}Q{next(counter)}E", line) for line in lines]
+    done = translate(masked)
+    if len(done) != len(lines):
+        raise ValueError("another number of lines")
+    marker = re.compile(rf"XT{n}Q(\d+)E")
+    for before, after in zip(masked, done, strict=True):
+        if marker.findall(before) != marker.findall(after):
+            raise ValueError("times inside a line were changed")
+    every = [s for found in stamps for s in found]
+    back = iter([marker.sub(lambda m: every[int(m[1])], line) for line in done])
+    return [[next(back) for _ in cue] for cue in cues]
+
+
 def overlapping_words(left: str, right: str, most: int = 8) -> int:
     """Words at the end of one line that open the next, marks at their edges and case aside: two or more, or one of six letters or more."""
     a, b = ([x for w in line.split() if (x := re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()))] for line in (left, right))

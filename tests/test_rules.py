@@ -114,6 +114,26 @@ def test_sentence_splitter_is_no_recursion():
     assert splitter.split_long("one two; three four, five six", 12) == ["one two;", "three four,", "five six"]
 
 
+def test_cue_folds():
+    E = folds.Entry
+    words = [E(i, i + 1, w) for i, w in enumerate(["Dr.", "Who", "came.", '"', " ", "Then", "left", "…", "ok"])]
+    assert [s.text for s in folds.sentences(words)] == ['Dr. Who came."', "Then left …", "ok"]
+    assert folds.packed_items("aaaa bbbb cccc dddd e".split(), 19) == [["aaaa", "bbbb"], ["cccc", "dddd", "e"]] and folds.packed_items(["x" * 50, "y"], 10) == [["x" * 50], ["y"]] and folds.packed_items([], 5) == []
+    parts = folds.split_long(E(0, 10, "aaaa bbbb cccc dddd e"), 19)
+    assert [p.text for p in parts] == ["aaaa bbbb", "cccc dddd e"] and parts[-1].finish == 10 and parts[0].finish == 10 * 9 / 20 and folds.split_long(E(0, 1, "short"), 19) == [E(0, 1, "short")]
+    joined = folds.merge_across([[E(0, 1, " Hel"), E(1, 2, "lo")], [E(2, 3, "w"), E(3, 4, " end.")], [E(4, 5, "New")], [E(5, 6, "er")]])
+    assert [[w.text for w in e] for e in joined] == [[" Hellow"], [" end."], ["Newer"]]
+    shout = lambda texts: ["Translation: " + t.upper() for t in texts]
+    done = folds.translated([E(0, 4, "one two. three"), E(4.5, 6, "four")], shout)
+    assert [d.text for d in done] == ["ONE TWO. THREE FOUR"] and (done[0].start, done[0].finish) == (0, 6)
+    assert folds.translated_lines([["a <00:01.000>b", "c"], ["<1:00:02,500>XT0Q"]], lambda x: [t.replace("a", "z") for t in x]) == [["z <00:01.000>b", "c"], ["<1:00:02,500>XT0Q"]]
+    for bad in (lambda x: x[:-1], lambda x: ["gone"] * len(x)):
+        with pytest.raises(ValueError):
+            folds.translated_lines([["a <00:01.000>b"]], bad)
+    with pytest.raises(ValueError):
+        folds.translated([E(0, 1, "x")], lambda x: [])
+
+
 def test_windows(spark):
     good = (0.95,) * 9
     segments = [Segment(0, 3, "one two three four", good), Segment(3, 6, "five six seven eight.", good), Segment(6, 7, "nine.", (0.2,)), Segment(7, 30, "too long.", good)]
