@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,3 +145,67 @@ def multiset_diff(left: Column, right: Column) -> Column:
     """Elements that left has more often than right, as many times as it has more, in order of value."""
     counts = F.transform(F.array_sort(F.array_distinct(left)), lambda x: F.struct(x.alias("x"), (F.size(F.filter(left, lambda y: y == x)) - F.size(F.filter(right, lambda y: y == x))).alias("n")))
     return F.flatten(F.transform(F.filter(counts, lambda c: c["n"] > 0), lambda c: F.array_repeat(c["x"], c["n"])))
+
+
+def semantic(text: Column) -> Column:
+    """breaks as spaces, without tags, entities resolved, single spaces."""
+    import html
+
+    @F.arrow_udf("string")
+    def unescape(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else html.unescape(v) for v in values.to_pylist()], pa.string())
+
+    plain_ = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?\s*>", " "), r"<[^>]*>", "")
+    return norm_ws(F.when(plain_.contains("&"), unescape(plain_)).otherwise(plain_))
+
+
+def sentences_simple(text: Column) -> Column:
+    """F8: cut behind a terminator before a capital; only what can be spoken."""
+    marked = F.regexp_replace(plain(text), r"([.!?…]\"?)\s+(?=\p{Lu})", "$1\n")
+    return F.filter(F.split(marked, r"\n+"), lambda s: speakable(s))
+
+
+def publication_input(fields: dict[str, Column], sample: Column, filename: Column) -> Column:
+    """the name of a file (or that of its source), what is known of the publication, and sample pages, blocks apart by a blank line."""
+    known = [k for k in ("title", "author", "pdf_author", "language", "page_count") if k in fields]  # fixed values
+    some = lambda c: F.when(c.rlike(r"\S"), c)
+    name = F.coalesce(some(F.btrim(filename)), some(fields["source_name"]) if "source_name" in fields else F.lit(None))
+    lines = F.concat_ws(", ", *(F.concat(F.lit(f"{k}: "), some(fields[k].cast("string"))) for k in known))
+    return F.concat_ws("\n\n", F.concat(F.lit("Filename: "), name), F.concat(F.lit("Metadata:\n"), lines), F.concat(F.lit("Sample pages:\n"), sample))
+
+
+def voice_option(value: Column) -> Column:
+    """a voice's description: underscores as blanks, hyphens before pitch and accent too, medium pitch as moderate, blank parts left out."""
+    spaced = F.regexp_replace(F.regexp_replace(F.replace(value, F.lit("_"), F.lit(" ")), r"-pitch\b", " pitch"), r"-accent\b", " accent")
+    parts = F.transform(F.split(F.regexp_replace(spaced, r"\bmedium pitch\b", "moderate pitch"), ","), lambda p: F.btrim(p))
+    return F.array_join(F.filter(parts, lambda p: p != ""), ", ")
+
+
+def unfenced(text: Column) -> Column:
+    """JSON without the fences of a code block around it."""
+    out = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"(?i)^```json\s*", ""), r"^```\s*", "")
+    return F.btrim(F.regexp_replace(out, r"```\s*$", ""), F.lit(" \t\r\n"))
+
+
+def short_title(text: Column) -> Column:
+    """a title, out of JSON where it is that (its title, or the first of a list), without brackets and quotes around it, at most 120 characters."""
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
+    parsed = F.coalesce(F.get_json_object(trimmed, "$.title"), F.get_json_object(trimmed, "$[0]"))
+    bare = F.regexp_replace(F.coalesce(parsed, trimmed), r"^[\[\"]+|[\]\"]+$", "")
+    return F.left(norm_ws(bare), F.lit(120))
+
+
+def translated_name(original: Column, text: Column) -> Column:
+    """a translated name fit for a file; the original where nothing is left of it."""
+    return F.coalesce(present(F.regexp_replace(text, r"[/\\\\\u0000]", " ")), original)
+
+
+def css_rules(size: Column, alignment: Column, bold: Column, italic: Column, color: Column) -> Column:
+    """declarations of a style; what is null or false has none."""
+    points = F.concat(F.regexp_replace(F.round(size, 1).cast("string"), r"\.0$", ""), F.lit("pt"))
+    return F.concat_ws("; ", F.concat(F.lit("font-size: "), points), F.concat(F.lit("text-align: "), alignment), F.when(bold, "font-weight: bold"), F.when(italic, "font-style: italic"), F.concat(F.lit("color: "), color))
+
+
+def style_json(**attributes: Column) -> Column:
+    """a style as JSON, without what is null; `from_json` reads it back."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in attributes.items())))

@@ -46,6 +46,20 @@ def timing_score(clips: DataFrame, group: Sequence[str], speed: str = "speed", s
     )
 
 
+def worst(clips: DataFrame, group: Sequence[str], order: Sequence[str], speed: str = "speed", n: int = 10) -> DataFrame:
+    """The n clips of each group farthest from natural speed, with their number in the group from 1 and their deviation (percent of an octave).
+
+    Ties go to the earlier clip. Numbers come from ranges; of each group and range only n rows go on.
+    """
+    from pyspark.sql import Window
+
+    from cuewright.operators.windows import batches
+
+    numbered = batches(clips, order, 1, group).withColumn("index", F.col("batch") + 1).drop("batch").withColumn("deviation", F.abs(F.log2(F.col(speed))) * 100)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("deviation").desc(), "index"))  # the planner limits each task to n rows of a group first
+    return numbered.withColumn("place", place).filter(F.col("place") <= n)
+
+
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last record of each key in the given order."""
     rest = [c for c in df.columns if c not in key]

@@ -224,3 +224,57 @@ def status_lines(events: DataFrame, keys: Sequence[str], ordinal: str, line: str
     """Q6: the lines of a status as they stand last, in order of their first appearance, one text per key; lines that are gone are left out."""
     last = events.withColumn("_gone", gone).groupBy(*keys, "line_id").agg(F.min(ordinal).alias("first"), F.max_by(F.struct(line, "_gone"), ordinal).alias("last"))
     return last.filter("NOT last._gone").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(f"last.{line}").alias("line")))), lambda x: x["line"]), "\n").alias("status"))
+
+
+def first_valid(candidates: DataFrame, group: Sequence[str], rank: str, valid: Column, most: int = 20) -> DataFrame:
+    """T4: of the first `most` candidates of each group, by rank, the first that is valid, with how many were refused before it; groups without one have no row."""
+    judged = candidates.filter(F.col(rank) <= most).withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    best = judged.groupBy(*group).agg(F.min(F.when(F.col("_valid"), F.col(rank))).alias("_best"))
+    return judged.join(best, list(group)).filter(F.col(rank) == F.col("_best")).withColumn("refused", F.col(rank) - 1).drop("_valid", "_best")
+
+
+def resumed(entries: DataFrame, manifest: DataFrame, key: str, order: str, digest: str, done: Column) -> DataFrame:
+    """Q8: entries that are still to be worked on: without a record in the manifest, or whose last record is not done or of another digest."""
+    last = manifest.groupBy(key).agg(F.max_by(F.struct(F.col(digest).alias("d"), done.alias("ok")), order).alias("last"))
+    joined = entries.join(last, key, "left")
+    return joined.filter(F.col("last").isNull() | ~F.coalesce(F.col("last.ok"), F.lit(False)) | ~F.col("last.d").eqNullSafe(F.col(digest))).drop("last")
+
+
+def compacted(manifest: DataFrame, live: DataFrame, key: str, order: str) -> DataFrame:
+    """K6, Q8: the last record of every key that is still alive."""
+    rest = [c for c in manifest.columns if c != key]
+    return manifest.join(live.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def outlined(rows: DataFrame, group: Sequence[str], order: str, opens: Column, item: Column) -> DataFrame:
+    """Rows under the last opening row before them: group, head (its order) and the items below it in order. Rows before any opening have none."""
+    from cuewright.operators.windows import forward_fill
+
+    filled = forward_fill(rows.withColumn("_item", item), group, [order], F.when(opens, F.col(order)), "head").filter("head IS NOT NULL")
+    below = F.collect_list(F.when(~opens, F.struct(F.col(order).alias("at"), F.col("_item").alias("item"))))
+    return filled.groupBy(*group, "head").agg(F.transform(F.array_sort(below), lambda x: x["item"]).alias("items"))
+
+
+def replies(rows: DataFrame, target: str, key: str, of_kind: Column, to_kind: Column) -> DataFrame:
+    """Rows of a kind that reply to rows of another: each with the key of the row that it replies to."""
+    asked = rows.filter(to_kind).select(F.col(key).alias("_asked"))
+    return rows.filter(of_kind).join(asked, F.col(target) == F.col("_asked")).withColumn("asked", F.col("_asked")).drop("_asked")
+
+
+def matrix(cases: DataFrame, repeats: int) -> DataFrame:
+    """Every case as often as it is to be run, numbered from 1. A failure is a column of its row, never a missing row."""
+    return cases.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+
+def longest_of(df: DataFrame, group: Sequence[str], text: str, tie: str) -> DataFrame:
+    """The row with the longest text of each group; of several the first."""
+    rest = [c for c in df.columns if c not in group]
+    return df.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(F.length(text), -F.col(tie))).alias("_r")).select(*group, "_r.*")
+
+
+def same_signature(df: DataFrame, group: Sequence[str], signature: Sequence[str]) -> DataFrame:
+    """Whether all rows of a group have the same signature and none lacks a part of it."""
+    whole = F.lit(True)
+    for c in signature:
+        whole = whole & F.col(c).isNotNull()
+    return df.groupBy(*group).agg(((F.count_distinct(F.struct(*signature)) == 1) & F.bool_and(whole)).alias("same"))

@@ -32,6 +32,14 @@ def one_slot(df: DataFrame, group: Sequence[str], order: Sequence[str], arrival:
     return summed.withColumn("finish_at", F.max("_idle").over(upto) + F.col("_sum")).withColumn("start_at", F.col("finish_at") - F.col(service)).drop("_sum", "_idle")
 
 
+def slots_with_bypass(df: DataFrame, group: Sequence[str], order: Sequence[str], arrival: str, service: str, bypass: Column) -> DataFrame:
+    """Q3: as `one_slot`; jobs that bypass the queue (administrators, stop commands) start when they arrive and hold no slot."""
+    flagged = df.withColumn("_bypass", F.coalesce(bypass, F.lit(False)))
+    queued = one_slot(flagged.filter("NOT _bypass"), group, order, arrival, service)
+    free = flagged.filter("_bypass").withColumn("finish_at", F.col(arrival) + F.col(service)).withColumn("start_at", F.col(arrival))
+    return queued.unionByName(free).drop("_bypass")
+
+
 def coalesced(df: DataFrame, key: Sequence[str], release: str, ordinal: str, payload: str) -> DataFrame:
     """Q2: of the edits of a key that wait for the same release, the latest payload at the place of the first."""
     return df.groupBy(*key, release).agg(F.min(ordinal).alias(ordinal), F.max_by(payload, ordinal).alias(payload), F.count("*").alias("merged"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import captions, media, validation
 from cuewright.functions import text as t
 from cuewright.functions import time as clock
-from cuewright.operators import documents, lookups, quality
+from cuewright.operators import aggregates, cues, documents, lookups, quality, state
 from cuewright.session import table
 
 
@@ -202,6 +202,61 @@ def numbered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.user_order(parts, "title", "p_partkey", sort=True, reverse=True, number=True).select("p_partkey", "title", F.col("position").cast("long").alias("position"))
 
 
+def worst_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten items of each flag that are farthest from natural speed, items of the fourth line."""
+    clips = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.pow(F.lit(2.0), F.col("l_linenumber") - 4).alias("speed"))
+    return aggregates.worst(clips, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_returnflag", "place", "index", "deviation", "l_orderkey", "l_linenumber")
+
+
+def valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: of the first parts of each brand by size, the first of an even number, with how many were refused."""
+    w = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")  # the parts of a brand, ranked
+    ranked = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.row_number().over(w).alias("rank"))
+    return lookups.first_valid(ranked, ["p_brand"], "rank", F.col("p_partkey") % 4 == 0)
+
+
+def resumed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: documents that a manifest of events leaves to be done: none, not done at last, or done on another length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("digest"))
+    events = table(spark, sf_dir, "events").select((F.col("event_id") % 150).alias("doc_id"), "event_id", "event_type")
+    manifest = events.join(docs, "doc_id").select("doc_id", "event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("digest") + 1).otherwise(F.col("digest")).alias("digest"))
+    return lookups.resumed(docs, manifest, "doc_id", "event_id", "digest", F.col("event_type") != "error")
+
+
+def compacted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, Q8: the last event of every user who is still a customer."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return lookups.compacted(events, table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("user_id")), "user_id", "event_id")
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: one slot a user; errors are stop commands and bypass it."""
+    service = (F.col("value").cast("decimal(18,2)") * 60_000_000).cast("long")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), service.alias("service"))
+    return state.slots_with_bypass(events, ["user_id"], ["arrival", "event_id"], "arrival", "service", F.col("event_type") == "error").drop("event_type")
+
+
+def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options, fences, titles and names cleaned, prompts and styles put together."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    fields = {"title": name, "author": F.when(k % 2 == 0, "  ").otherwise(F.col("p_brand")), "page_count": F.col("p_size"), "source_name": F.col("p_type")}
+    title = F.when(k % 3 == 0, F.concat(F.lit('{"title": "'), name, F.lit('"}'))).when(k % 3 == 1, F.concat(F.lit('["'), name, F.lit('", "x"]'))).otherwise(F.concat(F.lit(' "'), name, F.lit('" ')))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", t.voice_option(F.concat(F.lit("medium-pitch, british-accent,, "), F.replace(name, F.lit(" "), F.lit("_")))).alias("voice"), t.unfenced(F.concat(F.lit("```JSON\n"), name, F.lit("\n``` "))).alias("unfenced"), t.short_title(title).alias("title"),
+        t.translated_name(name, F.when(k % 2 == 0, F.lit(" / ")).otherwise(F.concat(F.col("p_brand"), F.lit("/x")))).alias("file"), t.publication_input(fields, F.lit("s"), F.when(k % 5 == 0, name)).alias("prompt"),
+        t.css_rules(F.col("p_size") / F.lit(4.0), F.when(k % 2 == 0, "center"), k % 3 == 0, F.lit(False), F.lit(None).cast("string")).alias("css"), t.style_json(size=F.col("p_size"), alignment=F.when(k % 2 == 0, "center")).alias("style"),
+    )
+
+
+def nested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a turn moved and stretched, those that end too late left out."""
+    words = F.transform(F.slice(F.split("text", " "), 1, 40), lambda w, i: F.struct(F.length(w).alias("n"), i.cast("double").alias("start_s"), (i + 1).cast("double").alias("finish_s")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words"))
+    moved = cues.retimed(F.col("words"), F.lit(0.0), F.lit(40.0), F.lit(5.0), F.lit(25.0))
+    kept = F.filter(moved, lambda w: w["finish_s"] <= 15)
+    return turns.select("conv_id", "turn", F.size(kept).alias("n"), F.aggregate(kept, F.lit(0.0), lambda s, w: s + w["start_s"]).alias("starts"), F.aggregate(kept, F.lit(0), lambda s, w: s + w["n"]).alias("letters"))
+
+
 SQL = {
     "durations": r"""
 WITH t AS (SELECT p_partkey, p_size AS n, p_partkey AS k, p_partkey % 9 AS f FROM part),
@@ -284,4 +339,27 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY leas
     "numbered_titles": """
 WITH n AS (SELECT p_partkey, p_name, count(*) OVER () + 1 - row_number() OVER (ORDER BY p_name, p_partkey) AS position FROM part)
 SELECT p_partkey, CASE WHEN position < 10 THEN '0' ELSE '' END || position || ' ' || p_name AS title, position FROM n""",
+    "worst_clips": """
+WITH c AS (SELECT l_returnflag, l_orderkey, l_linenumber, abs(l_linenumber - 4) * 100.0::DOUBLE AS deviation, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS index FROM lineitem)
+SELECT l_returnflag, CAST(place AS INTEGER) AS place, index, deviation, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY deviation DESC, index) AS place FROM c) WHERE place <= 10""",
+    "valid_candidates": """
+WITH r AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rank FROM part), b AS (SELECT p_brand, min(rank) AS rank FROM r WHERE rank <= 20 AND p_partkey % 4 = 0 GROUP BY p_brand)
+SELECT p_brand, p_partkey, p_size, CAST(rank AS INTEGER) AS rank, CAST(rank - 1 AS INTEGER) AS refused FROM r JOIN b USING (p_brand, rank)""",
+    "resumed_entries": """
+WITH m AS (SELECT event_id % 150 AS doc_id, event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS off FROM events), l AS (SELECT doc_id, arg_max(event_type, event_id) AS kind, arg_max(off, event_id) AS off FROM m GROUP BY doc_id)
+SELECT d.doc_id, n_chars AS digest FROM documents d LEFT JOIN l USING (doc_id) WHERE l.kind IS NULL OR l.kind = 'error' OR l.off = 1""",
+    "compacted_cache": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE user_id IN (SELECT c_custkey * 2 FROM customer) GROUP BY user_id",
+    "slots": """
+WITH e AS (SELECT event_id, user_id, event_type = 'error' AS free, epoch_us(ts) AS arrival, CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT) AS service FROM events),
+s AS (SELECT *, CAST(sum(service) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e WHERE NOT free),
+f AS (SELECT event_id, user_id, arrival, service, max(arrival - (total - service)) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) + total AS finish_at FROM s UNION ALL SELECT event_id, user_id, arrival, service, arrival + service FROM e WHERE free)
+SELECT *, finish_at - service AS start_at FROM f""",
+    "cleaned_names": r"""
+SELECT p_partkey, 'moderate pitch, british accent, ' || p_name AS voice, p_name AS unfenced, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || ' x' END AS file,
+  'Filename: ' || CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_type END || chr(10) || chr(10) || 'Metadata:' || chr(10) || 'title: ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ', author: ' || p_brand END || ', page_count: ' || p_size || chr(10) || chr(10) || 'Sample pages:' || chr(10) || 's' AS prompt,
+  'font-size: ' || regexp_replace(CAST(round(p_size / 4.0::DOUBLE, 1) AS VARCHAR), '\.0$', '') || 'pt' || CASE WHEN p_partkey % 2 = 0 THEN '; text-align: center' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '; font-weight: bold' ELSE '' END AS css,
+  '{"size":' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ',"alignment":"center"}' ELSE '}' END AS style FROM part""",
+    "nested_words": """
+WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), k AS (SELECT *, least(len(w), 40, 20) AS n FROM w)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n, list_sum(list_transform(range(0, n), lambda i: 5 + i * 0.5::DOUBLE))::DOUBLE AS starts, CAST(list_sum(list_transform(w[1:n], lambda x: length(x))) AS INTEGER) AS letters FROM k""",
 }

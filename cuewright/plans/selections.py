@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import media
-from cuewright.operators import cues, state
+from cuewright.operators import cues, lookups, state
 from cuewright.plans.records import LINES_SQL, document_lines
 from cuewright.plans.texts import turn_cues
 from cuewright.session import table
@@ -26,8 +26,8 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest page of each language of the path, of several the first."""
     lang = F.regexp_extract("url", r"://[^/]+/([a-z]+)/", 1)
-    pages = table(spark, sf_dir, "pages").select(lang.alias("lang"), "page_id", F.length("html").alias("n"))
-    return pages.groupBy("lang").agg(F.max_by("page_id", F.struct(F.col("n"), -F.col("page_id"))).alias("page_id"), F.max("n").alias("n"))
+    pages = table(spark, sf_dir, "pages").select(lang.alias("lang"), "page_id", "html")
+    return lookups.longest_of(pages, ["lang"], "html", "page_id").select("lang", "page_id", F.length("html").alias("n"))
 
 
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,21 +49,21 @@ def speech_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the answers that follow it, in order."""
-    filled = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("chapter", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)))
-    under = F.array_sort(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "role"))))
-    return filled.filter("chapter IS NOT NULL").groupBy("conv_id", "chapter").agg(F.array_join(F.transform(under, lambda x: F.concat_ws(":", x["turn"], x["role"])), ",").alias("answers"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    tree = lookups.outlined(turns, ["conv_id"], "turn", F.col("role") == "user", F.concat_ws(":", "turn", "role"))
+    return tree.select("conv_id", F.col("head").alias("chapter"), F.array_join("items", ",").alias("answers"))
 
 
 def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases by repeats: a few dozen nations, three times each."""
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("repeat"))
+    return lookups.matrix(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 3)
 
 
 def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with the user turn that they reply to."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("asked"))
-    return turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("reply_to"), "conv_id", "turn", "role")
+    pairs = lookups.replies(turns, "reply_to", "id", F.col("role") == "assistant", F.col("role") == "user")
+    return pairs.select("conv_id", "turn", "role", (F.col("asked") % 1000).alias("asked"))
 
 
 def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audio_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose items all have the same flag and status."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.count_distinct(F.struct("l_returnflag", "l_linestatus")) == 1).alias("same"))
+    return lookups.same_signature(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
 
 
 def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
