@@ -258,6 +258,7 @@ COLUMNS = list(corpus_pipeline.COLUMNS)
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
     extra = [(9001, None, "en", "s", 0), (9002, "12 34", "en", "s", 5), (9003, "the and of password=abcdef123 the", None, None, 30), (None, None, None, None, None)]
+    extra.append((9004, " ".join(r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").limit(60).collect()) + " token: f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "en", "s", 0))  # very long
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("n_tokens", F.lit(1))
     kept = docs
     seen = {}
@@ -276,7 +277,7 @@ def test_pipeline_stages(spark):
     links = [(i, j) for i, s in enumerate(sets) for j, n in Counter(j for x in s for j in index[x] if j < i).items() if 100 * n >= 80 * len(s | sets[j])]
     assert set(seen["near_duplicates"]) == {ids[g] for g in groups(len(ids), links)}
     assert set(seen["without_secrets"]) == set(seen["near_duplicates"])
-    assert seen["without_secrets"][9003].text == "the and of [SECRET] the"
+    assert seen["without_secrets"][9003].text == "the and of [SECRET] the" and seen["without_secrets"][9004].text.endswith(" [SECRET]")
     assert set(seen["mixture"]) <= set(seen["without_secrets"])
     out = corpus_pipeline.STAGES[-1][1](spark, kept, oracle.DATA)
     assert out.count() == kept.count() and out.filter("NOT round_trip").count() == 0
