@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Elements that are dropped, that are blocks, that have no end, and sizes of headings in points.
-DROPPED = frozenset("script style nav form button svg noscript template".split())
-BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption caption div section article".split())
-CONTAINERS = frozenset("div section article".split())
+# Elements that are dropped (with those that only a block drops), that are blocks, that have no end, and sizes of headings in points.
+DROPPED = frozenset("script style noscript template nav form button svg sup".split())
+BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre dt dd figcaption caption th td center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HEADING_SIZES = {"h1": 24.0, "h2": 20.0, "h3": 18.0, "h4": 16.0, "h5": 14.0, "h6": 13.0}
+HEADING_SIZES = {"h1": 24.0, "h2": 22.0, "h3": 20.0, "h4": 18.0, "h5": 16.0, "h6": 14.0}
 BODY_SIZE = 12.0
 
 
@@ -49,8 +48,7 @@ class Blocks(HTMLParser):
         self.stack.append((tag, dict(attrs).get("lang")))
         if tag in DROPPED:
             self.dropped += 1
-        elif not self.dropped and tag in BLOCKS and (self.block is None or self.tag in CONTAINERS):
-            self.flush()
+        elif not self.dropped and tag in BLOCKS and self.block is None:
             self.block, self.tag, self.depth = [], tag, len(self.stack)
 
     def handle_endtag(self, tag: str) -> None:

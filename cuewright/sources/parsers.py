@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Sizes of headings and named sizes in points, elements that are bold or italic, blocks of text, and words on a page.
-TAG_SIZES = {"h1": 24.0, "h2": 20.0, "h3": 18.0, "h4": 16.0, "h5": 14.0, "h6": 13.0}
+TAG_SIZES = {"h1": 24.0, "h2": 22.0, "h3": 20.0, "h4": 18.0, "h5": 16.0, "h6": 14.0, "p": 12.0, "div": 12.0, "li": 12.0, "blockquote": 12.0, "small": 10.0, "sup": 10.0, "sub": 10.0}
 NAMED_SIZES = {"xx-small": 8.0, "x-small": 10.0, "small": 11.0, "medium": 12.0, "large": 14.0, "x-large": 18.0, "xx-large": 24.0}
 BOLD, ITALIC = frozenset("h1 h2 h3 h4 h5 h6 b strong".split()), frozenset("i em".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption center".split())

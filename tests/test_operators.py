@@ -195,5 +195,5 @@ def test_noise_and_multisets(spark):
 def test_html_blocks(spark):
     page = "<html lang='fr'><title>T</title><nav><p>no</p></nav><div>in<p>one &amp; two</p><h2>Head</h2></div><script>p</script><p>last"
     rows = html.blocks(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("block_idx").collect()
-    assert [(r.tag, r.level, r.text) for r in rows] == [("div", 0, "in"), ("p", 0, "one & two"), ("h2", 2, "Head"), ("p", 0, "last")]
+    assert [(r.tag, r.level, r.text) for r in rows] == [("p", 0, "one & two"), ("h2", 2, "Head"), ("p", 0, "last")] and rows[1].font_size == 22
     assert rows[0].language == "fr"
