@@ -126,8 +126,8 @@ def without_headers(lines: DataFrame, doc: str = "doc_id", page: str = "page", o
 
 
 def repeated_boundaries(lines: DataFrame, doc: str = "doc_id", page: str = "page", ordinal: str = "line_idx", text: str = "text") -> DataFrame:
-    """Exact first or last texts of pages that recur, each page counting a text once; documents under three pages have none."""
-    whole = F.btrim(F.regexp_replace(F.col(text), r"\s+", " "))
+    """Exact first or last texts of pages (in small letters, single spaces) that recur, each page counting a text once; documents under three pages have none."""
+    whole = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
     ends = lines.groupBy(doc, page).agg(F.min_by(whole, ordinal).alias("_head"), F.max_by(whole, ordinal).alias("_foot"))
     counted = ends.select(doc, F.explode(F.array_distinct(F.array("_head", "_foot"))).alias("boundary")).groupBy(doc, "boundary").agg(F.count("*").alias("n"))
     pages = lines.groupBy(doc).agg(F.count_distinct(page).alias("_pages")).filter("_pages >= 3")
@@ -156,3 +156,27 @@ def cosine(a: Column, b: Column) -> Column:
 def share_of(flag: Column) -> Column:
     """Percentage of flagged rows."""
     return F.count_if(flag) * F.lit(100.0) / F.count("*")
+
+
+def without_boundaries(lines: DataFrame, doc: str = "doc_id", page: str = "page", ordinal: str = "line_idx", text: str = "text", contained: int = 40) -> DataFrame:
+    """Lines without what recurs at page boundaries: a first or last line whose normal form does, any line whose exact text does, and any line that
+    holds such a text of `contained` characters or more. Documents under three pages stay as they are; each page counts a text once.
+
+    What recurs in one document is a handful of texts, so the join by document alone stays small.
+    """
+    from pyspark.sql import Window
+
+    whole = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    w = Window.partitionBy(doc, page)  # the lines of one page
+    marked = lines.withColumn("_exact", whole).withColumn("_normal", boundary_text(F.col(text))).withColumn("_edge", (F.col(ordinal) == F.min(ordinal).over(w)) | (F.col(ordinal) == F.max(ordinal).over(w)))
+    pages = lines.groupBy(doc).agg(F.count_distinct(page).alias("_pages")).filter("_pages >= 3")
+
+    def recurring(column: str) -> DataFrame:
+        counted = marked.filter(F.col("_edge") & (F.col(column) != "")).groupBy(doc, column).agg(F.count_distinct(page).alias("_n"))
+        return counted.join(pages, doc).filter(F.col("_n") >= F.greatest(F.ceil(F.col("_pages") * 3 / 10), F.lit(3))).select(doc, column)
+
+    exact = recurring("_exact").withColumnRenamed("_exact", "_seen")
+    kept = marked.join(recurring("_normal").withColumn("_hit", F.lit(True)), [doc, "_normal"], "left").filter(~(F.col("_edge") & F.coalesce("_hit", F.lit(False))))
+    same = (F.col("_exact") == F.col("_seen")) | ((F.length("_seen") >= contained) & F.col("_exact").contains(F.col("_seen")))
+    left = kept.alias("l").join(exact.alias("r"), (F.col(f"l.{doc}") == F.col(f"r.{doc}")) & same, "left_anti")
+    return left.drop("_exact", "_normal", "_edge", "_hit")

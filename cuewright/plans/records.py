@@ -76,9 +76,18 @@ def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source", "doc_id").agg(F.count("*").alias("lines"), F.sum("line_idx").alias("sum_idx"))
 
 
+def beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents by language as books, each line its first character: so that some texts do recur at the ends of pages."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text"))
+    return docs.filter(F.trim("text") != "").withColumn("text", F.left(F.trim("text"), F.lit(1)))
+
+
 def page_boundaries_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact texts that recur at page boundaries; a tenth of the pages would do as well, so the rule's own share is used."""
-    return aggregates.repeated_boundaries(document_lines(spark, sf_dir), "source", "doc_id")
+    """Texts that recur at page boundaries, and how many lines of a book are left without them."""
+    lines = beginnings(spark, sf_dir).filter("lang IS NOT NULL")
+    found = aggregates.repeated_boundaries(lines, "lang", "doc_id")
+    left = aggregates.without_boundaries(lines, "lang", "doc_id").groupBy("lang").agg(F.count("*").alias("left"))
+    return found.join(left, "lang")
 
 
 def mode_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,12 +244,15 @@ b AS (SELECT source, unnest([head, foot]) AS k FROM e), c AS (SELECT source, k,
 p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source),
 h AS (SELECT source, k FROM c JOIN p USING (source) WHERE n >= greatest(ceil(pages * 3 / 10.0), 3))
 SELECT source, doc_id, count(*) AS lines, CAST(sum(line_idx) AS BIGINT) AS sum_idx FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source = l.source AND h.k = l.k) GROUP BY source, doc_id""",
-    "page_boundaries_exact": rf"""
-WITH l AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k FROM ({LINES_SQL})),
-e AS (SELECT source, doc_id, arg_min(k, line_idx) AS head, arg_max(k, line_idx) AS foot FROM l GROUP BY source, doc_id),
-b AS (SELECT source, unnest(list_distinct([head, foot])) AS boundary FROM e), c AS (SELECT source, boundary, count(*) AS n FROM b GROUP BY source, boundary),
-p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source)
-SELECT source, boundary, n FROM c JOIN p USING (source) WHERE pages >= 3 AND n >= greatest(ceil(pages * 3 / 10.0), 3)""",
+    "page_boundaries_exact": r"""
+WITH r AS (SELECT lang, doc_id, i - 1 AS line_idx, left(trim(parts[i]), 1) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE lang IS NOT NULL) WHERE trim(parts[i]) <> ''),
+l AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k, line_idx = min(line_idx) OVER w OR line_idx = max(line_idx) OVER w AS edge FROM r WINDOW w AS (PARTITION BY lang, doc_id)),
+b AS (SELECT DISTINCT lang, doc_id, k FROM l WHERE edge), c AS (SELECT lang, k AS boundary, count(*) AS n FROM b GROUP BY lang, k),
+p AS (SELECT lang, count(DISTINCT doc_id) AS pages FROM l GROUP BY lang),
+x AS (SELECT lang, boundary, n FROM c JOIN p USING (lang) WHERE pages >= 3 AND n >= greatest(ceil(pages * 3 / 10.0), 3)),
+d AS (SELECT lang, doc_id, regexp_replace(k, '[0-9]+', '#', 'g') AS k FROM b), y AS (SELECT lang, k, count(DISTINCT doc_id) AS n FROM d GROUP BY lang, k), z AS (SELECT lang, k FROM y JOIN p USING (lang) WHERE pages >= 3 AND n >= greatest(ceil(pages * 3 / 10.0), 3)),
+q AS (SELECT lang, count(*) AS "left" FROM l WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = l.lang AND x.boundary = l.k) AND NOT (edge AND EXISTS (SELECT 1 FROM z WHERE z.lang = l.lang AND z.k = regexp_replace(l.k, '[0-9]+', '#', 'g'))) GROUP BY lang)
+SELECT x.lang, boundary, n, q."left" FROM x JOIN q USING (lang)""",
     "mode_body": """
 WITH t AS (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_brand, p_size)
 SELECT p_brand, p_size, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, first) AS r FROM t) WHERE r = 1""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,3 +129,34 @@ def word_confidence(w: Column) -> Column:
     for name in reversed(("confidence", "probability", "prob", "p")):  # fixed values
         out = F.when(F.array_contains(names, name), F.get_json_object(w, f"$.{name}").try_cast("double")).otherwise(out)
     return out
+
+
+def raw_blocks(text: str) -> list[tuple[str, str]]:
+    """The blocks of a subtitle document as they stand, each with the blank lines behind it; joined they are the document again."""
+    parts = re.split(r"((?>\r\n|\r|\n)(?:[ \t]*(?>\r\n|\r|\n))+)", text)
+    return [(parts[i], parts[i + 1] if i + 1 < len(parts) else "") for i in range(0, len(parts), 2)]
+
+
+def rewritten(text: str, changed: Mapping[int, str]) -> str:
+    """K1: a document with new texts for some of its cues (by number, from 0). Everything else, line ends included, stays byte for byte."""
+    end = next(iter(re.findall(r"\r\n|\r|\n", text)), "\n")
+    out, cue = [], -1
+    for block, gap in raw_blocks(text):
+        lines = re.split(r"\r\n|\r|\n", block)
+        timing = next((i for i, line in enumerate(lines) if "-->" in line), None)
+        cue += timing is not None
+        if timing is not None and cue in changed:
+            tail = re.search(r"(?:\r\n|\r|\n)*$", block)[0]
+            block = end.join([*lines[: timing + 1], *changed[cue].split("\n")]) + tail
+        out.append(block + gap)
+    return "".join(out)
+
+
+def with_word_times(words: Sequence[tuple[str, float]]) -> str:
+    """K1: words of a cue with the time of each in front, but for the first, whose time is that of the cue."""
+
+    def stamp(seconds: float) -> str:
+        units = int(seconds * 1000 + 0.5)
+        return f"{units // 3600000:02d}:{units // 60000 % 60:02d}:{units // 1000 % 60:02d}.{units % 1000:03d}"
+
+    return " ".join(w if i == 0 else f"<{stamp(at)}>{w}" for i, (w, at) in enumerate(words))

@@ -10,10 +10,10 @@ import oracle
 from cuewright.functions import captions, validation
 from cuewright.functions import sentences as splitter
 from cuewright.functions import text as t
-from cuewright.operators import folds, lookups, paragraphs, templates, transcripts
+from cuewright.operators import aggregates, folds, lookups, paragraphs, templates, transcripts
 from cuewright.operators.paragraphs import Line
 from cuewright.operators.transcripts import Segment
-from cuewright.sources import ass, records
+from cuewright.sources import ass, records, subtitles
 
 LEXICON = validation.Lexicon(
     common=frozenset("the of and is in a to this that we it".split()), anchors=frozenset(["meaning"]), connectors=frozenset(["and", "is"]), retained=frozenset(["hence"]),
@@ -134,6 +134,27 @@ def test_cue_folds():
         folds.translated([E(0, 1, "x")], lambda x: [])
 
 
+def test_boundaries(spark):
+    long = "A running line of more than forty characters"
+    pages = [["Head 1", "text", long], ["head 2", "Own", "x " + long.upper() + " y"], ["HEAD 3", "else", long], ["Head", "only", "last"]]
+    rows = [("d", p, i, x) for p, lines in enumerate(pages) for i, x in enumerate(lines)] + [("few", 0, 0, "Head"), ("few", 1, 0, "Head")]
+    df = spark.createDataFrame(rows, "doc_id string, page int, line_idx int, text string")
+    left = {(r.doc_id, r.page, r.text) for r in aggregates.without_boundaries(df).collect()}
+    assert left == {("d", 0, "text"), ("d", 0, long), ("d", 1, "Own"), ("d", 1, "x " + long.upper() + " y"), ("d", 2, "else"), ("d", 2, long), ("d", 3, "Head"), ("d", 3, "only"), ("d", 3, "last"), ("few", 0, "Head"), ("few", 1, "Head")}
+    more = df.unionByName(spark.createDataFrame([("d", 4, 0, "n"), ("d", 4, 1, long)], df.schema))
+    left = {r.text for r in aggregates.without_boundaries(more).filter("doc_id = 'd'").collect()}
+    assert left == {"text", "Own", "else", "Head", "only", "last", "n"}  # the long line recurs now, and goes inside another line, too
+    assert [(r.boundary, r.n) for r in aggregates.repeated_boundaries(more).collect()] == [(long.lower(), 3)]
+
+
+def test_documents_stay_byte_for_byte():
+    for text in ("1\r\n00:01 --> 00:02\r\nOne\r\n\r\n\r\nNOTE x\r\n\r\n2\r\n00:03 --> 00:04\r\nTwo\r\nlines\r\n\r\n", "WEBVTT\n\n00:01 --> 00:02\na", "", "\n\n"):
+        assert subtitles.rewritten(text, {}) == text and "".join(a + b for a, b in subtitles.raw_blocks(text)) == text
+    text = "1\r\n00:01 --> 00:02\r\nOne\r\n\r\n2\r\n00:03 --> 00:04\r\nTwo\r\n"
+    assert subtitles.rewritten(text, {1: "new\ntext"}) == text.replace("Two", "new\r\ntext")
+    assert subtitles.with_word_times([("a", 1.0), ("b", 3661.0015)]) == "a <01:01:01.002>b"
+
+
 def test_windows(spark):
     good = (0.95,) * 9
     segments = [Segment(0, 3, "one two three four", good), Segment(3, 6, "five six seven eight.", good), Segment(6, 7, "nine.", (0.2,)), Segment(7, 30, "too long.", good)]
