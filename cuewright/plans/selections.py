@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import media
-from cuewright.operators import cues, lookups, state
+from cuewright.operators import cues, lookups, state, windows
 from cuewright.plans.records import LINES_SQL, document_lines
 from cuewright.plans.texts import turn_cues
 from cuewright.session import table
@@ -43,8 +43,9 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speech_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences numbered through each source, by document and line."""
-    w = Window.partitionBy("source").orderBy("doc_id", "line_idx")
-    return document_lines(spark, sf_dir).select("source", "doc_id", F.col("line_idx").cast("long").alias("line_idx")).withColumn("job", F.row_number().over(w).cast("long"))
+    lines = document_lines(spark, sf_dir).select("source", "doc_id", "line_idx")
+    numbered = windows.batches(lines, ["doc_id", "line_idx"], 1, ["source"])
+    return numbered.select("source", "doc_id", "line_idx", (F.col("batch") + 1).alias("job"))
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
