@@ -35,7 +35,7 @@ SHARD_DOCUMENTS = 100_000
 #: Ids that the rolling hash sees, and lengths of chunks in ids. About one id in MASK + 1 ends a chunk.
 WINDOW, MASK, SHORTEST, LONGEST = 4, 255, 64, 2048
 DIGEST_BYTES = 16
-PACKET_BYTES = 8 << 20
+PACKET_BYTES = 16 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
