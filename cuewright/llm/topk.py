@@ -3,7 +3,8 @@
 Vectors are packed into blocks in vertical layout, one row per dimension. A block of queries meets a block of
 candidates in one task. Inner products grow by BLOCK_DIMENSIONS dimensions at a time; what is still missing of a
 product is at most the product of the lengths of the two remaining parts, so candidates whose bound is below the
-k-th best score known so far are dropped and the others compacted before the next dimensions are added.
+k-th best score known so far are dropped and the others compacted before the next dimensions are added: first those
+that no query of the block wants, then, once few products are left, every single pair.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from cuewright.llm.common import arrow_schema, partitions, picked, prepare, writ
 CANDIDATES, QUERIES, BLOCK_DIMENSIONS = 4096, 512, 16
 #: Products and bounds are sums of whole numbers; below this they are exact in double precision.
 EXACT = float(1 << 52)
+#: And below this in single precision.
+EXACT_SINGLE = float(1 << 24)
+#: Once no more than this share of the products of a block is wanted, they go on as single pairs.
+SPARSE = 0.02
 
 PACKED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("dimensions", T.IntegerType()), T.StructField("columns", T.BinaryType())])
 
@@ -41,7 +46,7 @@ def different(rows: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about `size` vectors in vertical layout: int64 numbers, dimension by dimension. Shorter vectors end in zeros."""
+    """Blocks of about `size` vectors in vertical layout, dimension by dimension, in the fewest bytes that hold each number. Shorter vectors end in zeros."""
     out_schema = arrow_schema(PACKED)
 
     def block(ids: list[int], vectors: list[list[int]]) -> pa.RecordBatch:
@@ -49,6 +54,8 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         table = np.zeros((len(ids), width), dtype="<i8")
         for i, v in enumerate(vectors):
             table[i, : len(v)] = v
+        narrow = next((t for t in ("<i1", "<i2", "<i4") if table.size and np.iinfo(t).min <= table.min() and table.max() <= np.iinfo(t).max), "<i8")
+        table = table.astype(narrow)
         return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([np.ascontiguousarray(table.T).tobytes()], pa.binary())], schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,68 +72,102 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def vertical(columns: bytes, n: int, width: int) -> np.ndarray:
-    table = np.frombuffer(columns, "<i8").reshape(-1, n)
-    return np.vstack([table, np.zeros((width - len(table), n), dtype="<i8")]) if len(table) < width else table
+def vertical(columns: bytes, n: int, width: int, dimensions: int | None = None) -> np.ndarray:
+    """The table of a block: one row a dimension, as many as asked for; numbers as narrow as they were packed."""
+    size = 8 if not dimensions else len(columns) // (n * dimensions)
+    table = np.frombuffer(columns, f"<i{size}").reshape(-1, n)
+    return np.vstack([table, np.zeros((width - len(table), n), dtype=table.dtype)]) if len(table) < width else table
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-    """(query, vector, score) of the k best of each query in a block, ties to smaller ids; a query's own id is left out."""
-    order = np.argsort(ids, kind="stable")  # with candidates by id, a stable sort by score breaks ties
-    ids, candidates = ids[order], candidates[:, order]
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[list[int], list[int], list[int]]:
+    """(query, vector, score) of the k best of each query in a block, ties to smaller ids; a query's own id is left out.
+
+    floor: a score that k other vectors reach for each query, if known; what is below it need not be returned.
+    """
     largest = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(candidates.astype(np.float64)).max(initial=0)) * len(queries)
     exact = largest < EXACT  # beyond, sums in double precision are off by a little: bounds allow for that, and whole numbers decide at the end
-    mass = np.einsum("dn,dn->n", candidates.astype(np.float64), candidates.astype(np.float64))
+    kind = np.float32 if largest < EXACT_SINGLE else np.float64
+    # The margins cover rounding of square roots and bounds; where `exact`, all other numbers here are exact.
+    relative, absolute = (1 + 1e-5, 4.0) if kind is np.float32 else (1 + 1e-9, 1e-6)
+    c64 = candidates.astype(np.float64)
+    mass = np.einsum("dn,dn->n", c64, c64)
     # Dimensions that carry the most come first: the remaining parts get short early.
-    weight = np.einsum("dn,dn->d", candidates.astype(np.float64), candidates.astype(np.float64))
-    by_weight = np.argsort(-weight, kind="stable")
-    q, c = queries[by_weight].astype(np.float64), candidates[by_weight].astype(np.float64)
-    probe = np.unique(np.concatenate([np.argsort(-mass, kind="stable")[: 4 * k], np.argsort(-(q.sum(axis=1) @ c), kind="stable")[: 4 * k]]))
-    off_q, off_c = (np.zeros(x.shape[1]) if exact else np.sqrt(np.einsum("dn,dn->n", x, x)) for x in (q, c))
+    by_weight = np.argsort(-np.einsum("dn,dn->d", c64, c64), kind="stable")
+    q64, c64 = queries[by_weight].astype(np.float64), c64[by_weight]
+    q, c = q64.astype(kind), c64.astype(kind)
+    probe = np.unique(np.concatenate([np.argsort(-mass, kind="stable")[: 4 * k], np.argsort(-(q64.sum(axis=1) @ c64), kind="stable")[: 4 * k]]))
+    off_q, off_c = (np.zeros(x.shape[1]) if exact else np.sqrt(np.einsum("dn,dn->n", x, x)) for x in (q64, c64))
     off_q *= 1e-15 * (len(q) + 8)  # of a product of a query and a candidate: a few units in the last place for each dimension
-    seeds = q.T @ c[:, probe] - np.outer(off_q, off_c[probe])
+    seeds = q64.T @ c64[:, probe] - np.outer(off_q, off_c[probe])
     seeds[query_ids[:, None] == ids[probe][None, :]] = -np.inf
-    threshold = np.partition(seeds, len(probe) - k, axis=1)[:, len(probe) - k] if len(probe) > k else np.full(len(query_ids), -np.inf)
-    left_q, left_c = np.einsum("dn,dn->n", q, q), mass.copy()
-    first = slice(0, BLOCK_DIMENSIONS)
-    partial = q[first].T @ c[first]
-    left_q, left_c = left_q - (q[first] ** 2).sum(axis=0), left_c - (c[first] ** 2).sum(axis=0)
-    found = []
-    # The margin covers rounding of the square root; all other numbers here are exact.
-    if not exact:  # what remains of a length is a difference of rounded sums
-        left_q, left_c = np.maximum(left_q, 0) + 1e-13 * len(q) * np.einsum("dn,dn->n", q, q), np.maximum(left_c, 0) + 1e-13 * len(q) * mass
-    open_ = partial + np.sqrt(left_q)[:, None] * np.sqrt(left_c)[None, :] * (1 + 1e-9) + 1e-6 + np.outer(off_q, off_c) >= threshold[:, None]
-    for i in range(len(query_ids)):
-        kept = np.flatnonzero(open_[i] & (ids != query_ids[i]))
-        score, rest_q, rest_c, limit = partial[i, kept], left_q[i], left_c[kept], threshold[i]
-        for at in range(BLOCK_DIMENSIONS, len(q), BLOCK_DIMENSIONS):
-            dims = slice(at, at + BLOCK_DIMENSIONS)
-            part = c[dims][:, kept]
-            score = score + q[dims, i] @ part
-            rest_q, rest_c = rest_q - (q[dims, i] ** 2).sum(), rest_c - (part**2).sum(axis=0)
-            slack = np.sqrt(max(rest_q, 0.0)) * np.sqrt(np.maximum(rest_c, 0.0)) * (1 + 1e-9) + 1e-6 + off_q[i] * off_c[kept]
-            if len(score) > k:  # what k candidates reach at least is a better limit
-                limit = max(limit, np.partition(score - slack, len(score) - k)[len(score) - k])
-            alive = score + slack >= limit
-            kept, score, rest_c = kept[alive], score[alive], rest_c[alive]
+    limit = np.partition(seeds, len(probe) - k, axis=1)[:, len(probe) - k] if len(probe) > k else np.full(len(query_ids), -np.inf)
+    if floor is not None:
+        limit = np.maximum(limit, floor - 1e-15 * np.abs(floor))
+    left_q, left_c = (np.vstack([np.cumsum((x**2)[::-1], axis=0)[::-1], np.zeros((1, x.shape[1]))]) for x in (q64, c64))  # what remains of a length from each dimension on
+    if not exact:  # sums of squares are rounded
+        left_q, left_c = left_q * (1 + 1e-13 * len(q)), left_c * (1 + 1e-13 * len(q))
+    left_q, left_c = np.sqrt(left_q) * relative, np.sqrt(left_c)
+
+    own = np.flatnonzero(np.isin(ids, query_ids))
+    place = np.arange(len(ids))  # of the candidates that are still looked at
+    score, at = np.zeros((len(query_ids), len(ids)), kind), 0
+    while True:  # dense: all queries meet all candidates that any of them may still want
+        dims = slice(at, at + BLOCK_DIMENSIONS)
+        score += q[dims].T @ c[dims]
+        if not at and len(own):
+            score[:, own] = np.where(query_ids[:, None] == ids[own][None, :], -np.inf, score[:, own])
+        at = min(at + BLOCK_DIMENSIONS, len(q))
+        bound = left_q[at].astype(kind)[:, None] * left_c[at, place].astype(kind)[None, :]
         if not exact:
-            score = queries[:, i].astype(object) @ candidates[:, kept].astype(object) if len(kept) else score
-        found.append((kept, score))
-    return ranked(query_ids, ids, found, k)
-
-
-def ranked(query_ids: np.ndarray, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[int], list[int], list[int]]:
-    lefts, rights, scores = [], [], []
-    for query, (kept, score) in zip(query_ids.tolist(), found, strict=True):
-        pairs = sorted((-int(s), int(ids[j])) for j, s in zip(kept.tolist(), score.tolist(), strict=True) if ids[j] != query) if len(kept) <= 4 * k else None
-        if pairs is None:
-            near = np.argsort(-score, kind="stable")[: k + 1]
-            pairs = [(-int(score[j]), int(ids[kept[j]])) for j in near if ids[kept[j]] != query]
-        for s, vector in pairs[:k]:
-            lefts.append(query)
-            rights.append(vector)
-            scores.append(-s)
-    return lefts, rights, scores
+            bound += np.outer(off_q, off_c[place])
+        bound += score
+        if at == len(q) and len(place) > k:  # what k candidates reach at least is a better limit
+            sure = score if exact else score - np.outer(off_q, off_c[place])
+            limit = np.maximum(limit, np.partition(sure, len(place) - k, axis=1)[:, len(place) - k])
+        open_ = bound >= (limit - absolute).astype(kind)[:, None]
+        wanted = int(np.count_nonzero(open_))
+        if at == len(q) or wanted <= SPARSE * open_.size:
+            break
+        alive = open_.any(axis=0)
+        if np.count_nonzero(alive) < 0.75 * len(place):
+            place, c, score = place[alive], np.ascontiguousarray(c[:, alive]), np.ascontiguousarray(score[:, alive])
+    i, j = np.nonzero(open_)
+    score, j = score[i, j].astype(np.float64), place[j]
+    kept = score > -np.inf
+    i, j, score = i[kept], j[kept], score[kept]
+    while at < len(q):  # compacted: pairs of a query and a candidate, dropped as soon as they can't reach the limit
+        dims = slice(at, at + BLOCK_DIMENSIONS)
+        score = score + np.einsum("dn,dn->n", q64[dims][:, i], c64[dims][:, j])
+        at = min(at + BLOCK_DIMENSIONS, len(q))
+        alive = score + left_q[at, i] * left_c[at, j] + off_q[i] * off_c[j] >= limit[i] - absolute
+        i, j, score = i[alive], j[alive], score[alive]
+    if exact:
+        order = np.lexsort((ids[j], -score, i))
+        whole_scores = score.astype(np.int64)
+    else:
+        whole_scores = (queries[:, i].astype(object) * candidates[:, j].astype(object)).sum(axis=0) if len(i) else score
+        order = np.array(sorted(range(len(i)), key=lambda x: (i[x], -whole_scores[x], ids[j[x]])), dtype=np.int64)
+    i, j, whole_scores = i[order], j[order], whole_scores[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return query_ids[i[first]].tolist(), ids[j[first]].tolist(), [int(x) for x in whole_scores[first].tolist()]
+
+
+class Floors:
+    """The k best scores of the queries of a block so far: each block of candidates that a task meets makes the next one shorter."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.ids, self.order = query_ids, np.argsort(query_ids, kind="stable")
+        self.scores = np.full((len(query_ids), k), -np.inf)
+
+    def of(self) -> np.ndarray:
+        return self.scores.min(axis=1)
+
+    def add(self, found: tuple[list[int], list[int], list[int]]) -> None:
+        at = self.order[np.searchsorted(self.ids, np.array(found[0], np.int64), sorter=self.order)]
+        k, rank = self.scores.shape[1], np.arange(len(at)) - np.searchsorted(at, at)
+        new = np.full_like(self.scores, -np.inf)
+        new[at, rank] = found[2]
+        self.scores = np.sort(np.concatenate([self.scores, new], axis=1), axis=1)[:, -k:]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -146,18 +187,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     asked = packed(whole(queries, id_col, vector_col, scale).dropDuplicates(["id"]), QUERIES)
     asked = written(asked.select(F.col("ids").alias("query_ids"), F.col("dimensions").alias("query_dimensions"), F.col("columns").alias("query_columns")), "queries")
     # A grid of cells: each block of candidates lies in one, each block of queries goes to all.
-    cells = max(1, min(candidates.count(), 4 * partitions(vectors.sparkSession)))
+    # The copies of the queries are shuffled and never broadcast, however small the planner takes them to be: it does not count copies.
+    cells = max(1, min(candidates.count(), 2 * partitions(vectors.sparkSession)))
+    asked, candidates = asked.hint("merge"), candidates.hint("merge")
     pairs = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(candidates.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")), "cell")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = None  # of the block of queries at hand: the join brings all candidates of a cell for one of them after another
         for batch in batches:
             for row in range(batch.num_rows):
                 value = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 query_ids, ids = np.frombuffer(value("query_ids"), "<i8"), np.frombuffer(value("ids"), "<i8")
                 width = max(value("query_dimensions"), value("dimensions"))
-                found = best(query_ids, vertical(value("query_columns"), len(query_ids), width), ids, vertical(value("columns"), len(ids), width), k)
+                if floors is None or not np.array_equal(floors.ids, query_ids):
+                    floors = Floors(query_ids, k)
+                queries = vertical(value("query_columns"), len(query_ids), width, value("query_dimensions"))
+                found = best(query_ids, queries, ids, vertical(value("columns"), len(ids), width, value("dimensions")), k, floors.of())
+                floors.add(found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=out_schema)
 
     scored = pairs.select("query_ids", "query_dimensions", "query_columns", "ids", "dimensions", "columns").mapInArrow(run, schema)

@@ -161,6 +161,31 @@ def test_search_blocks():
                 assert got.get(q, []) == exact
 
 
+def test_search_block_by_block():
+    """With the floors of earlier blocks, the k best of all blocks come out of those of each; ties stay."""
+    draw = np.random.default_rng(1)
+    for scale, size in ((3, 40), (300, 300), (1 << 40, 40)):
+        table, ids, k = draw.integers(-scale, scale + 1, (50, 4 * size)), draw.permutation(8 * size)[: 4 * size], 5
+        queries, asked = table[:, ::9], ids[::9]
+        floors, got = topk.Floors(asked, k), []
+        for at in range(0, 4 * size, size):
+            found = topk.best(asked, queries, ids[at : at + size], table[:, at : at + size], k, floors.of())
+            floors.add(found)
+            got += zip(*found)
+        exact = queries.T.astype(object) @ table.astype(object)
+        for i, q in enumerate(asked.tolist()):
+            want = sorted((-s, v) for s, v in zip(exact[i].tolist(), ids.tolist()) if v != q)[:k]
+            assert sorted((-s, v) for x, v, s in got if x == q)[:k] == want
+        assert len(got) < len(asked) * k * 4
+
+
+def test_search_broadcasts_no_copies(spark):
+    """The planner does not count the copies of the query blocks, so it took gigabytes of them for small enough to broadcast."""
+    df = spark.range(50).selectExpr("id AS vec_id", "array(id / 50.0D, 1.0D) AS embedding")
+    plan = topk.search(df, df.filter("vec_id % 5 = 0"), k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_repeated_rows_leave_room(spark):
     """Ten copies of the best row take one place; large blocks of numbers beyond double precision are searched by bounds, too."""
     rows = [(7, [1.0, 1.0])] * 10 + [(8, [0.9, 1.0]), (9, [0.8, 1.0]), (10, [0.5, 0.5]), (0, [1.0, 1.0])]
