@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,26 @@ def joined(strings: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(taken.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def released() -> None:
+    """Give memory that Arrow and the C library keep for later back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call in this C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, beginning and ending without what an earlier step or it has left in the worker: Spark keeps workers from one step to the next."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        yield from run(batches)
+        released()
+
+    return lean_run
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, packets, picked, prepare, written
+from cuewright.llm.common import arrow_schema, lean, packets, picked, prepare, released, written
 from cuewright.llm.words import words_of
 
 #: Trigrams fall into 2 ** BITS buckets; SMOOTHING is added to each count.
@@ -32,7 +32,8 @@ BACKGROUND = -BITS * float(np.log(2))
 WORD_CAP = 12.0
 #: The most languages that may be learned: bounds what the driver gathers and every worker holds.
 MOST_LANGUAGES = 512
-PACKET_BYTES = 4 << 20
+#: Text judged at a time. A byte may be half a word, and a word takes a few numbers for each language.
+PACKET_BYTES = 1 << 20
 NO_LETTERS = regex.compile(r"[^\p{L}\p{M}\n]+")
 #: Marks that stand on no letter.
 LOOSE_MARKS = regex.compile(r"(?<![\p{L}\p{M}])\p{M}+")
@@ -97,7 +98,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], schema=out_schema)
 
-    sums = written(source.mapInArrow(counted, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    sums = written(source.mapInArrow(lean(counted), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     names = sorted(r[0] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
@@ -217,5 +218,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     ],
                     schema=out_schema,
                 )
+            released()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
