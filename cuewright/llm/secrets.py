@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, binaries, packets, picked, prepare, texts_of
+from cuewright.llm.common import arrow_schema, binaries, packets, picked, prepare, run_sums, texts_of
 
 PACKET_BYTES = 2 << 20
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -73,13 +73,6 @@ class Tokens:
     columns: dict[str, np.ndarray]
 
 
-def run_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of runs that stand one after another; ends begins with 0."""
-    before = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=before[1:])
-    return before[ends[1:]] - before[ends[:-1]]
-
-
 def own_features(words: pa.Array) -> dict[str, np.ndarray]:
     """Codes of what a token is in itself, for different tokens (large_binary, none of them empty)."""
     ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)

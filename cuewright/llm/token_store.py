@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, delete, joined, packets, partitions, picked, prepare, scratch_path
-from cuewright.llm.words import WordMemo, drops_white_space, library, words_of
+from cuewright.llm.common import arrow_schema, binaries, delete, joined, packets, partitions, picked, prepare, released, scratch_path
+from cuewright.llm.words import WordMemo, coded_words, drops_white_space, library, units_of
 
 #: Documents of a shard of recipes, about: what a Merkle root is made of in one task.
 SHARD_DOCUMENTS = 100_000
@@ -85,6 +85,35 @@ STAGED = T.StructType(
 )
 
 
+def packed(ids: list[int], width: int) -> bytes:
+    """Ids as little-endian unsigned integers of width bytes."""
+    out = array({2: "H", 4: "I"}[width], ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+@cache
+def memo_of(vocabulary: str, width: int) -> WordMemo | None:
+    """The packed ids of words that this worker has met lately, in any task; None if the tokenizer does not go word by word."""
+    return WordMemo(vocabulary, lambda ids: packed(ids, width), in_batches=False) if drops_white_space(vocabulary) else None
+
+
+def streams_of(texts: pa.Array, vocabulary: str, end_id: int, width: int) -> Iterator[bytes]:
+    """The ids of each text (none of them null) with the end id, packed."""
+    memo, end = memo_of(vocabulary, width), packed([end_id], width)
+    if memo is None:
+        yield from (packed(ids, width) + end for ids in library(vocabulary)(texts.to_pylist()))
+        return
+    words, chosen, counts = coded_words(texts)
+    units, halves = units_of(words, memo.plain is not None)
+    data, ends = joined(pa.array(memo.of_units(units), pa.large_binary()), halves.ravel())
+    data, ends = joined(binaries(data, ends[::2]), chosen)
+    held = data.tobytes()
+    for a, b in itertools.pairwise(ends[np.concatenate(([0], np.cumsum(counts)))].tolist()):
+        yield held[a:b] + end
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, width: int) -> DataFrame:
     """Per document: its ids as bytes, cut into chunks with their digests, and its Merkle leaf."""
     prepare(docs.sparkSession)
@@ -94,33 +123,10 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter = {2: "H", 4: "I"}[width]
-
-        def pack(ids: list[int]) -> bytes:
-            packed = array(letter, ids)
-            if sys.byteorder != "little":
-                packed.byteswap()
-            return packed.tobytes()
-
-        memo = WordMemo(vocabulary, pack, in_batches=False) if drops_white_space(vocabulary) else None
-        end = pack([end_id])
-
-        def streams_of(texts: pa.Array) -> Iterator[bytes]:
-            """The ids of each text with the end id, packed."""
-            if memo is None:
-                yield from (pack(ids) + end for ids in library(vocabulary)(texts.to_pylist()))
-                return
-            words, chosen, counts = words_of(texts)
-            values = pa.array(memo.of(words), pa.large_binary())
-            data, ends = joined(values, chosen)
-            held = data.tobytes()
-            for a, b in itertools.pairwise(ends[np.concatenate(([0], np.cumsum(counts)))].tolist()):
-                yield held[a:b] + end
-
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
                 rows = []
-                for data in streams_of(pc.fill_null(part.column("text"), "")):
+                for data in streams_of(pc.fill_null(part.column("text"), ""), vocabulary, end_id, width):
                     ends = cuts(np.frombuffer(data, dtype=kind))
                     digests = [digest_of(data[a * width : b * width]) for a, b in itertools.pairwise([0, *ends])]
                     lengths = np.diff([0, *ends]).astype("<u4").tobytes()
@@ -164,6 +170,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     out_schema = arrow_schema(CHUNKS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_of.cache_clear()  # all is encoded by now
+        released()
         for batch in batches:
             seen: dict[bytes, bytes] = {}
             for lengths, digests, payload in zip(*(batch.column(c).to_pylist() for c in ("lengths", "digests", "payload")), strict=True):

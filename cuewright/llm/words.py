@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cuewright.llm.common import binaries, run_sums
+
 #: Bytes that a worker's memo of words may hold, about; longer words than LONGEST_KEPT are never kept.
 MEMO_BYTES, LONGEST_KEPT = 96 << 20, 64
 #: What an entry takes besides its word and value: their headers, and its place in the memo.
@@ -122,11 +124,30 @@ class WordMemo(dict):
                 self.held += ENTRY_BYTES + len(word) + (len(value) if isinstance(value, bytes) else 0)
         return new
 
-    def of(self, words: list[str]) -> list[object]:
-        """The values of different words, in their order."""
+    def trim(self) -> None:
+        """Forget everything if more is held than may be."""
         if self.held > self.most_bytes:
             self.clear()
             self.held = 0
+
+    def of_units(self, units: list[str]) -> list[object]:
+        """The values of different units of `units_of`, in their order."""
+        self.trim()
+        found = list(map(self.get, units))
+        new = [unit for unit, value in zip(units, found, strict=True) if value is None]
+        if not new:
+            return found
+        known: dict[str, object] = {}
+        if self.plain is not None and not self.in_batches:
+            letters = [x for x in new if LETTERS(x)]
+            known = self.remember(letters, [self.keep(self.plain(x)) for x in letters])
+            new = [x for x in new if x not in known]
+        known |= self.remember(new, self.encoded(new))
+        return [known[unit] if value is None else value for unit, value in zip(units, found, strict=True)]
+
+    def of(self, words: list[str]) -> list[object]:
+        """The values of different words, in their order."""
+        self.trim()
         found = list(map(self.get, words))
         missing = [i for i, value in enumerate(found) if value is None]
         if not missing:
@@ -152,9 +173,50 @@ class WordMemo(dict):
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different words of texts, the words of all texts as places among them, and how many each text has."""
+    words, chosen, counts = coded_words(texts)
+    return words.to_pylist(), chosen, counts
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As words_of, with the different words as large_string."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: Kinds of bytes for `units_of`: letter of ASCII, mark, first byte of U+00C0 to U+00FF, others.
+LETTER, MARK, LATIN, OTHER = 0, 1, 2, 3
+UNIT_KINDS = np.array([MARK if chr(b) in MARKS else LETTER if chr(b) in string.ascii_letters else LATIN if b == 0xC3 else OTHER for b in range(256)], np.int8)
+
+
+def units_of(words: pa.Array, apart: bool) -> tuple[list[str], np.ndarray]:
+    """Different words (large_string) as units: the different units, and the places of two of them for each word.
+
+    With `apart`, a word of LETTERS with marks behind it is its letters in small and its marks, as in `WordMemo`; any other is itself and nothing.
+    """
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, stops = ends[:-1] - ends[0], ends[1:] - ends[0]
+    if not len(words):
+        return [], np.empty((0, 2), np.int64)
+    kinds = UNIT_KINDS[data]
+    first = np.flatnonzero(kinds == LATIN)  # always followed by a second byte
+    second = data[first + 1]
+    latin = first[(second != 0x97) & (second != 0xB7)]
+    kinds[latin] = kinds[latin + 1] = LETTER
+    runs = np.append(starts, len(data))  # with one more, so that none is the last: an empty word may stand at the end
+    places = np.append(np.where(kinds == MARK, 0, np.arange(1, len(data) + 1)), 0)
+    heads = np.maximum(np.maximum.reduceat(places, runs)[:-1], starts)  # where the marks at the end begin
+    others = run_sums(kinds != LETTER, runs)
+    split = apart & (heads > starts) & (stops > starts) & (others == stops - heads)
+    lowered = data.copy()
+    capital = (data >= 65) & (data <= 90)
+    capital[latin + 1] = data[latin + 1] <= 0x9E
+    lowered[capital & np.repeat(split, stops - starts)] += 32
+    cut = np.empty(2 * len(words) + 1, np.int64)
+    cut[0], cut[1::2], cut[2::2] = 0, np.where(split, heads, stops), stops
+    coded = binaries(lowered, cut).cast(pa.large_string()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64).reshape(-1, 2)
 
 
 def pieces(data: bytes, size: int) -> list[bytes]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import byte_bpe, token_counts, token_store
 from cuewright.llm.common import scratch_path
-from cuewright.llm.words import WordMemo, library, words_of
+from cuewright.llm.words import WordMemo, library, units_of, words_of
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "aab  \n\n\tZz'sé日本!!0 1\xa0ñeing the\x1c."
@@ -182,3 +182,26 @@ def test_chunks_follow_content():
     shared = pieces(a) & pieces(np.concatenate([b, a]))
     assert len(shared) > 0.7 * len(pieces(a))
     assert token_store.crc_joined([(zlib.crc32(b"abc"), 3), (zlib.crc32(b""), 0), (zlib.crc32(b"defgh"), 5)]) == zlib.crc32(b"abcdefgh")
+
+
+def test_units_of_words():
+    """What is found for all words together equals the library, and the same letters are one unit however they are written."""
+    found = texts(300) + ["Word. it's NO!! <|endoftext|> <|ENDOFTEXT|> don't. ... .word É. x.y. ÀÖØßÿ!! ×a a÷ ÷ × é É́ ÿé*** İx. ſs abc<|endoftext|> don't's rock' a̸= ≠ Ça! 9. a9. ,A, A,b, Ĉ", "", " \n", "Ã\u0083 ã Ã!"]
+    end = token_store.packed([1], 2)
+    for part in (found, found[:1], [""], []):
+        got = list(token_store.streams_of(pa.array(part, pa.string()), WORDS, 1, 2))
+        assert got == [token_store.packed(ids, 2) + end for ids in library(WORDS)(part)]
+    units, halves = units_of(pa.array(["The", "THE!!", "the", "É.", "é", "don't", "!!"], pa.large_string()), True)
+    assert units == ["the", "", "!!", "é", ".", "don't"]
+    assert [[units[i] for i in two] for two in halves] == [["the", ""], ["the", "!!"], ["the", ""], ["é", "."], ["é", ""], ["don't", ""], ["!!", ""]]
+
+
+def test_words_are_met_once_by_a_worker():
+    """What one task has encoded is not encoded again by the next in the same worker, and is given back before the chunks are dealt."""
+    token_store.memo_of.cache_clear()
+    one = list(token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2))
+    memo = token_store.memo_of(WORDS, 2)
+    assert {"many", "words"} < set(memo) and "Many" not in memo
+    memo.plain = memo.encode = pytest.fail  # not needed any more
+    assert list(token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2)) == one
+    token_store.memo_of.cache_clear()
