@@ -3,7 +3,8 @@
 The field tags every token of a text as secret begin (B), inside (I) or outside (O) from its shape, the words beside it and
 features of the whole file. The tokens of a packet of texts are described and decoded together: what a token is in itself
 is found once for each different one, and the best path of all texts, one after another with a certain outside between
-them, comes from one Viterbi pass over runs of tokens side by side.
+them, comes from one Viterbi pass over runs of tokens side by side. Tokens that a bound proves to be outside on every best
+path are left out of that pass, which changes no tag.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import arrow_schema, binaries, packets, picked, prepare, run_sums, texts_of
+from cuewright.llm.common import arrow_schema, binaries, packets, picked, prepare, run_sums
 
 PACKET_BYTES = 2 << 20
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -45,6 +46,18 @@ def base_spans(text: str) -> list[Span]:
     return ordered(found)
 
 
+#: What every text with a base span holds, in a form that finds it in all texts of a packet at once.
+HINT = "(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
+
+
+def base_spans_of(texts: pa.Array) -> list[list[Span]]:
+    """base_spans of each text (large_string, no nulls); those without a hint hold none."""
+    out: list[list[Span]] = [[] for _ in range(len(texts))]
+    for i in np.flatnonzero(pc.match_substring_regex(texts, HINT).to_numpy(zero_copy_only=False)).tolist():
+        out[i] = base_spans(texts[i].as_py())
+    return out
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -65,12 +78,22 @@ SHAPED = 11
 
 @dataclass
 class Tokens:
-    """Tokens of a packet of texts: the text and the bytes of each, and the codes of its features, one column each."""
+    """Tokens of a packet of texts: the text and the bytes of each, and the codes of its features.
+
+    own has what different tokens are in themselves, which the place of each token among those, around the rest.
+    """
 
     owner: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    columns: dict[str, np.ndarray]
+    which: np.ndarray
+    own: dict[str, np.ndarray]
+    around: dict[str, np.ndarray]
+
+    @property
+    def columns(self) -> dict[str, np.ndarray]:
+        """All features of each token, one column each."""
+        return {name: codes[self.which] for name, codes in self.own.items()} | self.around
 
 
 def own_features(words: pa.Array) -> dict[str, np.ndarray]:
@@ -87,7 +110,11 @@ def own_features(words: pa.Array) -> dict[str, np.ndarray]:
     turns = np.zeros(len(data), bool)
     turns[1:] = (kinds[1:] == 0) != (kinds[:-1] == 0)
     owner = np.repeat(np.arange(len(n)), n)
-    distinct = np.bincount(np.unique(owner * 256 + data) >> 8, minlength=len(n))
+    distinct = np.zeros(len(n), np.int64)
+    for quarter in range(4):  # of the 256 bytes, one bit each
+        if quarter < 2 or (kinds == 3).any():
+            bits = np.where(data >> 6 == quarter, np.uint64(1) << (data & 63).astype(np.uint64), np.uint64(0))
+            distinct += np.bitwise_count(np.bitwise_or.reduceat(bits, ends[:-1]))
     starts = differ | firsts
     place = np.cumsum(starts) - 1
     place -= np.repeat(place[ends[:-1]], n)  # of a byte's run in its token
@@ -125,16 +152,19 @@ def tokens_of(texts: pa.Array) -> Tokens:
     starts |= (roles == 1) & firsts[:-1]
     start = np.flatnonzero(starts)
     inside = roles > 0
-    before = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=before[1:])
-    held = before[np.append(start, len(data))]  # of the bytes that belong to tokens, those before each token
-    sizes = np.diff(held)
-    owner = np.searchsorted(offsets, start, side="right") - 1
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | starts[1:]
+    end = np.flatnonzero(stops) + 1
+    sizes = end - start
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
     if not len(start):
-        return Tokens(owner, start, start, {})
-    coded = binaries(data[inside], np.append(held[:-1], held[-1])).dictionary_encode()
+        return Tokens(owner, start, start, start, {}, {})
+    held = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(sizes, out=held[1:])
+    coded = binaries(data[inside], held).dictionary_encode()
     which = coded.indices.to_numpy()
-    columns = {name: codes[which] for name, codes in own_features(coded.dictionary).items()}
+    own = own_features(coded.dictionary)
+    columns: dict[str, np.ndarray] = {}
 
     def back(codes: np.ndarray, by: int) -> np.ndarray:
         """Of the token that stands so many before, in the same text; 0 where there is none."""
@@ -145,20 +175,19 @@ def tokens_of(texts: pa.Array) -> Tokens:
             out[:by] = np.where(owner[:by] == owner[-by:], codes[-by:], 0)
         return out
 
-    cue, sign, kinds = columns["cue"], columns["sign"], columns["kinds"]
+    cue, sign, kinds, length = (own[name][which] for name in ("cue", "sign", "kinds", "length"))
     cued = np.where(back(cue, 1) > 0, 3, np.where(back(cue, 2) > 0, 2, np.where(back(cue, 3) > 0, 1, 0)))
     gap = np.zeros(len(start), np.int64)
-    gap[1:] = np.where(owner[1:] == owner[:-1], np.minimum(2, start[1:] - (start + sizes)[:-1]), 2)
+    gap[1:] = np.where(owner[1:] == owner[:-1], np.minimum(2, start[1:] - end[:-1]), 2)
     gap[0] = 2
-    length = columns["length"]
     columns["context"] = ((cued * 2 + back(sign, 1)) * 4 + kinds) * 8 + length
     columns["beside"] = ((gap * 2 + sign) * 4 + back(kinds, 1)) * 8 + back(length, 1)
     columns["behind"] = (back(sign, -1) * 4 + back(kinds, -1)) * 4 + kinds
-    lines = run_sums(data == 10, offsets) + 1
-    for name, byte in (("assignments", 61), ("braces", 123)):
-        file = np.minimum(2, 2 * run_sums(data == byte, offsets) // lines)
+    newlines, equals, braces = (np.diff(np.searchsorted(np.flatnonzero(data == byte), offsets)) for byte in b"\n={")
+    for name, signs in (("assignments", equals), ("braces", braces)):
+        file = np.minimum(2, 2 * signs // (newlines + 1))
         columns[name] = file[owner] * 4 + kinds
-    return Tokens(owner, start, start + sizes, columns)
+    return Tokens(owner, start, end, which, own, columns)
 
 
 class Field:
@@ -184,6 +213,45 @@ class Field:
             total += np.where(known[:, None], self.weights[name][at], 0.0)
         return total
 
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        """emissions(tokens.columns), with what tokens are in themselves added up once for each different one."""
+        total = self.emissions(tokens.own)[tokens.which]
+        for name, codes in tokens.around.items():
+            known = self.codes[name]
+            table = np.zeros((int(known[-1]) + 2, 3))  # a row for each code, and a last one for those beyond the known
+            table[known] = self.weights[name]
+            total += np.take(table, np.minimum(codes, len(table) - 1), axis=0)
+        return total
+
+    def uncertain(self, emitted: np.ndarray) -> np.ndarray:
+        """False only for tokens of a sequence that are outside on every best path.
+
+        A run of tokens that are not outside adds, against the same run outside, at most the sum of what each adds at best
+        and what leaving it does. Where that is negative for all runs that hold a token, whichever they are, it is outside.
+        """
+        stay = self.moves[O, O]
+        most = np.maximum(emitted[:, B] + self.moves[:, B].max(), emitted[:, I] + self.moves[:, I].max()) - emitted[:, O] - stay
+        sums = np.zeros(len(most) + 1)
+        np.cumsum(most, out=sums[1:])
+        best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        rounding = 1e-6 + len(sums) * np.finfo(float).eps * max(1.0, float(np.abs(sums).max()))
+        return best + self.moves[1:, O].max() - stay > -rounding
+
+    def tags(self, emitted: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Best tags of the tokens of texts, each text entered from O and left to O: one sequence, with what is certainly outside left out."""
+        out = np.zeros(len(emitted), np.int8)
+        held = np.flatnonzero(self.uncertain(emitted))
+        if not len(held):
+            return out
+        # A row that can only be outside stands for all that is left out between two tokens, and between two texts.
+        apart = (np.diff(held) > 1) | (np.diff(owner[held]) > 0)
+        at = np.arange(len(held)) + np.concatenate(([0], np.cumsum(apart)))
+        rows = np.full((int(at[-1]) + 1, 3), NEVER)
+        rows[:, O] = 0.0
+        rows[at] = emitted[held]
+        out[held] = self.viterbi(rows)[at]
+        return out
+
     def viterbi(self, emitted: np.ndarray, run: int = 64) -> np.ndarray:
         """Best tags of a sequence that is entered from O and left to O, all of it at once.
 
@@ -355,12 +423,7 @@ def field_spans(texts: pa.Array, field: Field) -> list[list[Span]]:
     tokens = tokens_of(texts)
     if not len(tokens.start):
         return out
-    # One sequence, with a row that can only be outside between two texts.
-    at = np.arange(len(tokens.start)) + tokens.owner
-    rows = np.full((int(at[-1]) + 1, 3), NEVER)
-    rows[:, O] = 0.0
-    rows[at] = field.emissions(tokens.columns)
-    tags = field.viterbi(rows)[at]
+    tags = field.tags(field.scores(tokens), tokens.owner)
     begins = np.flatnonzero(tags == B)
     if not len(begins):
         return out
@@ -370,12 +433,14 @@ def field_spans(texts: pa.Array, field: Field) -> list[list[Span]]:
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    points = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    offsets = offsets - offsets[0]
+    seen, points = -1, offsets
     for first, last in zip(begins.tolist(), lasts.tolist(), strict=True):
         i = int(tokens.owner[first])
-        zero = points[offsets[i] - offsets[0]]
-        out[i].append(("field", int(points[tokens.start[first]] - zero), int(points[tokens.end[last]] - zero)))
+        if i != seen:
+            seen, zero = i, int(offsets[i])
+            points = np.concatenate(([0], np.cumsum((data[zero : offsets[i + 1]] & 0xC0) != 0x80)))
+        out[i].append(("field", int(points[tokens.start[first] - zero]), int(points[tokens.end[last] - zero])))
     return out
 
 
@@ -403,16 +468,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                found, cleaned = [], []
-                texts = texts_of(part)
-                for text, tagged in zip(texts, field_spans(pa.array(texts, pa.large_string()), field), strict=True):
-                    spans = together(base_spans(text), tagged)
-                    found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-                    if redacted:
-                        cleaned.append(redact(text, spans))
-                columns = [part.column("id"), pa.array(found, out_schema.field("spans").type)]
+                texts = pc.fill_null(part.column("text"), "").cast(pa.large_string())
+                found = [together(base, tagged) for base, tagged in zip(base_spans_of(texts), field_spans(texts, field), strict=True)]
+                columns = [part.column("id"), pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in found], out_schema.field("spans").type)]
                 if redacted:
-                    columns.append(pa.array([None if t is None else c for t, c in zip(part.column("text").to_pylist(), cleaned, strict=True)], pa.string()))
+                    columns.append(pa.array([None if t is None else redact(t, spans) if spans else t for t, spans in zip(part.column("text").to_pylist(), found, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
     return source.mapInArrow(run, schema)
