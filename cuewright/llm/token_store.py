@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import sys
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -54,24 +53,35 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream: content-defined, none shorter than SHORTEST (but the last) or longer than LONGEST."""
-    n = len(ids)
-    if n <= SHORTEST:
-        return [n] if n else []
+    return cuts_of(ids, np.array([0, len(ids)]))[0]
+
+
+def cuts_of(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """cuts of each of the id streams between bounds that stand one after another.
+
+    The hash of the first ids of a stream sees the end of the one before, but no chunk ends there: WINDOW is below SHORTEST.
+    """
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
     mixed ^= mixed >> np.uint64(29)
     rolling = mixed.copy()
     for back in range(1, WINDOW):
         rolling[back:] += mixed[:-back] << np.uint64(back)
     found = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
-    ends, last = [], 0
-    for end in [*found.tolist(), n]:
-        while end - last > LONGEST:
-            last += LONGEST
-            ends.append(last)
-        if end - last >= SHORTEST or (end == n and end > last):
-            ends.append(end)
-            last = end
-    return ends
+    firsts = np.searchsorted(found, bounds, side="right")
+    places, out = found.tolist(), []
+    for (start, stop), (a, b) in zip(itertools.pairwise(bounds.tolist()), itertools.pairwise(firsts.tolist()), strict=True):
+        n, last = stop - start, 0
+        ends: list[int] = []
+        for place in [*places[a:b], stop] if n else ():
+            end = place - start
+            while end - last > LONGEST:
+                last += LONGEST
+                ends.append(last)
+            if end - last >= SHORTEST or (end == n and end > last):
+                ends.append(end)
+                last = end
+        out.append(ends)
+    return out
 
 
 STAGED = T.StructType(
@@ -87,10 +97,7 @@ STAGED = T.StructType(
 
 def packed(ids: list[int], width: int) -> bytes:
     """Ids as little-endian unsigned integers of width bytes."""
-    out = array({2: "H", 4: "I"}[width], ids)
-    if sys.byteorder != "little":
-        out.byteswap()
-    return out.tobytes()
+    return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
 
 
 @cache
@@ -99,19 +106,20 @@ def memo_of(vocabulary: str, width: int) -> WordMemo | None:
     return WordMemo(vocabulary, lambda ids: packed(ids, width), in_batches=False) if drops_white_space(vocabulary) else None
 
 
-def streams_of(texts: pa.Array, vocabulary: str, end_id: int, width: int) -> Iterator[bytes]:
-    """The ids of each text (none of them null) with the end id, packed."""
+def streams_of(texts: pa.Array, vocabulary: str, end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed ids of texts (none of them null), one after another, each with the end id, and where each text's end, after a 0; in bytes."""
     memo, end = memo_of(vocabulary, width), packed([end_id], width)
     if memo is None:
-        yield from (packed(ids, width) + end for ids in library(vocabulary)(texts.to_pylist()))
-        return
+        streams = [packed(ids, width) + end for ids in library(vocabulary)(texts.to_pylist())]
+        return np.frombuffer(b"".join(streams), np.uint8), np.cumsum([0, *map(len, streams)])
     words, chosen, counts = coded_words(texts)
     units, halves = units_of(words, memo.plain is not None)
     data, ends = joined(pa.array(memo.of_units(units), pa.large_binary()), halves.ravel())
-    data, ends = joined(binaries(data, ends[::2]), chosen)
-    held = data.tobytes()
-    for a, b in itertools.pairwise(ends[np.concatenate(([0], np.cumsum(counts)))].tolist()):
-        yield held[a:b] + end
+    # One more word, the end id, stands behind those of each text.
+    values = binaries(np.concatenate((data, np.frombuffer(end, np.uint8))), np.append(ends[::2], ends[-1] + width))
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    data, ends = joined(values, np.insert(chosen, bounds[1:], len(words)))
+    return data, ends[bounds + np.arange(len(bounds))]
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -125,13 +133,13 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in packets(batch, "text", PACKET_BYTES):
-                rows = []
-                for data in streams_of(pc.fill_null(part.column("text"), ""), vocabulary, end_id, width):
-                    ends = cuts(np.frombuffer(data, dtype=kind))
-                    digests = [digest_of(data[a * width : b * width]) for a, b in itertools.pairwise([0, *ends])]
-                    lengths = np.diff([0, *ends]).astype("<u4").tobytes()
-                    rows.append((len(data) // width, merkle(digests), lengths, b"".join(digests), data))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(out_schema)[1:], strict=True))], schema=out_schema)
+                data, bounds = streams_of(pc.fill_null(part.column("text"), ""), vocabulary, end_id, width)
+                held, rows = memoryview(data), []
+                for start, ends in zip(bounds.tolist(), cuts_of(data.view(kind), bounds // width), strict=False):
+                    digests = [digest_of(held[start + a * width : start + b * width]) for a, b in itertools.pairwise([0, *ends])]
+                    rows.append((merkle(digests), packed([b - a for a, b in itertools.pairwise([0, *ends])], 4), b"".join(digests)))
+                columns = [np.diff(bounds) // width, *zip(*rows, strict=True), binaries(data, bounds).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(out_schema)[1:], strict=True))], schema=out_schema)
 
     return source.mapInArrow(run, schema)
 

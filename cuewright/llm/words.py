@@ -118,10 +118,9 @@ class WordMemo(dict):
     def remember(self, words: list[str], values: list[object]) -> dict[str, object]:
         """All of the words with their values; those that may be kept stay for later."""
         new = dict(zip(words, values, strict=True))
-        for word, value in new.items():
-            if len(word) <= LONGEST_KEPT:
-                self[word] = value
-                self.held += ENTRY_BYTES + len(word) + (len(value) if isinstance(value, bytes) else 0)
+        kept = {word: value for word, value in new.items() if len(word) <= LONGEST_KEPT}
+        self.update(kept)
+        self.held += ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(len(value) for value in kept.values() if isinstance(value, bytes))
         return new
 
     def trim(self) -> None:
@@ -216,7 +215,7 @@ def units_of(words: pa.Array, apart: bool) -> tuple[list[str], np.ndarray]:
     cut = np.empty(2 * len(words) + 1, np.int64)
     cut[0], cut[1::2], cut[2::2] = 0, np.where(split, heads, stops), stops
     coded = binaries(lowered, cut).cast(pa.large_string()).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64).reshape(-1, 2)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64).reshape(-1, 2)
 
 
 def pieces(data: bytes, size: int) -> list[bytes]:

@@ -189,7 +189,8 @@ def test_units_of_words():
     found = texts(300) + ["Word. it's NO!! <|endoftext|> <|ENDOFTEXT|> don't. ... .word É. x.y. ÀÖØßÿ!! ×a a÷ ÷ × é É́ ÿé*** İx. ſs abc<|endoftext|> don't's rock' a̸= ≠ Ça! 9. a9. ,A, A,b, Ĉ", "", " \n", "Ã\u0083 ã Ã!"]
     end = token_store.packed([1], 2)
     for part in (found, found[:1], [""], []):
-        got = list(token_store.streams_of(pa.array(part, pa.string()), WORDS, 1, 2))
+        data, bounds = token_store.streams_of(pa.array(part, pa.string()), WORDS, 1, 2)
+        got = [data[a:b].tobytes() for a, b in itertools.pairwise(bounds.tolist())]
         assert got == [token_store.packed(ids, 2) + end for ids in library(WORDS)(part)]
     units, halves = units_of(pa.array(["The", "THE!!", "the", "É.", "é", "don't", "!!"], pa.large_string()), True)
     assert units == ["the", "", "!!", "é", ".", "don't"]
@@ -199,9 +200,22 @@ def test_units_of_words():
 def test_words_are_met_once_by_a_worker():
     """What one task has encoded is not encoded again by the next in the same worker, and is given back before the chunks are dealt."""
     token_store.memo_of.cache_clear()
-    one = list(token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2))
+    one = token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2)[0].tobytes()
     memo = token_store.memo_of(WORDS, 2)
     assert {"many", "words"} < set(memo) and "Many" not in memo
     memo.plain = memo.encode = pytest.fail  # not needed any more
-    assert list(token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2)) == one
+    assert token_store.streams_of(pa.array(["many words, Many WORDS!"]), WORDS, 1, 2)[0].tobytes() == one
     token_store.memo_of.cache_clear()
+
+
+def test_cuts_of_streams_together():
+    """Streams that stand one after another are cut as each alone, also very short and empty ones and those of one id only."""
+    draw = np.random.default_rng(4)
+    streams = [draw.integers(0, 49000, n).astype("<u2") for n in (0, 1, 3, 64, 65, 5000, 0, 700, 2, 9000)] + [np.full(5000, 7, "<u2"), np.empty(0, "<u2")]
+    bounds = np.cumsum([0, *map(len, streams)])
+    got = token_store.cuts_of(np.concatenate(streams), bounds)
+    assert got == [token_store.cuts(x) for x in streams]
+    for ids, ends in zip(streams, got):
+        sizes = np.diff([0, *ends])
+        assert sum(sizes) == len(ids) and all(64 <= n <= 2048 for n in sizes[:-1]) and all(0 < n <= 2048 for n in sizes)
+    assert len(got[9]) > 9000 / 2048 + 1 and token_store.cuts_of(np.empty(0, "<u2"), np.array([0])) == []
