@@ -6,7 +6,7 @@ import ipaddress
 from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,8 +63,6 @@ def preferred_language(codes: Column, requested: Column, names: Mapping[str, str
 
 def listed_before(items: DataFrame, group: Sequence[str], order: Sequence[str], stop: Column, title: str = "title") -> DataFrame:
     """Items in order up to the one to stop at, numbered, with the number in front of the title. A group that lacks that item is an error."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy(*order)
     placed = items.withColumn("number", F.row_number().over(w)).withColumn("_stop", stop)
     last = placed.groupBy(*group).agg(F.min(F.when(F.col("_stop"), F.col("number"))).alias("_last"))
@@ -116,13 +114,15 @@ def cover(images: DataFrame, page: str, area: float = 0.5, stack: float = 0.5) -
     """Per page the image that covers most of it, and whether images make a cover: one of enough area, or a stack whose areas add up,
     of enough height together.
 
-    Columns: ordinal, width, height, page_width, page_height.
+    Columns: ordinal, width, height, page_width, page_height. Doubles are added in the order of the ordinals (then of share and height), so that a page
+    at the edge has one answer, however its rows are dealt over files and tasks.
     """
     share = F.col("width") * F.col("height") / (F.col("page_width") * F.col("page_height"))
-    each = images.withColumn("share", share)
+    w = Window.partitionBy(page).orderBy("ordinal", "share", "height").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the images of one page
+    each = images.withColumn("share", share).withColumns({"total_share": F.sum("share").over(w), "total_height": F.sum("height").over(w)})
     found = each.groupBy(page).agg(
-        F.max_by("ordinal", F.struct("share", -F.col("ordinal"))).alias("largest"), F.max("share").alias("largest_share"), F.sum("share").alias("total_share"),
-        F.max("width").alias("widest"), (F.sum("height") / F.max("page_height")).alias("stacked"),
+        F.max_by("ordinal", F.struct("share", -F.col("ordinal"))).alias("largest"), F.max("share").alias("largest_share"), F.max("total_share").alias("total_share"),
+        F.max("width").alias("widest"), (F.max("total_height") / F.max("page_height")).alias("stacked"),
     )
     return found.withColumn("is_cover", (F.col("largest_share") >= area) | ((F.col("total_share") >= area) & (F.col("stacked") >= stack)))
 

@@ -1,5 +1,6 @@
 """Validators, units, paragraphs, transcripts, captions and ASS events on worked examples."""
 
+import functools
 import random
 
 import pyarrow as pa
@@ -225,6 +226,20 @@ def test_choices(spark):
         records.input_lines(spark.createDataFrame([("m", "\n".join(f"https://x.y/{i}" for i in range(11)))], "message_id string, text string")).collect()
 
 
+def test_cover_at_the_edge_is_the_same_however_its_images_are_dealt(spark):
+    widths = [10.0, 204.0, 385.0, 88.0, 88.0, 225.0]  # half of 2000 together; the doubles come to 0.5 or just below it, by their order
+    rows = [(page, i, w, 1.0, 2000.0, 1.0) for page, ws in (("up", widths), ("down", widths[::-1])) for i, w in enumerate(ws)]
+    total = lambda ws: functools.reduce(lambda s, w: s + w / 2000.0, ws, 0.0)
+    expected = {"up": (2, total(widths), False), "down": (3, total(widths[::-1]), True)}
+    assert total(widths) < 0.5 <= total(widths[::-1])
+    for seed, parts in ((0, 1), (1, 1), (2, 4), (3, 12)):
+        random.Random(seed).shuffle(rows)
+        images = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "page string, ordinal int, width double, height double, page_width double, page_height double")
+        assert {r.page: (r.largest, r.total_share, r.is_cover) for r in lookups.cover(images, "page").collect()} == expected
+    blank = spark.createDataFrame([("p", 0, None, 1.0, 2000.0, 1.0), ("p", 1, 1000.0, 1.0, 2000.0, 1.0), ("q", 0, None, 1.0, 2000.0, 1.0)], images.schema)
+    assert {r.page: (r.total_share, r.stacked, r.is_cover) for r in lookups.cover(blank, "page").collect()} == {"p": (0.5, 2.0, True), "q": (None, 1.0, None)}
+
+
 def test_trigrams_of_batches():
     draw = random.Random(0)
     lists = [[draw.choice("abc") for _ in range(draw.randint(0, 12))] for _ in range(300)]
